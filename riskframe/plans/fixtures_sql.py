@@ -121,12 +121,24 @@ model_metrics AS (
     (tp / GREATEST(ap, 1) + (n - pp - ap + tp) / GREATEST(n - ap, 1)) / 2 AS roc_auc
   FROM mm_pr)"""
 
+_MC_MODELS = [("logreg", 31), ("forest", 17), ("knn", 5)]
+_Y = "(LEAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 4) - 1)"
+
+
+def _w(mult: int, c: int) -> str:
+    return f"CAST((o_orderkey * {mult + c}) % 7 + CASE WHEN {_Y} = {c} THEN 6 ELSE 0 END + 1 AS DOUBLE)"
+
+
 MULTICLASS = "mc AS (\n" + "\n  UNION ALL\n".join(
-    f"""  SELECT o_orderkey AS row_id, '{name}' AS model,
-         LEAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 4) - 1 AS y, {c} AS cls,
-         CAST((o_orderkey * {mult + c}) % 7 + CASE WHEN LEAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 4) - 1 = {c} THEN 6 ELSE 0 END + 1 AS DOUBLE)
-         / ({' + '.join(f"CAST((o_orderkey * {mult + d}) % 7 + CASE WHEN LEAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 4) - 1 = {d} THEN 6 ELSE 0 END + 1 AS DOUBLE)" for d in range(4))}) AS p
-  FROM orders""" for name, mult in (("logreg", 31), ("forest", 17)) for c in range(4)) + ")"
+    f"""  SELECT o_orderkey AS row_id, '{name}' AS model, {_Y} AS y,
+         [{', '.join(f"{_w(mult, c)} / ({' + '.join(_w(mult, d) for d in range(4))})" for c in range(4))}] AS probs
+  FROM orders""" for name, mult in _MC_MODELS) + ")"
+
+MC_PRED = MULTICLASS + """,
+mcp AS (SELECT *, list_position(probs, list_max(probs)) - 1 AS pred FROM mc)"""
+
+MC_LONG = MC_PRED + """,
+mcl AS (SELECT row_id, model, y, pred, generate_subscripts(probs, 1) - 1 AS cls, unnest(probs) AS p FROM mcp)"""
 
 PORTFOLIO = """portfolio AS (
   SELECT o_orderkey AS loan_id, o_custkey AS customer_id, strftime(o_orderdate, '%Y-%m') AS vintage,

@@ -145,23 +145,27 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiclass_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-format 4-class predictions ``(row_id, model, y, cls, p)``.
+    """Wide 4-class predictions ``(row_id, model, y, probs array<double>)``.
 
-    ``y`` = order priority rank 1..4 (5 folded to 4) minus one; the
-    per-class weights are integer-derived and normalised per row.
+    ``y`` = order priority rank 1..4 (5 folded to 4) minus one; class
+    weights are integer-derived and normalised per row.  Wide form keeps
+    arg-max a map-only expression; ``long_probs`` explodes it when needed.
     """
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
     k = col("o_orderkey")
     y = F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)) - 1
-    rows = []
-    for name, mult in (("logreg", 31), ("forest", 17)):
+    per_model = []
+    for name, mult in MC_MODELS:
         w = [((k * (mult + c)) % 7 + F.when(y == c, F.lit(6)).otherwise(F.lit(0)) + 1).cast("double")
              for c in range(4)]
         tot = w[0] + w[1] + w[2] + w[3]
-        rows += [F.struct(F.lit(name).alias("model"), F.lit(c).alias("cls"), (w[c] / tot).alias("p"))
-                 for c in range(4)]
-    return (o.select(k.alias("row_id"), y.alias("y"), F.inline(F.array(*rows)))
-             .select("row_id", "model", "y", "cls", "p"))
+        per_model.append(F.struct(F.lit(name).alias("model"), F.array(*[x / tot for x in w]).alias("probs")))
+    return (o.select(k.alias("row_id"), y.alias("y"), F.inline(F.array(*per_model)))
+             .select("row_id", "model", "y", "probs"))
+
+
+# Multi-class models of the adapter (name, multiplier).
+MC_MODELS = [("logreg", 31), ("forest", 17), ("knn", 5)]
 
 
 def monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
