@@ -113,15 +113,24 @@ def chi_square_test(df: DataFrame, features: list[str], target: str, alpha: floa
     col_t = obs.groupBy("feature", "_t").agg(F.sum("o").alias("c"))
     tot = obs.groupBy("feature").agg(F.sum("o").alias("n"))
     dims = row_t.groupBy("feature").agg(F.count("*").alias("nr")) \
-        .join(col_t.groupBy("feature").agg(F.count("*").alias("nc")), "feature")
-    # every (level, target) cell, including empty ones
-    cells = row_t.join(col_t, "feature").join(obs, ["feature", "level", "_t"], "left").fillna(0, ["o"])
-    cells = cells.join(tot, "feature").join(dims, "feature")
+        .join(col_t.groupBy("feature").agg(F.count("*").alias("nc")), "feature") \
+        .join(tot, "feature")
+    # Uncorrected: sum over all cells of (o-e)^2/e = sum over observed cells
+    # of o^2/e - n, so empty cells never need to be enumerated.
+    seen = obs.join(row_t, ["feature", "level"]).join(col_t, ["feature", "_t"]).join(dims, "feature")
     e = col("r") * col("c") / col("n")
-    dof = (col("nr") - 1) * (col("nc") - 1)
+    plain = seen.groupBy("feature").agg((F.sum(col("o") * col("o") / e) - F.first("n")).alias("chi2_plain"))
+    # Yates (dof == 1, a 2x2 table): the four cells are enumerated, bounded.
+    two = dims.where((col("nr") == 2) & (col("nc") == 2))
+    cells = (row_t.join(two, "feature").join(col_t, "feature")
+             .join(obs, ["feature", "level", "_t"], "left").fillna(0, ["o"]))
     diff = F.abs(col("o") - e)
-    adj = F.when(dof == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    stat = cells.groupBy("feature").agg(F.sum(adj * adj / e).alias("chi2"), F.first(dof).alias("dof"))
+    adj = diff - F.least(F.lit(0.5), diff)
+    yates = cells.groupBy("feature").agg(F.sum(adj * adj / e).alias("chi2_yates"))
+    out = dims.join(plain, "feature").join(yates, "feature", "left")
+    dof = (col("nr") - 1) * (col("nc") - 1)
+    stat = out.select("feature", F.when(dof == 1, col("chi2_yates")).otherwise(col("chi2_plain")).alias("chi2"),
+                      dof.alias("dof"))
     return stat.select("feature", "chi2", "dof", chi2_pvalue(col("chi2"), col("dof").cast("double")).alias("p_value")) \
                .withColumn("keep", col("p_value") < alpha)
 
@@ -214,7 +223,8 @@ def skew_report(df: DataFrame, cols: list[str], threshold: float = 1.0) -> DataF
 def mean_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULLs with the column mean (one global aggregate, applied as literals)."""
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    return df.fillna({c: float(v) for c, v in means.items() if v is not None})
+    out = df.select(*[col(c).cast("double").alias(c) if c in cols else col(c) for c in df.columns])
+    return out.fillna({c: float(v) for c, v in means.items() if v is not None})
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, baseline: float | Column | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each paired with a DuckDB oracle."""
 
-from riskframe.plans import monitoring_queries, portfolio_queries  # noqa: F401  (registers queries)
+from riskframe.plans import monitoring_queries, portfolio_queries, prep_queries  # noqa: F401
 from riskframe.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
