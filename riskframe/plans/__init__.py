@@ -1,6 +1,7 @@
 """Named queries over the driver tables, each paired with a DuckDB oracle."""
 
-from riskframe.plans import monitoring_queries, portfolio_queries, prep_queries  # noqa: F401
+from riskframe.plans import (  # noqa: F401  (each module registers its queries)
+    monitoring_queries, portfolio_queries, prep_queries, stateful_queries)
 from riskframe.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
