@@ -122,11 +122,16 @@ PDF_CITATION = r"([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)"
 
 def pdf_citations(x: str | Column) -> Column:
     """F16: array<struct<doc, page>> of (doc trimmed, page int) citations."""
+    # Exact prefilter: a match needs the literal ".pdf"; without it the
+    # backtracking scan would be quadratic on long texts.
+    has = F.coalesce(F.instr(_c(x), ".pdf") > 0, F.lit(False))
     docs = F.regexp_extract_all(_c(x), F.lit(PDF_CITATION), 1)
     pages = F.regexp_extract_all(_c(x), F.lit(PDF_CITATION), 2)
-    return F.transform(F.arrays_zip(docs.alias("d"), pages.alias("p")),
-                       lambda s: F.struct(F.trim(s["d"]).alias("doc"),
-                                          s["p"].cast("int").alias("page")))
+    found = F.transform(F.arrays_zip(docs.alias("d"), pages.alias("p")),
+                        lambda s: F.struct(F.trim(s["d"]).alias("doc"),
+                                           s["p"].cast("int").alias("page")))
+    return F.when(has, found).otherwise(
+        F.array().cast("array<struct<doc:string,page:int>>"))
 
 
 def leading_identifier(x: str | Column) -> Column:
