@@ -160,17 +160,17 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs: list[float],
         h = col("cnt_tot") * F.lit(q) - F.lit(q)
         lo = F.floor(h)
         hi = F.least(lo + 1, col("cnt_tot") - 1)
-        targets.append(F.struct(F.lit(j).alias("j"), F.lit(q).alias("q"), (h - lo).alias("g"),
+        targets.append(F.struct(F.lit(j).alias("j"), F.lit(q).alias("q"), (h - lo).alias("_frac"),
                                 lo.alias("lo"), hi.alias("hi")))
     arr = F.array(*targets)
     hit = pre.select(*keys, value, "cnt", "cnt_lt", F.explode(arr).alias("t"))
     inside = lambda idx: (col("cnt_lt") <= idx) & (idx < col("cnt_lt") + col("cnt"))
     hit = hit.where(inside(col("t.lo")) | inside(col("t.hi")))
     per = hit.groupBy(*keys, col("t.j").alias("q_idx"), col("t.q").alias("q")).agg(
-        F.max(F.when(inside(col("t.lo")), col(value))).alias("a"),
-        F.max(F.when(inside(col("t.hi")), col(value))).alias("b"),
-        F.first("t.g").alias("g"))
-    a, b, g = col("a"), col("b"), col("g")
+        F.max(F.when(inside(col("t.lo")), col(value))).alias("_qa"),
+        F.max(F.when(inside(col("t.hi")), col(value))).alias("_qb"),
+        F.first("t._frac").alias("_frac"))
+    a, b, g = col("_qa"), col("_qb"), col("_frac")
     lerp = F.when(g >= 0.5, b - (b - a) * (1 - g)).otherwise(a + (b - a) * g)
     return per.select(*keys, "q_idx", "q", lerp.alias(value))
 
