@@ -172,7 +172,8 @@ def q_monthly_report(spark, sf):
 
 @query("sink_holdout", S.with_(APP + """,
 n AS (SELECT approved_flag, COUNT(*) AS n FROM applicants GROUP BY approved_flag)""", """
-SELECT approved_flag, CAST(ROUND(n * 0.19999999999999996) AS BIGINT) AS n FROM n"""))
+SELECT approved_flag, CAST(ROUND(n * 0.19999999999999996) AS BIGINT) AS n FROM n
+WHERE ROUND(n * 0.19999999999999996) > 0"""))
 def q_holdout(spark, sf):
     s = SEL.stratified_split(A.applicants(spark, sf).select("prospectid", "approved_flag", "credit_score"),
                              "approved_flag", "prospectid")

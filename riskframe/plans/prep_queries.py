@@ -255,9 +255,11 @@ def q_sample(spark, sf):
 
 @query("stratified_split", S.with_(APP + """,
 n AS (SELECT approved_flag, COUNT(*) AS n FROM applicants GROUP BY approved_flag)""", """
-SELECT approved_flag, 'test' AS split, CAST(ROUND(n * 0.19999999999999996) AS BIGINT) AS n FROM n
-UNION ALL
-SELECT approved_flag, 'train', n - CAST(ROUND(n * 0.19999999999999996) AS BIGINT) FROM n"""))
+SELECT * FROM (
+  SELECT approved_flag, 'test' AS split, CAST(ROUND(n * 0.19999999999999996) AS BIGINT) AS n FROM n
+  UNION ALL
+  SELECT approved_flag, 'train', n - CAST(ROUND(n * 0.19999999999999996) AS BIGINT) FROM n)
+WHERE n > 0"""))
 def q_split(spark, sf):
     s = SEL.stratified_split(A.applicants(spark, sf).select("prospectid", "approved_flag"),
                              "approved_flag", "prospectid")
