@@ -343,15 +343,27 @@ def auc_ovr_weighted(long: DataFrame, keys, actual: str = "y", cls: str = "cls",
 
 
 def cohen_kappa(pairs: DataFrame, keys, a: str = "pred_a", b: str = "pred_b") -> DataFrame:
-    """(po - pe) / (1 - pe) and plain agreement, from two-way counts."""
+    """(po - pe) / (1 - pe) and plain agreement, from two-way counts.
+
+    One linear chain over the (small) two-way count table: each count cell
+    feeds rater A's marginal of class ``a`` and rater B's marginal of class
+    ``b``; per (group, class) the marginals multiply, per group they sum.
+    The input is read and shuffled once.
+    """
     keys = _keys(keys)
     cc = pairs.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
-    ma = cc.groupBy(*keys, col(a).alias("c")).agg(F.sum("n").alias("na"))
-    mb = cc.groupBy(*keys, col(b).alias("c")).agg(F.sum("n").alias("nb"))
-    tot = cc.groupBy(*keys).agg(F.sum("n").alias("tot"), F.sum(F.when(col(a) == col(b), col("n"))).alias("agree"))
-    pe = (ma.join(mb, keys + ["c"], "full").fillna(0, ["na", "nb"]).join(tot, keys)
-          .groupBy(*keys).agg(F.sum(col("na") * col("nb") / (col("tot") * col("tot"))).alias("pe")))
-    j = tot.join(pe, keys)
-    po = F.coalesce(col("agree"), F.lit(0)) / col("tot")
-    return j.select(*keys, po.alias("agreement"),
-                    F.when(col("pe") < 1, (po - col("pe")) / (1 - col("pe"))).otherwise(F.lit(math.nan)).alias("kappa"))
+    n = col("n")
+    sides = F.array(
+        F.struct(col(a).alias("c"), n.alias("na"), F.lit(0).cast("long").alias("nb"),
+                 F.when(col(a) == col(b), n).otherwise(F.lit(0)).cast("long").alias("agree")),
+        F.struct(col(b).alias("c"), F.lit(0).cast("long").alias("na"), n.alias("nb"),
+                 F.lit(0).cast("long").alias("agree")))
+    per_class = (cc.select(*keys, F.inline(sides))
+                 .groupBy(*keys, "c").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"),
+                                          F.sum("agree").alias("agree")))
+    g = per_class.groupBy(*keys).agg(F.sum("na").alias("tot"), F.sum("agree").alias("agree"),
+                                     F.sum(col("na").cast("double") * col("nb")).alias("_s"))
+    po = col("agree") / col("tot")
+    pe = col("_s") / (col("tot").cast("double") * col("tot"))
+    return g.select(*keys, po.alias("agreement"),
+                    F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(F.lit(math.nan)).alias("kappa"))

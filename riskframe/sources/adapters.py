@@ -154,14 +154,18 @@ def multiclass_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
     k = col("o_orderkey")
     y = F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)) - 1
+    # class weights are computed once per row in their own projection, so the
+    # probability arrays reference columns instead of repeating expressions
+    wcols = {f"_w{m}_{c}": ((k * (mult + c)) % 7 + F.when(y == c, F.lit(6)).otherwise(F.lit(0)) + 1).cast("double")
+             for m, (_, mult) in enumerate(MC_MODELS) for c in range(4)}
+    base = o.select(k.alias("row_id"), y.alias("y"), *[e.alias(n) for n, e in wcols.items()])
     per_model = []
-    for name, mult in MC_MODELS:
-        w = [((k * (mult + c)) % 7 + F.when(y == c, F.lit(6)).otherwise(F.lit(0)) + 1).cast("double")
-             for c in range(4)]
+    for m, (name, _) in enumerate(MC_MODELS):
+        w = [col(f"_w{m}_{c}") for c in range(4)]
         tot = w[0] + w[1] + w[2] + w[3]
         per_model.append(F.struct(F.lit(name).alias("model"), F.array(*[x / tot for x in w]).alias("probs")))
-    return (o.select(k.alias("row_id"), y.alias("y"), F.inline(F.array(*per_model)))
-             .select("row_id", "model", "y", "probs"))
+    return (base.select("row_id", "y", F.inline(F.array(*per_model)))
+                .select("row_id", "model", "y", "probs"))
 
 
 # Multi-class models of the adapter (name, multiplier).
