@@ -155,7 +155,10 @@ def q_export_stats(spark, sf):
     return st.select(col("rows").cast("long"), col("columns"))
 
 
-@query("export_class_distribution")
+@query("export_class_distribution", S.with_(S.APPLICANTS, """
+SELECT SUM(n) AS rows, map_from_entries(list((cls, n))) AS class_distribution,
+       (SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE SELECT * FROM applicants)) AS columns
+FROM (SELECT COALESCE(CAST(approved_flag AS VARCHAR), 'null') AS cls, COUNT(*) AS n FROM applicants GROUP BY 1)"""))
 def q_export_classes(spark, sf):
     return K.export_stats(A.applicants(spark, sf), "approved_flag")
 
@@ -195,7 +198,10 @@ def q_audit_payload(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("sink_profile_upsert")
+@query("sink_profile_upsert", """
+SELECT user_id, json_object('event_type', arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IS NOT NULL),
+                            'value', arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL))::VARCHAR AS profile
+FROM events GROUP BY user_id""")
 def q_profile_upsert(spark, sf):
     e = TB.table(spark, sf, "events", ["user_id", "ts", "event_id", "event_type", "value"])
     prof = SF.latest_profile(e, "user_id", ["event_type", "value"], order=["event_id"])

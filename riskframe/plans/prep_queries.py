@@ -239,13 +239,28 @@ def q_champion(spark, sf):
     return edge(SEL.champion_top1(A.model_metrics(spark, sf)))
 
 
-@query("top_k_features")
+_FEATS7 = ["delinq_velocity", "enq_velocity", "unsecured_ratio", "active_ratio", "recent_open_ratio", "dpd_score",
+           "asset_class_score"]
+
+
+def _topk_sql() -> str:
+    from riskframe.plans.portfolio_queries import _DERIVED_SQL
+    items = ", ".join(f"{{'neg': -abs({c}), 'name': '{c}', 'value': {c}}}" for c in _FEATS7)
+    return S.with_(APP + f",\nd AS (SELECT prospectid, {_DERIVED_SQL} FROM applicants)", f"""
+SELECT prospectid, list_transform(top, lambda s: s.name) AS top3_names,
+       list_transform(top, lambda s: ROUND(s.value, 6)) AS top3_values
+FROM (SELECT prospectid, list_slice(list_sort([{items}]), 1, 3) AS top FROM d)""")
+
+
+@query("top_k_features", _topk_sql())
 def q_topk(spark, sf):
     app = A.applicants(spark, sf)
     feats = X.derived_features(app.columns)
     names = list(feats)
     arr = F.array(*[feats[n] for n in names])
-    return app.select("prospectid", SEL.top_k_per_row(arr, names, 3).alias("top3"))
+    top = SEL.top_k_per_row(arr, names, 3)
+    return app.select("prospectid", F.transform(top, lambda s: s["name"]).alias("top3_names"),
+                      F.transform(top, lambda s: F.round(s["value"], 6)).alias("top3_values"))
 
 
 @query("seeded_sample")
@@ -338,9 +353,13 @@ def q_iqr(spark, sf):
     return edge(ST.iqr_fences(A.applicants(spark, sf), NUM))
 
 
-@query("iqr_clip_rows")
+@query("iqr_clip_rows", S.with_(APP + ",\nf AS (SELECT " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS {c}_q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS {c}_q3"
+    for c in NUM) + " FROM applicants)", "SELECT prospectid, " + ", ".join(
+    f"ROUND(CASE WHEN {c} IS NULL THEN NULL ELSE LEAST(GREATEST(CAST({c} AS DOUBLE), {c}_q1 - 1.5 * ({c}_q3 - {c}_q1)), "
+    f"{c}_q3 + 1.5 * ({c}_q3 - {c}_q1)) END, 6) AS {c}" for c in NUM) + " FROM applicants, f"))
 def q_iqr_clip(spark, sf):
-    return ST.iqr_clip(A.applicants(spark, sf).select("prospectid", *NUM), NUM)
+    return edge(ST.iqr_clip(A.applicants(spark, sf).select("prospectid", *NUM), NUM))
 
 
 @query("skew_report", S.with_(APP, "\nUNION ALL\n".join(

@@ -95,7 +95,13 @@ def _chunk_index(spark, sf):
                     F.lit(1).alias("page")).distinct()
 
 
-@query("unresolved_citations")
+@query("unresolved_citations", r"""
+WITH c AS (
+  SELECT doc_id, trim(unnest(regexp_extract_all(text, '([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)', 1))) AS doc,
+         CAST(unnest(regexp_extract_all(text, '([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)', 2)) AS INTEGER) AS page
+  FROM documents),
+idx AS (SELECT DISTINCT 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS doc, 1 AS page FROM documents WHERE length(text) > 0)
+SELECT c.doc_id, c.doc, c.page FROM c ANTI JOIN idx USING (doc, page)""")
 def q_unresolved(spark, sf):
     return TX.unresolved_citations(_docs(spark, sf), _chunk_index(spark, sf))
 
@@ -111,7 +117,19 @@ def q_json_lenient(spark, sf):
     return p.select("page_id", X.json_extract_lenient("html").alias("json"))
 
 
-@query("key_set_difference")
+_REQ = "['actions', 'gini', 'ks', 'psi', 'summary']"
+
+
+def _keys_sql() -> str:
+    from riskframe.plans.catalog import ORACLES
+    return f"""
+SELECT page_id,
+  list_sort(list_filter({_REQ}, lambda k: NOT list_contains(COALESCE(json_keys(json), []), k))) AS missing,
+  list_sort(list_filter(COALESCE(json_keys(json), []), lambda k: NOT list_contains({_REQ}, k))) AS extra
+FROM ({ORACLES["json_extract_lenient"]}) j"""
+
+
+@query("key_set_difference", _keys_sql())
 def q_keys(spark, sf):
     p = TB.table(spark, sf, "pages", ["page_id", "html"])
     j = p.select("page_id", X.json_extract_lenient("html").alias("json"))
