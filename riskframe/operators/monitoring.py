@@ -151,8 +151,20 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs: list[float],
     values are ever gathered in one place.  Returns (keys, q_idx, q, value).
     """
     keys = _keys(keys)
+    return quantiles_from_counts(distinct_value_counts(df, keys, value), keys, value, qs, n_buckets)
+
+
+def distinct_value_counts(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, value, cnt) over non-NULL, non-NaN values (map-side combined)."""
+    keys = _keys(keys)
     v = df.where(col(value).isNotNull() & ~F.isnan(col(value)))
-    counts = v.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+    return v.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+
+
+def quantiles_from_counts(counts: DataFrame, keys, value: str, qs: list[float],
+                          n_buckets: int = N_BUCKETS) -> DataFrame:
+    """``exact_quantiles`` on a (keys, value, cnt) table."""
+    keys = _keys(keys)
     pre = with_prefix(counts, keys, value, ["cnt"], n_buckets)
     # numpy: virtual index = n*q - q ; lo = floor ; hi = min(lo+1, n-1)
     targets = []
@@ -200,19 +212,21 @@ def psi_quantile(expected: DataFrame, actual: DataFrame, keys, value: str,
     """
     keys = _keys(keys)
     qs = _linspace(bins)
-    qv = exact_quantiles(expected, keys, value, qs)
+    e_counts = distinct_value_counts(expected, keys, value)
+    qv = quantiles_from_counts(e_counts, keys, value, qs)
+    # one row per group (at most bins + 1 edges): a small, bounded table
     edges = qv.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("edges"))
 
-    def binned(df: DataFrame, tag: str) -> DataFrame:
-        x = df.select(*keys, value).where(col(value).isNotNull() & ~F.isnan(col(value)))
-        j = x.join(edges, keys)
-        b = j.select(*keys, _bin_of(col(value), col("edges")).alias("bin")).where(col("bin").isNotNull())
-        return b.groupBy(*keys, "bin").agg(F.count("*").alias(tag))
+    def binned(counts: DataFrame, tag: str) -> DataFrame:
+        # bin distinct values, not rows: the join input is the count table
+        j = counts.join(edges, keys)
+        b = j.select(*keys, _bin_of(col(value), col("edges")).alias("bin"), "cnt").where(col("bin").isNotNull())
+        return b.groupBy(*keys, "bin").agg(F.sum("cnt").alias(tag))
 
     all_bins = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"),
                             F.size("edges").alias("n_edges"))
-    t = (all_bins.join(binned(expected, "e_cnt"), keys + ["bin"], "left")
-         .join(binned(actual, "a_cnt"), keys + ["bin"], "left")
+    t = (all_bins.join(binned(e_counts, "e_cnt"), keys + ["bin"], "left")
+         .join(binned(distinct_value_counts(actual, keys, value), "a_cnt"), keys + ["bin"], "left")
          .fillna(0, ["e_cnt", "a_cnt"]))
     w = Window.partitionBy(*keys)
     e_pct = F.greatest(col("e_cnt") / F.greatest(F.sum("e_cnt").over(w), F.lit(1)), F.lit(floor))
