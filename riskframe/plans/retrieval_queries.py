@@ -55,25 +55,46 @@ def q_two_collections(spark, sf):
                                  exclude_self=True)
 
 
-@query("knn_classify")
+def _brute_sql(dist: str, k: int = 5) -> str:
+    """Brute-force top-k over every (query, corpus) pair - the oracle only."""
+    return f"""nn AS (
+  SELECT q_id, c_id, c_label, d, row_number() OVER (PARTITION BY q_id ORDER BY d, c_id) AS rank FROM (
+    SELECT a.vec_id AS q_id, b.vec_id AS c_id, b.label AS c_label,
+           {dist.format(a="CAST(a.embedding AS DOUBLE[])", b="CAST(b.embedding AS DOUBLE[])")} AS d
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  QUALIFY rank <= {k})"""
+
+
+_EUCLID = "list_distance({a}, {b})"
+_COS = "-list_cosine_similarity({a}, {b})"
+
+
+@query("knn_classify", "WITH " + _brute_sql(_EUCLID) + """,
+votes AS (SELECT q_id, c_label AS label, SUM(CASE WHEN d = 0 THEN 1e300 ELSE 1.0 / d END) AS weight FROM nn GROUP BY ALL)
+SELECT q_id, CAST(arg_max(label, (weight, -label)) AS INTEGER) AS predicted, ROUND(MAX(weight), 6) AS vote_weight
+FROM votes GROUP BY q_id""")
 def q_knn_classify(spark, sf):
     e = _emb(spark, sf)
-    return RT.knn_classify(e, e, "vec_id", "vec_id", "label", k=5, weights="distance")
+    return edge(RT.knn_classify(e, e, "vec_id", "vec_id", "label", k=5, weights="distance"))
 
 
-@query("label_filtered_neighbours")
+@query("label_filtered_neighbours", "WITH " + _brute_sql(_EUCLID) + """
+SELECT q_id, CAST(rank AS INTEGER) AS rank, c_id, c_label, ROUND(d, 6) AS distance FROM nn""")
 def q_label_neighbours(spark, sf):
     e = _emb(spark, sf)
     hits = RT.knn_topk(e, e, "vec_id", "vec_id", k=5, metric="euclidean", exclude_self=True, block_rows=256)
     lab = e.select(col("vec_id").alias("c_id"), col("label").alias("c_label"))
-    return hits.join(lab, "c_id").select("q_id", "rank", "c_id", "c_label", (-col("score")).alias("distance"))
+    return edge(hits.join(lab, "c_id").select("q_id", "rank", "c_id", "c_label", (-col("score")).alias("distance")))
 
 
-@query("retrieval_eval")
+@query("retrieval_eval", "WITH " + _brute_sql(_COS) + """
+SELECT ROUND(AVG(p), 6) AS mean_precision_at_k, COUNT(*) AS queries FROM (
+  SELECT nn.q_id, AVG(CASE WHEN q.label = nn.c_label THEN 1.0 ELSE 0.0 END) AS p
+  FROM nn JOIN embeddings q ON q.vec_id = nn.q_id GROUP BY nn.q_id)""")
 def q_retrieval_eval(spark, sf):
     e = _emb(spark, sf)
     hits = RT.knn_topk(e, e, "vec_id", "vec_id", k=5, exclude_self=True, block_rows=256)
-    return RT.label_precision_at_k(hits, e, "vec_id", "label")
+    return edge(RT.label_precision_at_k(hits, e, "vec_id", "label"))
 
 
 _GROUPS = {"trade_lines": ["total_tl", "tot_active_tl", "unsecured_tl"],
