@@ -48,11 +48,23 @@ def q_ann_recall(spark, sf):
     return RT.recall_at_k(approx, exact)
 
 
-@query("retrieve_two_collections")
+@query("retrieve_two_collections", """
+WITH pairs AS (
+  SELECT a.vec_id AS q_id, b.vec_id AS c_id, CASE WHEN b.label < 5 THEN 'customers' ELSE 'policies' END AS collection,
+         list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q_id, collection ORDER BY score DESC, c_id) AS rank FROM pairs
+  QUALIFY rank <= CASE WHEN collection = 'customers' THEN 3 ELSE 5 END)
+SELECT q_id, collection, list(c_id ORDER BY rank) AS hit_ids, list(ROUND(score, 6) ORDER BY rank) AS hit_scores,
+       CAST(COUNT(*) AS INTEGER) AS n_hits
+FROM ranked GROUP BY q_id, collection""")
 def q_two_collections(spark, sf):
     e = _emb(spark, sf).withColumn("collection", F.when(col("label") < 5, "customers").otherwise("policies"))
-    return RT.knn_per_collection(e, e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
-                                 exclude_self=True)
+    r = RT.knn_per_collection(e, e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
+                              exclude_self=True)
+    return r.select("q_id", "collection", F.transform("hits", lambda h: h["c_id"]).alias("hit_ids"),
+                    F.transform("hits", lambda h: F.round(h["score"], 6)).alias("hit_scores"), "n_hits")
 
 
 def _brute_sql(dist: str, k: int = 5) -> str:
