@@ -242,31 +242,47 @@ def unresolved_citations(reports: DataFrame, index: DataFrame, id_col: str = "do
 REQUIRED_KEYS = ["actions", "gini", "ks", "psi", "summary"]
 
 
+def _key_diff(json_col: str, required: list[str] | None = None) -> tuple[Column, Column]:
+    req = F.array(*[F.lit(k) for k in sorted(required or REQUIRED_KEYS)])
+    keys = F.coalesce(F.json_object_keys(col(json_col)), F.array().cast("array<string>"))
+    return (F.array_sort(F.array_except(req, keys)).alias("missing"),
+            F.array_sort(F.array_except(keys, req)).alias("extra"))
+
+
 def key_set_difference(docs: DataFrame, id_col: str, json_col: str,
                        required: list[str] | None = None) -> DataFrame:
     """Missing and extra top-level keys of each JSON object."""
-    req = F.array(*[F.lit(k) for k in sorted(required or REQUIRED_KEYS)])
-    keys = F.coalesce(F.json_object_keys(col(json_col)), F.array().cast("array<string>"))
-    return docs.select(id_col, F.array_sort(F.array_except(req, keys)).alias("missing"),
-                       F.array_sort(F.array_except(keys, req)).alias("extra"))
+    return docs.select(id_col, *_key_diff(json_col, required))
 
 
 def grounding_audit(reports: DataFrame, allowed: DataFrame, index: DataFrame, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", allowed_col: str = "number") -> DataFrame:
     """Per report - numbers used, invented numbers, citations,
-    unresolved citations, JSON key checks and action citations."""
-    used = numbers_long(reports, id_col, text).groupBy(id_col).agg(F.count("*").alias("n_numbers"))
-    inv = invented_numbers(reports, allowed, id_col, text).groupBy(id_col).agg(F.count("*").alias("n_invented"))
-    cit = citations(reports, id_col, text).groupBy(id_col).agg(F.count("*").alias("n_citations"))
-    unr = unresolved_citations(reports, index, id_col, text).groupBy(id_col).agg(F.count("*").alias("n_unresolved"))
-    js = reports.select(id_col, X.json_extract_lenient(col(text)).alias("_j"))
+    unresolved citations, JSON key checks and action citations.
+
+    One projection over the text yields the number and citation arrays and
+    the JSON; counts are array sizes.  Only the two checks against other
+    tables (allowed numbers, citation index) explode and anti-join, and
+    their per-report counts are joined back on the report id.
+    """
+    base = reports.select(id_col, X.decimal_numbers(col(text)).alias("_nums"),
+                          X.pdf_citations(col(text)).alias("_cits"),
+                          X.json_extract_lenient(col(text)).alias("_j"))
+    ok = allowed.select(col(allowed_col).alias("number")).distinct()
+    inv = (base.select(id_col, F.explode("_nums").alias("number")).join(ok, "number", "left_anti")
+           .groupBy(id_col).agg(F.count("*").alias("n_invented")))
+    unr = (base.select(id_col, F.explode("_cits").alias("c"))
+           .select(id_col, col("c.doc").alias("doc"), col("c.page").alias("page"))
+           .join(index.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
+           .groupBy(id_col).agg(F.count("*").alias("n_unresolved")))
     actions = F.from_json(F.get_json_object(col("_j"), "$.actions"), "array<string>")
-    keys = key_set_difference(js, id_col, "_j").join(js.select(
-        id_col, F.coalesce(F.size(actions), F.lit(0)).alias("n_actions"),
-        F.coalesce(F.size(F.filter(actions, lambda a: ~a.rlike(r"\.pdf\s*p\d+"))), F.lit(0)).alias("uncited_actions")),
-        id_col)
-    out = reports.select(id_col)
-    for part in (used, inv, cit, unr):
-        out = out.join(part, id_col, "left")
-    out = out.fillna(0, ["n_numbers", "n_invented", "n_citations", "n_unresolved"]).join(keys, id_col, "left")
-    return out.withColumn("too_few_actions", col("n_actions") < 3)
+    per = base.select(
+        id_col,
+        F.coalesce(F.size("_nums"), F.lit(0)).alias("n_numbers"),
+        F.coalesce(F.size("_cits"), F.lit(0)).alias("n_citations"),
+        *_key_diff("_j"),
+        F.coalesce(F.size(actions), F.lit(0)).alias("n_actions"),
+        F.coalesce(F.size(F.filter(actions, lambda a: ~a.rlike(r"\.pdf\s*p\d+"))), F.lit(0)).alias("uncited_actions"))
+    out = per.join(inv, id_col, "left").join(unr, id_col, "left").fillna(0, ["n_invented", "n_unresolved"])
+    return out.select(id_col, "n_numbers", "n_invented", "n_citations", "n_unresolved", "missing", "extra",
+                      "n_actions", "uncited_actions", (col("n_actions") < 3).alias("too_few_actions"))
