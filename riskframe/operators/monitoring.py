@@ -42,7 +42,11 @@ def with_prefix(counts: DataFrame, keys, value: str, measures: list[str],
     ``counts`` must hold one row per (keys, value).
     """
     keys = _keys(keys)
-    rng = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # group range and measure totals in one aggregate: every consumer of
+    # ``counts`` then needs all of its columns, so the count table is
+    # computed once and its exchange reused
+    rng = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                    *[F.sum(m).alias(f"{m}_tot") for m in measures])
     c = counts.join(rng, keys)
     span = col("_hi") - col("_lo")
     pos = F.when(span > 0, (col(value) - col("_lo")) / span).otherwise(F.lit(0.0))
@@ -50,11 +54,8 @@ def with_prefix(counts: DataFrame, keys, value: str, measures: list[str],
     c = c.drop("_lo", "_hi")
     btot = c.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
     w_before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys)
     boff = btot.select(*keys, "_b", *[
-        e for m in measures for e in (
-            F.coalesce(F.sum(f"_bt_{m}").over(w_before), F.lit(0)).alias(f"_bo_{m}"),
-            F.sum(f"_bt_{m}").over(w_all).alias(f"{m}_tot"))])
+        F.coalesce(F.sum(f"_bt_{m}").over(w_before), F.lit(0)).alias(f"_bo_{m}") for m in measures])
     w_in = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = c.select("*", *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"_in_{m}") for m in measures])
     j = inner.join(boff, keys + ["_b"])
