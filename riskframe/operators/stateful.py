@@ -10,7 +10,8 @@ event-time operators over an event table:
 
 * Running counts are prefix sums inside sessions.  One customer may hold a
   third of all events, so the scan is done in two levels: events are cut
-  into (key, time-chunk) pieces scanned by windows in parallel; each piece
+  into (key, time-chunk) pieces - chunk width sized per key from its event
+  density, about ``CHUNK_ROWS`` events each - scanned by windows in parallel; each piece
   is summarised (first/last time, count, sum, whether it contains a reset,
   the tail after its last reset); a window over the per-key chunk summaries
   (small: one row per key and chunk) carries the session state across
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 col = F.col
 
 CHUNK_SECONDS = 6 * 3600
+CHUNK_ROWS = 1_000_000
 
 
 def _micros(ts: str) -> Column:
@@ -44,7 +46,7 @@ def _micros(ts: str) -> Column:
 
 def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: float,
                     measures: dict[str, Column] | None = None, order: list[str] | None = None,
-                    chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
+                    chunk_seconds: float = CHUNK_SECONDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running sums per TTL session for every event.
 
     Adds ``session_no`` (1-based per key), ``running_n`` (events in the
@@ -59,7 +61,18 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
     m_names = ["n"] + list(measures)
     x = events.select("*", _micros(ts).alias("_t"), F.lit(1).alias("_m_n"),
                       *[c.alias(f"_m_{k}") for k, c in measures.items()])
-    x = x.withColumn("_c", F.floor(col("_t") / chunk))
+    # chunk width per key: at most chunk_seconds, and narrow enough that a
+    # key's chunk holds about chunk_rows events at the key's mean density,
+    # so a key with a third of all events is still cut into many tasks
+    dens = events.select(*keys, _micros(ts).alias("_t")).groupBy(*keys).agg(
+        F.min("_t").alias("_t0"), F.max("_t").alias("_t1"), F.count("*").alias("_cnt"))
+    width = F.least(F.lit(chunk), F.greatest(
+        F.lit(1), F.floor((col("_t1") - col("_t0") + 1) * F.lit(float(chunk_rows)) / col("_cnt")))).cast("long")
+    dens = dens.select(*[col(k).alias(f"_dk{i}") for i, k in enumerate(keys)], "_t0", width.alias("_width"))
+    # null-safe: a NULL key is a group of its own, as in a window partition
+    on = [x[k].eqNullSafe(dens[f"_dk{i}"]) for i, k in enumerate(keys)]
+    x = x.join(dens, on).withColumn("_c", F.floor((col("_t") - col("_t0")) / col("_width"))) \
+         .drop("_t0", "_width", *[f"_dk{i}" for i in range(len(keys))])
     kc = keys + ["_c"]
     ordc = [col("_t")] + [col(o) for o in order]
     w_chunk = Window.partitionBy(*kc).orderBy(*ordc)

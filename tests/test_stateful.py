@@ -59,6 +59,22 @@ def test_hot_key_across_many_chunks_matches_python_fold(spark):
     assert got == _py_sessions(rows, 3600)
 
 
+def test_density_sized_chunks_match_python_fold(spark):
+    # tiny chunk_rows forces many chunks per key: carries must still be exact
+    rnd = random.Random(6)
+    rows, eid = [], 0
+    for cid in (1, 2, 3):
+        t = T0
+        for _ in range(700 if cid == 1 else 50):
+            t = t + dt.timedelta(seconds=rnd.choice([1, 20, 90, 700, 4000]))
+            eid += 1
+            rows.append((cid, t, eid, float(rnd.randint(1, 5))))
+    got = SF.session_running(_events(spark, rows), ["customer_id"], "ts", 600, {"amt": F.col("amount")},
+                             order=["event_id"], chunk_rows=7)
+    got = {r["event_id"]: (r["session_no"], r["running_n"], round(r["running_amt"], 6)) for r in got.collect()}
+    assert got == _py_sessions(rows, 600)
+
+
 def _py_ledger(events):
     out, st = {}, {}
     for cid, ts, eid, kind, amt in sorted(events, key=lambda r: (r[0], r[1], r[2])):
