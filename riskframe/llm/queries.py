@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.substring_dedup import substring_dedup
 from riskframe.sources.tables import table
 
@@ -27,3 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents", ["doc_id", "text"]), window=50)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"),
                       F.size("removed").alias("n_repeats"))
+
+
+@query("op9_bagminhash_dedup")
+def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
+    out = near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), similarity=0.8)
+    return out.select(F.col("id").alias("doc_id"), "component_id", "kept")
