@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.substring_dedup import substring_dedup
+from riskframe.llm.token_files import fresh_folder, token_index, write_token_files
 from riskframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -35,3 +37,12 @@ def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
     out = near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), similarity=0.8)
     return out.select(F.col("id").alias("doc_id"), "component_id", "kept")
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and indexed."""
+    out = fresh_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents", ["doc_id", "text"]), out,
+                      public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_index(spark, out).withColumnRenamed("id", "doc_id")
