@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.substring_dedup import substring_dedup
 from riskframe.llm.token_files import fresh_folder, token_index, write_token_files
@@ -46,3 +47,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents", ["doc_id", "text"]), out,
                       public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_index(spark, out).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_benchmark_decontamination")
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within 6 % character edits."""
+    out = contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                       table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return out.withColumnRenamed("id", "doc_id")
