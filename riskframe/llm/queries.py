@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.decontaminate import contaminated
+from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.substring_dedup import substring_dedup
 from riskframe.llm.token_files import fresh_folder, token_index, write_token_files
@@ -55,3 +56,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     out = contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]),
                        table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at cosine 0.95 or more, their components and survivors."""
+    out = embedding_near_duplicates(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), similarity=0.95)
+    return out.withColumnRenamed("id", "vec_id")
