@@ -11,6 +11,7 @@ from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.minhash_dedup import near_duplicates
 from riskframe.llm.substring_dedup import substring_dedup
 from riskframe.llm.token_files import fresh_folder, token_index, write_token_files
+from riskframe.llm.toxicity import held_out, toxicity
 from riskframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -63,3 +64,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at cosine 0.95 or more, their components and survivors."""
     out = embedding_near_duplicates(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), similarity=0.95)
     return out.withColumnRenamed("id", "vec_id")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the clause grammar."""
+    out = toxicity(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return out.select("row.doc_id", held_out("row.doc_id", 4, 2).alias("held_out"), "score", "predicted",
+                      "top_clause", "n_matches")
