@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.class_lm import score_texts
 from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.minhash_dedup import near_duplicates
@@ -72,3 +73,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
     return out.select("row.doc_id", held_out("row.doc_id", 4, 2).alias("held_out"), "score", "predicted",
                       "top_clause", "n_matches")
+
+
+@query("op10_class_lm")
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram and smoothed unigram log10 probabilities of every document."""
+    out = score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), held_out("doc_id", 7, 2))
+    return out.withColumnRenamed("id", "doc_id").withColumn(
+        "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
