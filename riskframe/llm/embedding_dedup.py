@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.graph import components
+from riskframe.llm.graph import components, local_components
 from riskframe.session import cut_lineage
 
 CELL_ROWS = 512
@@ -99,22 +99,6 @@ def _assign(cells_bc, similarity: float, reach: float):
     return run
 
 
-def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of an edge list and the smallest node of each one's component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[:len(a)], at[len(a):]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
-
-
 def _compare(similarity: float):
     """Links between the visitors of one block and the residents of another.
 
@@ -149,7 +133,7 @@ def _compare(similarity: float):
             twice = np.array([h in set(probes[q]) for h, q in zip(home[other], j[other])])
             both[other] = ~twice | (cell < home[other])
         i, j, same = i[both], j[both], same[both]
-        nodes, root = _local_roots(a[i], b[j])
+        nodes, root = local_components(a[i], b[j])
         links = np.zeros(len(nodes), np.int64)
         np.add.at(links, np.searchsorted(nodes, a[i]), right["n_r"].to_numpy()[j])
         cross = ~same

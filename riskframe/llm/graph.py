@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     lone = roots.unionByName(alone).distinct().join(e.select(F.col("a").alias("node")), "node", "left_anti")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         lone.select("node", F.col("node").alias("component")))
+
+
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of an edge list and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new

@@ -22,10 +22,11 @@ in none with probability (1 - 0.8^7)^36 = 0.0002, at 0.85 with 8e-7.
 representative first.  In every bucket each member is checked against the
 bucket's smallest member only (a star) by exact counts; components of those
 links follow.  Buckets whose members are all in one component are settled.  In
-the others, members of *different* components are compared by whole signatures
-in fixed-size blocks, and pairs whose agreement is not below the threshold by
-five standard deviations (a miss probability of 3e-7) are checked exactly too.
-Nothing is capped; large stars are salted.
+the others, members of *different* components are compared in block pairs of
+fixed size: whole signatures rule out pairs five standard deviations below the
+threshold (a miss probability of 3e-7), the rest are checked by exact overlap,
+and a block pair returns a spanning forest of the components it linked, never
+its pairs.  Nothing is capped; large stars are salted.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows
 with a null id are returned with a null class and are kept; texts that share
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
-from riskframe.llm.graph import components
+from riskframe.llm.graph import components, local_components
 from riskframe.session import cut_lineage
 
 U64 = np.uint64
@@ -206,25 +207,86 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["id", "tkey", "packed"])
 
 
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], want: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``x[i]``, ``y[j]`` where ``want``; by
+    0/1 matrix products over slices of the elements, or pair by pair if cheaper."""
+    size = lambda sets: sum(map(len, sets)) / max(1, len(sets))
+    out = np.zeros(want.shape, np.int64)
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    if want.sum() * (size(x) + size(y)) * 20 < want.size * len(both) * 0.1:
+        for i, j in np.argwhere(want):
+            out[i, j] = len(np.intersect1d(x[i], y[j], assume_unique=True))
+        return out
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        ok = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    (rx, cx), (ry, cy) = places(x), places(y)
+    for lo in range(0, len(both), 4096):
+        a = np.zeros((len(x), 4096), np.float32)
+        b = np.zeros((len(y), 4096), np.float32)
+        for m, r, c in ((a, rx, cx), (b, ry, cy)):
+            s, e = np.searchsorted(c, [lo, lo + 4096])
+            m[r[s:e], c[s:e] - lo] = 1
+        out += np.rint(a @ b.T).astype(np.int64)
+    return out
+
+
+def _bag(z, packed: bytes) -> np.ndarray:
+    """A multiset as the sorted set of (shingle, how manieth occurrence)."""
+    data = np.frombuffer(z.decompress(packed), np.uint8)
+    h, n, _ = shingle_counts(data, np.array([0, len(data)]))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(H.mix(np.repeat(h, n) + nth.astype(U64) * U64(H.BASE)))
+
+
 def _across(similarity: float, m: int):
-    """Pairs of one block pair that are in different components and whose
-    signatures agree in enough components."""
+    """Links between different components within one block pair of a bucket.
+
+    A pair is looked at in the first band it shares only.  Signatures rule out
+    pairs five standard deviations below the threshold; the rest are compared by
+    exact overlap.  Returned are the linked components as (component, smallest
+    component it is linked to here), at most one row per component.
+    """
     least = m * similarity - 5 * math.sqrt(m * similarity * (1 - similarity))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            sx = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(len(left), m)
-            sy = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), m)
-            ids, comp, w = right["rep"].to_numpy(), right["component"].to_numpy(), right["weight"].to_numpy()
-            for i, (rep, c, lw) in enumerate(zip(left["rep"], left["component"], left["weight"])):
-                ok = (comp != c) & (ids > rep) & (np.minimum(w, lw) >= similarity * np.maximum(w, lw))
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[(sy[at] == sx[i]).sum(axis=1) >= least]
-                    out_a += [rep] * len(at)
-                    out_b += ids[at].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(left) or not len(right):
+            return none
+        id_x, id_y = left["rep"].to_numpy(), right["rep_r"].to_numpy()
+        comp_x, comp_y = left["component"].to_numpy(), right["component_r"].to_numpy()
+        w_x, w_y = left["weight"].to_numpy(), right["weight_r"].to_numpy()
+        want = (comp_x[:, None] != comp_y[None, :]) & (id_x[:, None] < id_y[None, :])
+        want &= np.minimum.outer(w_x, w_y) >= similarity * np.maximum.outer(w_x, w_y)
+        sig_x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(len(left), m)
+        sig_y = np.frombuffer(b"".join(right["sig_r"]), np.uint8).reshape(len(right), m)
+        band_x, band_y = np.stack(left["bands"]), np.stack(right["bands_r"])
+        band = int(left["band"].iloc[0])
+        for i in np.flatnonzero(want.any(axis=1)):
+            j = np.flatnonzero(want[i])
+            ok = (sig_y[j] == sig_x[i]).sum(axis=1) >= least
+            ok &= ~(band_y[j, :band] == band_x[i, :band]).any(axis=1)
+            want[i, j[~ok]] = False
+        rows, cols = np.flatnonzero(want.any(axis=1)), np.flatnonzero(want.any(axis=0))
+        if not len(rows):
+            return none
+        z = zstandard.ZstdDecompressor()
+        want = want[np.ix_(rows, cols)]
+        both = _shared_counts([_bag(z, left["packed"].iloc[i]) for i in rows],
+                              [_bag(z, right["packed_r"].iloc[j]) for j in cols], want)
+        either = w_x[rows][:, None] + w_y[cols][None, :] - both
+        i, j = np.nonzero(want & (both >= similarity * either))
+        if not len(i):
+            return none
+        node, root = local_components(comp_x[rows][i], comp_y[cols][j])
+        return pd.DataFrame({"a": node, "b": root})[node != root]
     return run
 
 
@@ -249,7 +311,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     reps = cut_lineage(signed.join(chosen.withColumnRenamed("rep", "id"), ["id", "tkey"]).dropDuplicates(["id"])
                        .select(F.col("id").alias("rep"), "tkey", "weight", "bands", "sig"))
 
-    banded = reps.select("rep", "weight", F.explode("bands").alias("bucket"))
+    banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "weight")).alias("h"), F.count("*").alias("n"))
     heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight")))
     met = cut_lineage(banded.join(heads, "bucket"))
@@ -265,20 +327,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     links = checked.where(F.col("jaccard") >= similarity).select("a", "b")
     first = components(links)
 
-    labelled = met.select("bucket", "rep", "weight").join(first, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", "weight", F.coalesce("component", "rep").alias("component"))
+    labelled = met.select("bucket", "band", "rep", "weight").join(first, F.col("rep") == F.col("node"), "left").select(
+        "bucket", "band", "rep", "weight", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     open_ = open_.where("x <> y").select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     left = labelled.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = cut_lineage(left.join(reps.select("rep", "sig"), "rep"))
+    left = cut_lineage(left.join(reps.select("rep", "sig", "bands"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cols = ["bucket", "rep", "weight", "component", "sig"]
-    lhs = left.select(*cols, "part", other)
+    cols = ["bucket", "band", "rep", "weight", "component", "sig", "bands", "packed"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lhs = left.select(*cols, "part", other).repartition(n, "bucket", "part", "other")
     rhs = left.select(*cols, F.col("part").alias("other"), other.alias("part"))
-    pairs = lhs.groupBy("bucket", "part", "other").cogroup(rhs.groupBy("bucket", "part", "other")).applyInPandas(
+    rhs = rhs.toDF(*[f"{c}_r" for c in rhs.columns]).repartition(n, "bucket_r", "part_r", "other_r")
+    late = lhs.groupBy("bucket", "part", "other").cogroup(rhs.groupBy("bucket_r", "part_r", "other_r")).applyInPandas(
         _across(similarity, bands * rows), "a long, b long")
-    pairs = cut_lineage(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    late = _verify(pairs, packed, similarity).where(F.col("jaccard") >= similarity).select("a", "b")
     classes = components(links.union(late))
 
     named = content.join(classes, F.col("rep") == F.col("node"), "left").select(
