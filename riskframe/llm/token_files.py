@@ -14,7 +14,7 @@ sampling for the ranges never runs the tokenizer, and each task writes one
 contiguous range.
 
 **Speed.**  The tokenizer's pre-tokeniser never joins across white space, so each
-white-space-separated chunk encodes alone; a task encodes every distinct chunk
+white-space-separated chunk encodes alone; a worker encodes every distinct chunk
 once and looks the rest up.  The table is emptied when it reaches
 ``CACHE_CHUNKS`` entries, which bounds a task's memory.
 
@@ -25,7 +25,6 @@ repeated rows are repeated; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import hashing as H
 from riskframe.session import scratch_path
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 #: Distinct int32 values that fit the writer's dictionary page below.
 MAX_DICTIONARY = 1 << 18
 FORMAT = {
@@ -51,37 +50,76 @@ FORMAT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
-#: White space on which chunks may be cut: a subset of what the tokenizer drops.
-_CUT = re.compile(r"[ \t\n\r]+")
-
 
 class ChunkEncoder:
-    """Encode texts chunk by chunk with a bounded table of chunks seen."""
+    """Encode texts chunk by chunk with a bounded table of chunks seen.
+
+    Chunks are bytes with A-Z folded (the tokenizer folds them too).  A run of
+    dots and commas after a letter or digit is a pre-token of its own, so it is
+    solved apart from the word before it.  New chunks are encoded together, kept
+    apart by a special token that none of them holds; a text that holds the start of
+    a special token is encoded whole.
+    """
 
-    def __init__(self, path: str):
+    FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def __init__(self, path: str, separator: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, list[int]] = {}
+        self.separator, self.mark = separator, separator[:2]
+        self.separator_id = self.tokenizer.token_to_id(separator)
+        self.seen: dict[bytes, bytes] = {}       # chunk -> ids as int32 bytes
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _solve(self, chunks: list[bytes]) -> None:
+        joined = f" {self.separator} ".join(c.decode() for c in chunks)
+        ids = self.whole(joined)
+        stop = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+        start = np.concatenate([[0], stop[:-1] + 1])
+        raw = ids.tobytes()
+        for c, s, e in zip(chunks, (4 * start).tolist(), (4 * stop).tolist()):
+            self.seen[c] = raw[s:e]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        cut = []
+        for c in fresh:
+            core = c.rstrip(b".,")
+            cut.append(core if len(core) < len(c) and core and core[-1] in self.ALNUM else c)
+        todo = {*cut, *(c[len(k):] for c, k in zip(fresh, cut))} - {b""}
+        todo = list(todo.difference(self.seen))
+        for i in range(0, len(todo), 8192):
+            self._solve(todo[i:i + 8192])
+        for c, k in zip(fresh, cut):
+            if len(k) < len(c):
+                self.seen[c] = self.seen[k] + self.seen[c[len(k):]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_CUT.split(t) for t in texts]
+        odd = [self.mark in t for t in texts]
+        parts = [[] if o else t.encode().translate(self.FOLD).split() for t, o in zip(texts, odd)]
         fresh = list(set(chain.from_iterable(parts)).difference(self.seen))
         if len(self.seen) + len(fresh) > CACHE_CHUNKS:
-            self.seen = {}
+            self.seen.clear()
             fresh = list(set(chain.from_iterable(parts)))
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i:i + 4096]
-            for chunk, enc in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.seen[chunk] = enc.ids
+        if fresh:
+            self._learn(fresh)
         get = self.seen.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in parts]
+        return [self.whole(t) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
+                for t, p, o in zip(texts, parts, odd)]
+
+
+_encoder: dict[str, ChunkEncoder] = {}
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = ChunkEncoder(path)
+        encode = _encoder.get(path)            # a reused worker keeps its chunks
+        if encode is None:
+            encode = _encoder[path] = ChunkEncoder(path)
         before = 0
         for b in H.slices(batches, limit=H.SLICE_BYTES):
             ids = encode([t or "" for t in b.column("text").to_pylist()])
