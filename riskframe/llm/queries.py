@@ -10,7 +10,9 @@ from riskframe.llm.class_lm import score_texts
 from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.minhash_dedup import near_duplicates
+from riskframe.llm.sentencepiece_codec import encode_texts
 from riskframe.llm.substring_dedup import substring_dedup
+from riskframe.llm.token_counts import count_tokens
 from riskframe.llm.token_files import fresh_folder, token_index, write_token_files
 from riskframe.llm.toxicity import held_out, toxicity
 from riskframe.sources.tables import table
@@ -81,3 +83,21 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]), held_out("doc_id", 7, 2))
     return out.withColumnRenamed("id", "doc_id").withColumn(
         "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram ids of every document and whether they decode to its text."""
+    out = encode_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("sha", F.sha2("text", 256)),
+                       public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "sha"])
+    sha = F.sha2("decoded", 256)
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces",
+                      F.xxhash64("ids").alias("ids_hash"), sha.alias("decoded_sha256"),
+                      (sha == F.coalesce("row.sha", F.sha2(F.lit(""), 256))).alias("round_trip"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document and its best score, without encoding it."""
+    return count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                        public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
