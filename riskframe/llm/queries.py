@@ -10,6 +10,7 @@ from riskframe.llm.class_lm import score_texts
 from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.minhash_dedup import near_duplicates
+from riskframe.llm.quality import quality
 from riskframe.llm.sentencepiece_codec import encode_texts
 from riskframe.llm.substring_dedup import substring_dedup
 from riskframe.llm.token_counts import count_tokens
@@ -101,3 +102,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram pieces of every document and its best score, without encoding it."""
     return count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]),
                         public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the weakly trained scorer."""
+    return quality(table(spark, sf_dir, "documents", ["doc_id", "text"])).withColumnRenamed("id", "doc_id")
