@@ -39,7 +39,7 @@ from riskframe.llm import hashing as H
 U64 = np.uint64
 BLOCK_CHARS = 8_000_000
 TABLE_BITS = 22
-OUT = "id long, item_id long, start int, end int, edits int, item_chars int, shared_grams int"
+OUT = "id long, text_hash long, item_id long, start int, end int, edits int, item_chars int, shared_grams int"
 
 
 def normalise(text: str | None) -> str:
@@ -219,11 +219,11 @@ def _match(index_bc):
                 take = pa.array([d for d, _ in keys], pa.int64())
                 v = [rows[k] for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(take), pa.array([index.ids[i] for _, i in keys], pa.int64()),
+                    [b.column("id").take(take), b.column("text_hash").take(take), pa.array([index.ids[i] for _, i in keys], pa.int64()),
                      pa.array([x[1] for x in v], pa.int32()), pa.array([x[2] for x in v], pa.int32()),
                      pa.array([x[0] for x in v], pa.int32()),
                      pa.array([len(index.codes[i]) for _, i in keys], pa.int32()), pa.array([x[3] for x in v], pa.int32())],
-                    ["id", "item_id", "start", "end", "edits", "item_chars", "shared_grams"])
+                    ["id", "text_hash", "item_id", "start", "end", "edits", "item_chars", "shared_grams"])
     return run
 
 
@@ -245,11 +245,12 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tup
 def contaminated(docs: DataFrame, items: DataFrame, q: int = 12, max_edit_rate: float = 0.06,
                  id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per (document, item) with an occurrence: ``id, item_id, start, end,
-    edits, item_chars, shared_grams``; the best occurrence, positions in the
-    normalised document."""
+    """One row per (document, item) with an occurrence: ``id, text_hash, item_id,
+    start, end, edits, item_chars, shared_grams``; the best occurrence, positions in
+    the normalised document."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                       F.col(text_col).alias("text"))
     wanted = items.select(F.col(item_id_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
     parts = []
     for block in item_blocks(wanted):

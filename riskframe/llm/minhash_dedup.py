@@ -292,11 +292,11 @@ def _across(similarity: float, m: int):
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, rows: int = 7,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, component_id, kept``.
+    """One row per input row: ``id, text_hash, component_id, kept``.
 
     ``component_id`` is the smallest id of the row's class and ``kept`` marks the
     class's own row; both follow from links of similarity at least
-    ``similarity``.
+    ``similarity``.  ``text_hash`` is xxhash64 of the text.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("tkey"))
@@ -349,4 +349,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     keys = base.select("id", "tkey")
     out = keys.join(found, ["id", "tkey"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select("id", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", F.col("tkey").alias("text_hash"), component.alias("component_id"),
+                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -171,14 +171,16 @@ class Codec:
 _codec: dict[str, Codec] = {}
 
 
-def _run(codec_bc, key: str):
+def _run(codec_bc, key: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec.get(key)              # a reused worker keeps its segments
         if codec is None:
             _codec.clear()
             codec = _codec[key] = codec_bc.value
         for b in H.slices(batches):
-            ids = [codec.encode(t) for t in b.column("text").to_pylist()]
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids = [codec.encode(t) for t in texts]
+            back = [codec.decode(x) for x in ids]
             offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32)
             low, high = min(codec.vocab.byte_id), max(codec.vocab.byte_id)
@@ -186,15 +188,19 @@ def _run(codec_bc, key: str):
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)),
                  pa.array((is_byte[offs[1:]] - is_byte[offs[:-1]]).astype(np.int32)),
-                 pa.array([codec.decode(x) for x in ids], pa.string())],
-                ["row", "ids", "n_byte_pieces", "decoded"])
+                 pa.array([x == t for x, t in zip(back, texts)]),
+                 pa.array(back if with_text else [None] * len(back), pa.string())],
+                ["row", "ids", "n_byte_pieces", "round_trip", "decoded"])
     return run
 
 
-def encode_texts(docs: DataFrame, model_path: str, carry: list[str], text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, carry: list[str], text_col: str = "text",
+                 with_text: bool = True) -> DataFrame:
     """One row per input row: ``row`` (struct of ``carry``), ``ids``,
-    ``n_byte_pieces`` and ``decoded``, the text rebuilt from ``ids``."""
+    ``n_byte_pieces``, ``round_trip`` and ``decoded``, the text rebuilt from ``ids``
+    (null without ``with_text``)."""
     bc = docs.sparkSession.sparkContext.broadcast(Codec(load_unigram(model_path)))
     base = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
     row_type = base.schema["row"].dataType.simpleString()
-    return base.mapInArrow(_run(bc, model_path), f"row {row_type}, ids array<int>, n_byte_pieces int, decoded string")
+    return base.mapInArrow(_run(bc, model_path, with_text),
+                           f"row {row_type}, ids array<int>, n_byte_pieces int, round_trip boolean, decoded string")

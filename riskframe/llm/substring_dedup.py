@@ -29,6 +29,7 @@ their texts; repeated rows each appear in the result; other columns travel in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +124,9 @@ def _extend(window: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the words under each document's removed spans."""
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Drop the words under each document's removed spans.  With ``whole`` a text
+    that loses nothing stays as it is, white space included."""
     for b in H.slices(batches):
         kept, n_words, n_removed, merged = [], [], [], []
         for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
@@ -139,7 +141,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(sum(e - s for s, e in out))
             for s, e in reversed(out):
                 del words[s:e]
-            kept.append(b" ".join(words).decode())
+            kept.append(text or "" if whole and not out else b" ".join(words).decode())
             merged.append([{"s": s, "e": e} for s, e in out])
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
@@ -149,12 +151,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                    carry: list[str] | None = None) -> DataFrame:
+                    carry: list[str] | None = None, keep_whole: bool = False) -> DataFrame:
     """One row per input row: ``id, row, n_words, n_removed, removed, kept_text``.
 
     ``removed`` lists the maximal removed spans in words, [s, e); ``kept_text``
-    joins the remaining words by one space; ``row`` is a struct of the
-    ``carry`` columns of the input.
+    joins the remaining words by one space (with ``keep_whole`` only where words
+    were removed); ``row`` is a struct of the ``carry`` columns of the input.
     """
     row = F.struct(*[F.col(c) for c in carry or []]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
@@ -189,5 +191,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     todo = base.join(per_doc, (base.id == per_doc.id) & (base.tkey == per_doc.tkey), "left").select(
         base.id, base.row, base.text, per_doc.spans)
     row_type = base.schema["row"].dataType.simpleString()
-    return todo.mapInArrow(_cut, f"id long, row {row_type}, n_words long, n_removed long, "
+    return todo.mapInArrow(partial(_cut, whole=keep_whole), f"id long, row {row_type}, n_words long, n_removed long, "
                                  "removed array<struct<s:int,e:int>>, kept_text string")
