@@ -14,9 +14,8 @@ sampling for the ranges never runs the tokenizer, and each task writes one
 contiguous range.
 
 **Speed.**  The tokenizer's pre-tokeniser never joins across white space, so each
-white-space-separated chunk encodes alone; a worker encodes every distinct chunk
-once and looks the rest up.  The table is emptied when it reaches
-``CACHE_CHUNKS`` entries, which bounds a task's memory.
+white-space-separated chunk encodes alone; a worker encodes distinct chunks once and
+looks the rest up in a table of the last ``CACHE_CHUNKS`` or so.
 
 Defined cases: null and empty texts hold only the end id; null ids sort first and
 are kept; rows that share an id follow each other in the order of their texts;
@@ -36,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.recent import Recent, kept
 from riskframe.session import scratch_path
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 250_000
 #: Distinct int32 values that fit the writer's dictionary page below.
 MAX_DICTIONARY = 1 << 18
 FORMAT = {
@@ -52,13 +52,14 @@ FORMAT = {
 }
 
 class ChunkEncoder:
-    """Encode texts chunk by chunk with a bounded table of chunks seen.
+    """Encode texts chunk by chunk with a bounded table of recent chunks.
 
     Chunks are bytes with A-Z folded (the tokenizer folds them too).  A run of
     dots and commas after a letter or digit is a pre-token of its own, so it is
-    solved apart from the word before it.  New chunks are encoded together, kept
-    apart by a special token that none of them holds; a text that holds the start of
-    a special token is encoded whole.
+    solved apart from the word before it.  New chunks are encoded together: chunks
+    of letters alone are one pre-token each and end at an end-of-word id; others are
+    kept apart by a special token that none of them holds.  A text that holds the
+    start of a special token is encoded whole.
     """
 
     FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -69,57 +70,67 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.mark = separator, separator[:2]
         self.separator_id = self.tokenizer.token_to_id(separator)
-        self.seen: dict[bytes, bytes] = {}       # chunk -> ids as int32 bytes
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.ends_word = np.array([x.endswith("</w>") for x in names])
+        self.seen = Recent(CACHE_CHUNKS)         # chunk -> ids as int32 bytes
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _solve(self, chunks: list[bytes]) -> None:
-        joined = f" {self.separator} ".join(c.decode() for c in chunks)
-        ids = self.whole(joined)
-        stop = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
-        start = np.concatenate([[0], stop[:-1] + 1])
-        raw = ids.tobytes()
+    def _store(self, chunks: list[bytes], ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        raw, now = ids.tobytes(), self.seen.now
         for c, s, e in zip(chunks, (4 * start).tolist(), (4 * stop).tolist()):
-            self.seen[c] = raw[s:e]
+            now[c] = raw[s:e]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        cut = []
+    def _solve(self, chunks: list[bytes]) -> None:
+        words, others = [], []
+        for c in chunks:
+            (words if c.decode().isalpha() else others).append(c)
+        for i in range(0, len(words), 1024):
+            some = words[i:i + 1024]
+            ids = self.whole(b" ".join(some).decode())
+            stop = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stop) != len(some):           # a letter that normalises to another class
+                others += some
+                continue
+            self._store(some, ids, np.concatenate([[0], stop[:-1]]), stop)
+        for i in range(0, len(others), 1024):
+            some = others[i:i + 1024]
+            ids = self.whole(f" {self.separator} ".join(c.decode() for c in some))
+            stop = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+            self._store(some, ids, np.concatenate([[0], stop[:-1] + 1]), stop)
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        seen, split, todo = self.seen, [], []
         for c in fresh:
+            if seen.recall(c) is not None:
+                continue
             core = c.rstrip(b".,")
-            cut.append(core if len(core) < len(c) and core and core[-1] in self.ALNUM else c)
-        todo = {*cut, *(c[len(k):] for c, k in zip(fresh, cut))} - {b""}
-        todo = list(todo.difference(self.seen))
-        for i in range(0, len(todo), 8192):
-            self._solve(todo[i:i + 8192])
-        for c, k in zip(fresh, cut):
-            if len(k) < len(c):
-                self.seen[c] = self.seen[k] + self.seen[c[len(k):]]
+            if len(core) < len(c) and core and core[-1] in self.ALNUM:
+                split.append((c, core, c[len(core):]))
+                todo += (core, c[len(core):])
+            else:
+                todo.append(c)
+        todo = set(todo).difference(seen.now)
+        self._solve([c for c in todo if seen.recall(c) is None])
+        for c, core, tail in split:
+            seen.now[c] = seen.now[core] + seen.now[tail]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [self.mark in t for t in texts]
         parts = [[] if o else t.encode().translate(self.FOLD).split() for t, o in zip(texts, odd)]
-        fresh = list(set(chain.from_iterable(parts)).difference(self.seen))
-        if len(self.seen) + len(fresh) > CACHE_CHUNKS:
-            self.seen.clear()
-            fresh = list(set(chain.from_iterable(parts)))
-        if fresh:
-            self._learn(fresh)
-        get = self.seen.__getitem__
+        self.seen.turn()
+        self._learn(set(chain.from_iterable(parts)).difference(self.seen.now))
+        get = self.seen.now.__getitem__
         return [self.whole(t) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
                 for t, p, o in zip(texts, parts, odd)]
 
 
-_encoder: dict[str, ChunkEncoder] = {}
-
-
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = _encoder.get(path)            # a reused worker keeps its chunks
-        if encode is None:
-            encode = _encoder[path] = ChunkEncoder(path)
+        encode = kept(f"chunks {path}", lambda: ChunkEncoder(path))
         before = 0
         for b in H.slices(batches, limit=H.SLICE_BYTES):
             ids = encode([t or "" for t in b.column("text").to_pylist()])
