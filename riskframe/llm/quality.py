@@ -227,6 +227,9 @@ def quality(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", tex
     seen = cut_lineage(base.mapInArrow(_observe, "id long, pattern int, buckets array<int>, weights array<float>"))
     tally = seen.groupBy("pattern").count().collect()           # at most 3^9 rows
     pattern = np.array([r.pattern for r in tally], np.int64)
+    if not tally:
+        return seen.select("id", *[F.lit(None).cast("double").alias(c) for c in ("weak_posterior", "score")],
+                           F.lit(None).cast("boolean").alias("kept"))
     vote = pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     _, _, post = expectation_maximisation(vote, np.array([r["count"] for r in tally], float))
     known = dict(zip(pattern.tolist(), post.tolist()))

@@ -9,8 +9,8 @@ an unknown of fixed cost and becomes one byte piece per UTF-8 byte.  Decoding jo
 pieces, turns runs of byte pieces into characters, markers into spaces, and drops
 the marker put before the text.
 
-Every distinct segment (see ``unigram``) is solved once per worker; the table is
-emptied at ``CACHE`` entries.  The trie is built once and broadcast; its size is
+Distinct segments (see ``unigram``) are solved once per worker, which keeps the
+last ``CACHE`` or so.  The trie is built once and broadcast; its size is
 that of the vocabulary.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.recent import Recent, kept
 from riskframe.llm.unigram import MARK, Unigram, load_unigram
 
-CACHE, LONG = 500_000, 64
+CACHE, LONG = 250_000, 64
 
 
 class DoubleArray:
@@ -86,7 +87,7 @@ class Codec:
         self.ids = [vocab.ids[k] for k in keys]
         self.scores = [vocab.score[k] for k in keys]
         self.trie = DoubleArray([k.encode() for k in keys])
-        self.seen: dict[str, bytes] = {}         # segment -> ids as int32 bytes
+        self.seen = Recent(CACHE)                # segment -> ids as int32 bytes
         # what each id decodes to: raw bytes, the marker as a space
         said = [p.replace(MARK, " ").encode() for p in vocab.pieces]
         for byte, i in enumerate(vocab.byte_id):
@@ -96,7 +97,7 @@ class Codec:
         self.place = np.cumsum(self.length) - self.length
 
     def __getstate__(self):
-        return {**self.__dict__, "seen": {}}
+        return {**self.__dict__, "seen": Recent(CACHE)}
 
     def best_path(self, text: str) -> list[int]:
         """Viterbi over one stretch of text."""
@@ -140,23 +141,25 @@ class Codec:
         return out[::-1]
 
     def _solve(self, segment: str) -> bytes:
+        seen = self.seen
+        if (out := seen.recall(segment)) is not None:
+            return out
         parts = []
         for part in self.vocab.split(segment):
-            got = self.seen.get(part)
+            got = seen.now.get(part) or seen.recall(part)
             if got is None:
                 got = np.array(self.best_path(part), np.int32).tobytes()
                 if len(part) <= LONG:
-                    self.seen[part] = got
+                    seen.now[part] = got
             parts.append(got)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
         out = b"".join(parts)
         if len(segment) <= LONG:
-            self.seen[segment] = out
+            seen.now[segment] = out
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        get, solve = self.seen.get, self._solve
+        self.seen.turn()
+        get, solve = self.seen.now.get, self._solve
         return np.frombuffer(b"".join([get(s) or solve(s) for s in self.vocab.segments(text)]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -168,15 +171,9 @@ class Codec:
         return raw[1:].decode("utf-8", "replace") if self.vocab.pieces[ids[0]].startswith(MARK) else raw.decode("utf-8", "replace")
 
 
-_codec: dict[str, Codec] = {}
-
-
 def _run(codec_bc, key: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec.get(key)              # a reused worker keeps its segments
-        if codec is None:
-            _codec.clear()
-            codec = _codec[key] = codec_bc.value
+        codec: Codec = kept(f"codec {key}", lambda: codec_bc.value)
         for b in H.slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [codec.encode(t) for t in texts]

@@ -8,7 +8,7 @@ starts from left to right, so equal paths resolve exactly as in encoding.  A
 character that is no piece costs the unknown score and counts one piece per UTF-8
 byte (byte fallback).
 
-Every distinct segment is solved once per worker (bounded table), so a text costs
+Distinct segments are solved once per worker (in a bounded table), so a text costs
 one look-up per segment.
 
 Defined cases: null and empty texts count 0; repeated rows are counted each; null
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.recent import Recent, kept
 from riskframe.llm.unigram import Unigram, load_unigram
 
-CACHE, LONG = 800_000, 64
+CACHE, LONG = 250_000, 64
 
 
 class Counter:
@@ -38,7 +39,7 @@ class Counter:
         for piece, score in vocab.score.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.seen: dict[str, bytes] = {}      # (pieces, 16 x score) as two int32
+        self.seen = Recent(CACHE)             # (pieces, 16 x score) as two int32
 
     def best(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path of one stretch."""
@@ -64,40 +65,36 @@ class Counter:
         return count[n], score[n]
 
     def _solve(self, segment: str) -> bytes:
+        seen = self.seen
+        if (out := seen.recall(segment)) is not None:
+            return out
         parts = []
         for part in self.vocab.split(segment):
-            got = self.seen.get(part)
+            got = seen.now.get(part) or seen.recall(part)
             if got is None:
                 pieces, score = self.best(part)
                 got = np.array([pieces, round(16 * score)], np.int32).tobytes()
                 if len(part) <= LONG:
-                    self.seen[part] = got
+                    seen.now[part] = got
             parts.append(got)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
         if len(parts) == 1:
             return parts[0]
         out = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).sum(axis=0, dtype=np.int32).tobytes()
         if len(segment) <= LONG:
-            self.seen[segment] = out
+            seen.now[segment] = out
         return out
 
     def __call__(self, text: str | None) -> tuple[int, float]:
-        get, solve = self.seen.get, self._solve
+        self.seen.turn()
+        get, solve = self.seen.now.get, self._solve
         found = np.frombuffer(b"".join([get(s) or solve(s) for s in self.vocab.segments(text)]), np.int32)
         pieces, score = found.reshape(-1, 2).sum(axis=0, dtype=np.int64)
         return int(pieces), float(score) / 16
 
 
-_counter: dict[str, Counter] = {}
-
-
 def _run(vocab_bc, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter.get(key)
-        if counter is None:
-            _counter.clear()
-            counter = _counter[key] = Counter(vocab_bc.value)
+        counter: Counter = kept(f"counts {key}", lambda: Counter(vocab_bc.value))
         for b in H.slices(batches):
             got = [counter(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
