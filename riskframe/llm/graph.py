@@ -31,16 +31,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = cut_lineage(links.where("a IS NOT NULL AND b IS NOT NULL").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    def signature(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    sign = signature(e)                    # stars come out of a round as they went in
     for _ in range(max_rounds):
         big = _to_minimum(_both(e), F.col("b") > F.col("a"))
         big = big.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
         small = _to_minimum(big, F.lit(True))
         new = cut_lineage(small.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct())
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = signature(new)
         if now == sign:
             break
-        e0, e, sign = e, new, now
+        e, sign = new, now
     else:
         raise RuntimeError("components: no fixed point")
     roots = e.select(F.col("b").alias("node")).distinct()

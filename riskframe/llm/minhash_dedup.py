@@ -24,8 +24,8 @@ bucket's smallest member only (a star) by exact counts; components of those
 links follow.  Buckets whose members are all in one component are settled.  In
 the others, members of *different* components are compared in block pairs of
 fixed size: whole signatures rule out pairs five standard deviations below the
-threshold (a miss probability of 3e-7), the rest are checked by exact overlap,
-and a block pair returns a spanning forest of the components it linked, never
+threshold (a miss probability of 3e-7), the rest are checked by exact overlap
+unless already connected, and a block pair returns a spanning forest of the components it linked, never
 its pairs.  Nothing is capped; large stars are salted.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows
@@ -46,11 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
-from riskframe.llm.graph import components, local_components
+from riskframe.llm.graph import components
 from riskframe.session import cut_lineage
 
 U64 = np.uint64
-BLOCK = 512
+BLOCK = 1024
 
 
 def shingle_counts(data: np.ndarray, offs: np.ndarray, size: int = 5):
@@ -250,43 +250,72 @@ def _across(similarity: float, m: int):
     """Links between different components within one block pair of a bucket.
 
     A pair is looked at in the first band it shares only.  Signatures rule out
-    pairs five standard deviations below the threshold; the rest are compared by
-    exact overlap.  Returned are the linked components as (component, smallest
-    component it is linked to here), at most one row per component.
+    pairs five standard deviations below the threshold.  The rest are checked by
+    exact overlap from the best estimate down, skipping pairs that the links found
+    here already connect; if many stay open, they are counted at once.  Returned are
+    the linked components as (component, smallest component it is linked to
+    here), at most one row per component.
     """
     least = m * similarity - 5 * math.sqrt(m * similarity * (1 - similarity))
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return none
-        id_x, id_y = left["rep"].to_numpy(), right["rep_r"].to_numpy()
-        comp_x, comp_y = left["component"].to_numpy(), right["component_r"].to_numpy()
-        w_x, w_y = left["weight"].to_numpy(), right["weight_r"].to_numpy()
-        want = (comp_x[:, None] != comp_y[None, :]) & (id_x[:, None] < id_y[None, :])
-        want &= np.minimum.outer(w_x, w_y) >= similarity * np.maximum.outer(w_x, w_y)
-        sig_x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(len(left), m)
-        sig_y = np.frombuffer(b"".join(right["sig_r"]), np.uint8).reshape(len(right), m)
-        band_x, band_y = np.stack(left["bands"]), np.stack(right["bands_r"])
-        band = int(left["band"].iloc[0])
-        for i in np.flatnonzero(want.any(axis=1)):
-            j = np.flatnonzero(want[i])
-            ok = (sig_y[j] == sig_x[i]).sum(axis=1) >= least
-            ok &= ~(band_y[j, :band] == band_x[i, :band]).any(axis=1)
-            want[i, j[~ok]] = False
-        rows, cols = np.flatnonzero(want.any(axis=1)), np.flatnonzero(want.any(axis=0))
-        if not len(rows):
-            return none
-        z = zstandard.ZstdDecompressor()
-        want = want[np.ix_(rows, cols)]
-        both = _shared_counts([_bag(z, left["packed"].iloc[i]) for i in rows],
-                              [_bag(z, right["packed_r"].iloc[j]) for j in cols], want)
-        either = w_x[rows][:, None] + w_y[cols][None, :] - both
-        i, j = np.nonzero(want & (both >= similarity * either))
-        if not len(i):
-            return none
-        node, root = local_components(comp_x[rows][i], comp_y[cols][j])
-        return pd.DataFrame({"a": node, "b": root})[node != root]
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        part, other, band = int(key[2]), int(key[3]), int(key[1])
+        x = np.flatnonzero(rows["part"].to_numpy() == part)
+        y = x if part == other else np.flatnonzero(rows["part"].to_numpy() == other)
+        rep, comp, weight = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["weight"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), m)
+        keys = np.stack(rows["bands"])
+        at_x, at_y, agree = [], [], []
+        for i in x:
+            j = y[comp[y] != comp[i]]
+            if part == other:
+                j = j[rep[j] > rep[i]]
+            j = j[np.minimum(weight[j], weight[i]) >= similarity * np.maximum(weight[j], weight[i])]
+            same = (sig[j] == sig[i]).sum(axis=1)
+            j, same = j[same >= least], same[same >= least]
+            first = ~(keys[j, :band] == keys[i, :band]).any(axis=1)
+            at_x.append(np.full(first.sum(), i))
+            at_y.append(j[first])
+            agree.append(same[first])
+        order = np.argsort(-np.concatenate(agree), kind="stable") if agree else []
+        if not len(order):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        at_x, at_y = np.concatenate(at_x)[order], np.concatenate(at_y)[order]
+        z, bags, root = zstandard.ZstdDecompressor(), {}, {}
+
+        def bag(i: int) -> np.ndarray:
+            if i not in bags:
+                bags[i] = _bag(z, rows["packed"].iloc[i])
+            return bags[i]
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        def link(i: int, j: int, both: int) -> None:
+            if both >= similarity * (weight[i] + weight[j] - both):
+                a, b = find(comp[i]), find(comp[j])
+                root[max(a, b)] = min(a, b)
+
+        tries = 4 * len(rows)
+        for k, (i, j) in enumerate(zip(at_x.tolist(), at_y.tolist())):
+            if find(comp[i]) == find(comp[j]):
+                continue
+            if tries == 0:
+                open_ = np.array([find(comp[p]) != find(comp[q]) for p, q in zip(at_x[k:], at_y[k:])])
+                ux, px = np.unique(at_x[k:][open_], return_inverse=True)
+                uy, py = np.unique(at_y[k:][open_], return_inverse=True)
+                want = np.zeros((len(ux), len(uy)), bool)
+                want[px, py] = True
+                both = _shared_counts([bag(i) for i in ux.tolist()], [bag(j) for j in uy.tolist()], want)
+                for p, q in zip(px, py):
+                    link(ux[p], uy[q], int(both[p, q]))
+                break
+            tries -= 1
+            link(i, j, len(np.intersect1d(bag(i), bag(j), assume_unique=True)))
+        node = np.array(list(root), np.int64)
+        return pd.DataFrame({"a": node, "b": np.array([find(c) for c in node.tolist()], np.int64)})
     return run
 
 
@@ -333,13 +362,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     open_ = open_.where("x <> y").select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     left = labelled.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     left = cut_lineage(left.join(reps.select("rep", "sig", "bands"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cols = ["bucket", "band", "rep", "weight", "component", "sig", "bands", "packed"]
+    # a row goes to the block pairs (p, q), p <= q, that its part is in
+    pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    left = left.select("bucket", "band", F.col("part"), pair, "rep", "weight", "component", "sig", "bands", "packed")
+    left = left.select(F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), *[
+        c for c in left.columns if c != "other"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lhs = left.select(*cols, "part", other).repartition(n, "bucket", "part", "other")
-    rhs = left.select(*cols, F.col("part").alias("other"), other.alias("part"))
-    rhs = rhs.toDF(*[f"{c}_r" for c in rhs.columns]).repartition(n, "bucket_r", "part_r", "other_r")
-    late = lhs.groupBy("bucket", "part", "other").cogroup(rhs.groupBy("bucket_r", "part_r", "other_r")).applyInPandas(
+    late = left.repartition(n, "bucket", "band", "p", "q").groupBy("bucket", "band", "p", "q").applyInPandas(
         _across(similarity, bands * rows), "a long, b long")
     classes = components(links.union(late))
 
