@@ -24,10 +24,11 @@ repeated rows are repeated; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from riskframe.llm import hashing as H
 from riskframe.llm.recent import Recent, kept
 from riskframe.session import scratch_path
 
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 600_000
 #: Distinct int32 values that fit the writer's dictionary page below.
 MAX_DICTIONARY = 1 << 18
 FORMAT = {
@@ -63,6 +64,9 @@ class ChunkEncoder:
     """
 
     FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    #: ASCII marks as '.', bytes of other characters as 'h', the rest as itself.
+    KINDS = bytes(46 if 32 < b < 128 and not chr(b).isalnum() else 104 if b > 127 else 97 if b > 32 else b for b in range(256))
+    BEFORE = re.compile(r"([^\x00-\x7f])[.,]")
     ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
@@ -116,11 +120,22 @@ class ChunkEncoder:
         for c, core, tail in split:
             seen.now[c] = seen.now[core] + seen.now[tail]
 
+    def chunks(self, text: str) -> list[bytes]:
+        """Chunks of a text; dots and commas that end a word stand alone if every one
+        of the text's follows a letter or digit (else they may be part of a longer run
+        of marks, which is one pre-token)."""
+        data = text.encode().translate(self.FOLD)
+        kinds = data.translate(self.KINDS)
+        if b".." not in kinds and (b"h." not in kinds or all(map(str.isalnum, self.BEFORE.findall(text)))):
+            for mark in (b".", b","):
+                data = data.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
+        return data.split()
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [self.mark in t for t in texts]
-        parts = [[] if o else t.encode().translate(self.FOLD).split() for t, o in zip(texts, odd)]
+        parts = [[] if o else self.chunks(t) for t, o in zip(texts, odd)]
         self.seen.turn()
-        self._learn(set(chain.from_iterable(parts)).difference(self.seen.now))
+        self._learn(set(filterfalse(self.seen.now.__contains__, chain.from_iterable(parts))))
         get = self.seen.now.__getitem__
         return [self.whole(t) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
                 for t, p, o in zip(texts, parts, odd)]
