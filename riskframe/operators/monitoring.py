@@ -10,12 +10,12 @@ rows, so prefix sums are computed in two levels:
 
 1. rows are reduced to one row per (group, distinct score) by a hash
    aggregate (map-side partial aggregation absorbs hot groups);
-2. each score falls in one of ``n_buckets`` equal-width buckets of its
-   group's [min, max] range; bucket totals (``groups x n_buckets`` rows)
-   give every bucket its offset through a small window;
-3. a window partitioned by (group, bucket) adds the within-bucket prefix.
+2. those rows are range partitioned by (group, score) at sampled cut points, so
+   outliers and crowded scores fill no piece; piece totals (at most groups +
+   partitions rows) give every piece its offset through a small window;
+3. a window partitioned by (group, piece) adds the prefix inside the piece.
 
-So the largest sort is one bucket of one group's distinct scores.
+A NULL group is a group like any other.
 """
 
 from __future__ import annotations
@@ -25,40 +25,32 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-col = F.col
+from riskframe.operators.keys import join_on, range_pieces
 
-N_BUCKETS = 1024
+col = F.col
 
 
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def with_prefix(counts: DataFrame, keys, value: str, measures: list[str],
-                n_buckets: int = N_BUCKETS) -> DataFrame:
+def with_prefix(counts: DataFrame, keys, value: str, measures: list[str]) -> DataFrame:
     """Add ``<m>_lt`` (sum of ``m`` over rows of the same group with a
     strictly smaller ``value``) and ``<m>_tot`` for every measure.
 
-    ``counts`` must hold one row per (keys, value).
+    ``counts`` must hold one row per (keys, value).  A NULL key is a group.
     """
     keys = _keys(keys)
-    # group range and measure totals in one aggregate: every consumer of
-    # ``counts`` then needs all of its columns, so the count table is
-    # computed once and its exchange reused
-    rng = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                    *[F.sum(m).alias(f"{m}_tot") for m in measures])
-    c = counts.join(rng, keys)
-    span = col("_hi") - col("_lo")
-    pos = F.when(span > 0, (col(value) - col("_lo")) / span).otherwise(F.lit(0.0))
-    c = c.withColumn("_b", F.least(F.floor(pos * n_buckets), F.lit(n_buckets - 1)).cast("int"))
-    c = c.drop("_lo", "_hi")
-    btot = c.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
+    c = range_pieces(counts, [*keys, value], "_b")
+    totals = c.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
     w_before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    boff = btot.select(*keys, "_b", *[
-        F.coalesce(F.sum(f"_bt_{m}").over(w_before), F.lit(0)).alias(f"_bo_{m}") for m in measures])
+    w_all = Window.partitionBy(*keys)
+    offsets = totals.select(
+        *keys, "_b", *[F.coalesce(F.sum(f"_bt_{m}").over(w_before), F.lit(0)).alias(f"_bo_{m}") for m in measures],
+        *[F.sum(f"_bt_{m}").over(w_all).alias(f"{m}_tot") for m in measures])
     w_in = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = c.select("*", *[F.coalesce(F.sum(m).over(w_in), F.lit(0)).alias(f"_in_{m}") for m in measures])
-    j = inner.join(boff, keys + ["_b"])
+    j = join_on(inner, offsets, keys + ["_b"])
     return j.select(*[x for x in counts.columns],
                     *[(col(f"_bo_{m}") + col(f"_in_{m}")).alias(f"{m}_lt") for m in measures],
                     *[col(f"{m}_tot") for m in measures])
@@ -80,12 +72,11 @@ def score_counts(pred: DataFrame, keys, score: str = "p", label: str | Column =
                  F.sum(F.when(lab == 1, 0).otherwise(w)).alias("neg")))
 
 
-def cumulative_class_curve(pred: DataFrame, keys, score: str = "p", label: str = "y",
-                           n_buckets: int = N_BUCKETS) -> DataFrame:
+def cumulative_class_curve(pred: DataFrame, keys, score: str = "p", label: str = "y") -> DataFrame:
     """Per distinct score, positives/negatives at scores >= it
     (the curve swept by descending thresholds), with TPR and FPR."""
     keys = _keys(keys)
-    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"], n_buckets)
+    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"])
     cum_pos = col("pos_tot") - col("pos_lt")
     cum_neg = col("neg_tot") - col("neg_lt")
     return pre.select(*keys, score, "pos", "neg", cum_pos.alias("cum_pos"), cum_neg.alias("cum_neg"),
@@ -94,7 +85,7 @@ def cumulative_class_curve(pred: DataFrame, keys, score: str = "p", label: str =
 
 
 def roc_summary(pred: DataFrame, keys, score: str = "p", label: str | Column = "y",
-                weight: str | Column | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
+                weight: str | Column | None = None) -> DataFrame:
     """M1-M3: exact tie-aware AUC (Mann-Whitney), Gini = 2*AUC-1 and KS per group.
 
     AUC = sum over scores of pos * (neg below + neg/2) / (P*N).  KS is the
@@ -102,7 +93,7 @@ def roc_summary(pred: DataFrame, keys, score: str = "p", label: str | Column = "
     only get NULL (AUC is undefined there).
     """
     keys = _keys(keys)
-    pre = with_prefix(score_counts(pred, keys, score, label, weight), keys, score, ["pos", "neg"], n_buckets)
+    pre = with_prefix(score_counts(pred, keys, score, label, weight), keys, score, ["pos", "neg"])
     pn = col("pos_tot").cast("double") * col("neg_tot").cast("double")
     diff = F.abs(col("neg_lt") / col("neg_tot") - col("pos_lt") / col("pos_tot"))
     g = pre.groupBy(*keys).agg(
@@ -115,12 +106,11 @@ def roc_summary(pred: DataFrame, keys, score: str = "p", label: str | Column = "
                     F.when(col("_pn") > 0, col("_ks")).alias("ks"))
 
 
-def average_precision(pred: DataFrame, keys, score: str = "p", label: str = "y",
-                      n_buckets: int = N_BUCKETS) -> DataFrame:
+def average_precision(pred: DataFrame, keys, score: str = "p", label: str = "y") -> DataFrame:
     """AP = sum over distinct thresholds (descending) of
     (R_t - R_prev) * P_t, plus the positive base rate."""
     keys = _keys(keys)
-    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"], n_buckets)
+    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"])
     tp = col("pos_tot") - col("pos_lt")
     fp = col("neg_tot") - col("neg_lt")
     prec = tp / (tp + fp)
@@ -130,11 +120,10 @@ def average_precision(pred: DataFrame, keys, score: str = "p", label: str = "y",
     return g
 
 
-def pr_curve(pred: DataFrame, keys, score: str = "p", label: str = "y",
-             n_buckets: int = N_BUCKETS) -> DataFrame:
+def pr_curve(pred: DataFrame, keys, score: str = "p", label: str = "y") -> DataFrame:
     """Precision and recall at every distinct threshold."""
     keys = _keys(keys)
-    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"], n_buckets)
+    pre = with_prefix(score_counts(pred, keys, score, label), keys, score, ["pos", "neg"])
     tp = col("pos_tot") - col("pos_lt")
     fp = col("neg_tot") - col("neg_lt")
     return pre.select(*keys, col(score).alias("threshold"),
@@ -144,15 +133,14 @@ def pr_curve(pred: DataFrame, keys, score: str = "p", label: str = "y",
 
 # ------------------------------------------------------------------ exact quantiles
 
-def exact_quantiles(df: DataFrame, keys, value: str, qs: list[float],
-                    n_buckets: int = N_BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, qs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group (numpy's default).
 
     Works on (group, distinct value) counts and prefix counts, so no group's
     values are ever gathered in one place.  Returns (keys, q_idx, q, value).
     """
     keys = _keys(keys)
-    return quantiles_from_counts(distinct_value_counts(df, keys, value), keys, value, qs, n_buckets)
+    return quantiles_from_counts(distinct_value_counts(df, keys, value), keys, value, qs)
 
 
 def distinct_value_counts(df: DataFrame, keys, value: str) -> DataFrame:
@@ -162,11 +150,10 @@ def distinct_value_counts(df: DataFrame, keys, value: str) -> DataFrame:
     return v.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
 
 
-def quantiles_from_counts(counts: DataFrame, keys, value: str, qs: list[float],
-                          n_buckets: int = N_BUCKETS) -> DataFrame:
+def quantiles_from_counts(counts: DataFrame, keys, value: str, qs: list[float]) -> DataFrame:
     """``exact_quantiles`` on a (keys, value, cnt) table."""
     keys = _keys(keys)
-    pre = with_prefix(counts, keys, value, ["cnt"], n_buckets)
+    pre = with_prefix(counts, keys, value, ["cnt"])
     # numpy: virtual index = n*q - q ; lo = floor ; hi = min(lo+1, n-1)
     targets = []
     for j, q in enumerate(qs):
@@ -220,15 +207,15 @@ def psi_quantile(expected: DataFrame, actual: DataFrame, keys, value: str,
 
     def binned(counts: DataFrame, tag: str) -> DataFrame:
         # bin distinct values, not rows: the join input is the count table
-        j = counts.join(edges, keys)
+        j = join_on(counts, edges, keys)
         b = j.select(*keys, _bin_of(col(value), col("edges")).alias("bin"), "cnt").where(col("bin").isNotNull())
         return b.groupBy(*keys, "bin").agg(F.sum("cnt").alias(tag))
 
     all_bins = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"),
                             F.size("edges").alias("n_edges"))
-    t = (all_bins.join(binned(e_counts, "e_cnt"), keys + ["bin"], "left")
-         .join(binned(distinct_value_counts(actual, keys, value), "a_cnt"), keys + ["bin"], "left")
-         .fillna(0, ["e_cnt", "a_cnt"]))
+    t = join_on(all_bins, binned(e_counts, "e_cnt"), keys + ["bin"], "left")
+    t = join_on(t, binned(distinct_value_counts(actual, keys, value), "a_cnt"), keys + ["bin"], "left")
+    t = t.fillna(0, ["e_cnt", "a_cnt"])
     w = Window.partitionBy(*keys)
     e_pct = F.greatest(col("e_cnt") / F.greatest(F.sum("e_cnt").over(w), F.lit(1)), F.lit(floor))
     a_pct = F.greatest(col("a_cnt") / F.greatest(F.sum("a_cnt").over(w), F.lit(1)), F.lit(floor))
@@ -252,7 +239,7 @@ def psi_fixed(expected: DataFrame, actual: DataFrame, keys, value: str, bins: in
             F.count("*").alias(f"{tag}_n"),
             *[F.count_if(_bin_of(col(value), edges) == i).alias(f"{tag}_{i}") for i in range(bins)])
 
-    j = binned(expected, "e").join(binned(actual, "a"), keys)
+    j = join_on(binned(expected, "e"), binned(actual, "a"), keys)
     terms = []
     for i in range(bins):
         e = col(f"e_{i}") / col("e_n")
@@ -277,7 +264,9 @@ def monitoring_rows(pred: DataFrame, model: str = "model", score: str = "p", lab
     train = pred.where(col(split) == "train")
     roc = roc_summary(test, model, score, label)
     psi = psi_quantile(train, test, model, score)
-    j = roc.join(psi, model, "full")
+    # a model of only one split still has its row; NULL is a model like any other
+    models = roc.select(model).union(psi.select(model)).distinct()
+    j = join_on(join_on(models, roc, [model], "left"), psi, [model], "left")
     return j.select(
         col(model).alias("model_name"),
         F.lit(scored_at).cast("timestamp_ntz").alias("scored_at"),
@@ -321,7 +310,9 @@ def classwise_report(pred: DataFrame, keys, actual: str = "y", predicted: str =
     per_true = cc.groupBy(*keys, col(actual).alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(col(actual) == col(predicted), col("n"))).alias("tp"))
     per_pred = cc.groupBy(*keys, col(predicted).alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = per_true.join(per_pred, keys + ["cls"], "full").fillna(0, ["support", "tp", "predicted"])
+    every = per_true.select(*keys, "cls").union(per_pred.select(*keys, "cls")).distinct()
+    j = join_on(join_on(every, per_true, keys + ["cls"], "left"), per_pred, keys + ["cls"], "left")
+    j = j.fillna(0, ["support", "tp", "predicted"])
     prec = F.when(col("predicted") > 0, col("tp") / col("predicted")).otherwise(0.0)
     rec = F.when(col("support") > 0, col("tp") / col("support")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)

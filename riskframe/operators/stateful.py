@@ -9,13 +9,13 @@ event-time operators over an event table:
   already gone at ttl), so the boundary test is ``gap >= ttl``.
 
 * Running counts are prefix sums inside sessions.  One customer may hold a
-  third of all events, so the scan is done in two levels: events are cut
-  into (key, time-chunk) pieces - chunk width sized per key from its event
-  density, about ``CHUNK_ROWS`` events each - scanned by windows in parallel; each piece
+  third of all events, so the scan is done in two levels: events are range
+  partitioned by (key, time) at sampled cut points, so a hot or bursty key is
+  cut into many pieces; the pieces are scanned by windows in parallel; each piece
   is summarised (first/last time, count, sum, whether it contains a reset,
-  the tail after its last reset); a window over the per-key chunk summaries
-  (small: one row per key and chunk) carries the session state across
-  chunks; a join puts the carry back on the events.
+  the tail after its last reset); a window over the per-key piece summaries
+  (small: one row per key and piece) carries the session state across
+  pieces; a join puts the carry back on the events.
 
 * The credit ledger (T5) rejects draws that would exceed the limit; a
   rejected draw leaves the state unchanged, so the result is a fold that is
@@ -33,10 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-col = F.col
+from riskframe.operators.keys import join_on, range_pieces
 
-CHUNK_SECONDS = 6 * 3600
-CHUNK_ROWS = 1_000_000
+col = F.col
 
 
 def _micros(ts: str) -> Column:
@@ -45,34 +44,24 @@ def _micros(ts: str) -> Column:
 
 
 def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: float,
-                    measures: dict[str, Column] | None = None, order: list[str] | None = None,
-                    chunk_seconds: float = CHUNK_SECONDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    measures: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
     """Running sums per TTL session for every event.
 
     Adds ``session_no`` (1-based per key), ``running_n`` (events in the
     session so far, this one included) and ``running_<m>`` for every
     measure.  A new session starts when the gap to the key's previous event
-    is >= ``ttl_seconds``.
+    is >= ``ttl_seconds``.  A NULL key is a key like any other.  An event
+    without a time stands in no session: it is kept, with NULL in the added
+    columns.
     """
     measures = dict(measures or {})
     order = order or []
     ttl = int(round(ttl_seconds * 1_000_000))
-    chunk = int(round(chunk_seconds * 1_000_000))
     m_names = ["n"] + list(measures)
-    x = events.select("*", _micros(ts).alias("_t"), F.lit(1).alias("_m_n"),
-                      *[c.alias(f"_m_{k}") for k, c in measures.items()])
-    # chunk width per key: at most chunk_seconds, and narrow enough that a
-    # key's chunk holds about chunk_rows events at the key's mean density,
-    # so a key with a third of all events is still cut into many tasks
-    dens = events.select(*keys, _micros(ts).alias("_t")).groupBy(*keys).agg(
-        F.min("_t").alias("_t0"), F.max("_t").alias("_t1"), F.count("*").alias("_cnt"))
-    width = F.least(F.lit(chunk), F.greatest(
-        F.lit(1), F.floor((col("_t1") - col("_t0") + 1) * F.lit(float(chunk_rows)) / col("_cnt")))).cast("long")
-    dens = dens.select(*[col(k).alias(f"_dk{i}") for i, k in enumerate(keys)], "_t0", width.alias("_width"))
-    # null-safe: a NULL key is a group of its own, as in a window partition
-    on = [x[k].eqNullSafe(dens[f"_dk{i}"]) for i, k in enumerate(keys)]
-    x = x.join(dens, on).withColumn("_c", F.floor((col("_t") - col("_t0")) / col("_width"))) \
-         .drop("_t0", "_width", *[f"_dk{i}" for i in range(len(keys))])
+    timed = events.where(col(ts).isNotNull())
+    x = timed.select("*", _micros(ts).alias("_t"), F.lit(1).alias("_m_n"),
+                     *[c.alias(f"_m_{k}") for k, c in measures.items()])
+    x = range_pieces(x, [*keys, "_t", *order], "_c")
     kc = keys + ["_c"]
     ordc = [col("_t")] + [col(o) for o in order]
     w_chunk = Window.partitionBy(*kc).orderBy(*ordc)
@@ -83,12 +72,13 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
     for m in m_names:
         x = x.withColumn(f"_l_{m}", F.sum(f"_m_{m}").over(w_seg))
 
-    # per-chunk summaries (one row per key and chunk)
-    summ = x.groupBy(*kc).agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_seg").alias("_nseg"),
-        *[F.sum(f"_m_{m}").alias(f"_tot_{m}") for m in m_names])
-    tails = x.groupBy(*kc, "_seg").agg(*[F.sum(f"_m_{m}").alias(f"_st_{m}") for m in m_names])
-    summ = summ.join(tails.withColumnRenamed("_seg", "_nseg"), kc + ["_nseg"])
+    # per-piece summaries (one row per key and piece)
+    by_seg = x.groupBy(*kc, "_seg").agg(F.min("_t").alias("_f"), F.max("_t").alias("_z"),
+                                        *[F.sum(f"_m_{m}").alias(f"_st_{m}") for m in m_names])
+    summ = by_seg.groupBy(*kc).agg(
+        F.min("_f").alias("_first"), F.max("_z").alias("_last"), F.max("_seg").alias("_nseg"),
+        *[F.sum(f"_st_{m}").alias(f"_tot_{m}") for m in m_names],
+        *[F.max_by(f"_st_{m}", "_seg").alias(f"_st_{m}") for m in m_names])
     w_k = Window.partitionBy(*keys).orderBy("_c")
     prev_last = F.lag("_last").over(w_k)
     summ = summ.withColumn("_start", F.when(prev_last.isNull() | (col("_first") - prev_last >= ttl), 1).otherwise(0))
@@ -106,13 +96,14 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
     summ = summ.withColumn("_prior", F.coalesce(F.sum(starts).over(w_k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     carry = summ.select(*kc, "_start", "_prior", *[f"_carry_{m}" for m in m_names])
 
-    j = x.join(carry, kc)
-    out = j.withColumn("session_no", (col("_prior") + col("_start") + col("_seg")).cast("long"))
+    out = join_on(x, carry, kc)
+    out = out.withColumn("session_no", (col("_prior") + col("_start") + col("_seg")).cast("long"))
     for m in m_names:
         out = out.withColumn(f"running_{m}", F.when(col("_seg") == 0, col(f"_carry_{m}") + col(f"_l_{m}"))
                              .otherwise(col(f"_l_{m}")))
-    drop = [c for c in out.columns if c.startswith("_")]
-    return out.drop(*drop)
+    out = out.select(*events.columns, "session_no", *[f"running_{m}" for m in m_names])
+    blank = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[len(events.columns):]]
+    return out.union(events.where(col(ts).isNull()).select("*", *blank))
 
 
 def velocity_count(events: DataFrame, keys: list[str], ts: str = "ts", ttl_seconds: float = 3600,
@@ -141,19 +132,23 @@ def device_sharing(events: DataFrame, device: str = "device_id", customer: str =
                    ts: str = "ts", ttl_seconds: float = 7 * 86400, order: list[str] | None = None) -> DataFrame:
     """T4: per registration, whether the customer is new to the device's
     current set (1/0) and the set size after it.  The set expires
-    ``ttl`` after the last registration on the device."""
+    ``ttl`` after the last registration on the device.  NULL devices and
+    customers are values like any other; a registration without a time is kept
+    with NULL results."""
     order = order or []
     s = (session_running(events, [device], ts, ttl_seconds, order=order)
          .drop("running_n").withColumnRenamed("session_no", "device_session"))
+    s, untimed = s.where(col(ts).isNotNull()), s.where(col(ts).isNull())
     key = F.struct(col(ts).alias("t"), *[col(o).alias(f"o{i}") for i, o in enumerate(order)])
     # first registration of each customer within the device's current set
     first = s.groupBy(device, "device_session", customer).agg(F.min(key).alias("_f")) \
              .withColumn("_new", F.lit(1))
-    j = s.withColumn("_f", key).join(first, [device, "device_session", customer, "_f"], "left")
+    j = join_on(s.withColumn("_f", key), first, [device, "device_session", customer, "_f"], "left")
     j = j.withColumn("is_new", F.coalesce(col("_new"), F.lit(0))).drop("_f", "_new")
     # set size = running count of first registrations inside the set's life
     r = session_running(j, [device, "device_session"], ts, 1e12, {"new": col("is_new")}, order=order)
-    return r.drop("running_n", "session_no").withColumnRenamed("running_new", "n_customers")
+    r = r.drop("running_n", "session_no").withColumnRenamed("running_new", "n_customers")
+    return r.unionByName(untimed, allowMissingColumns=True)
 
 
 # ------------------------------------------------------------------ credit ledger
@@ -169,13 +164,14 @@ LEDGER_SCHEMA = T.StructType([
 def _ledger_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partition rows arrive sorted by (customer, ts, event_id); the state of
     the current customer is carried across Arrow batches."""
-    cur, limit, drawn = None, 0.0, 0.0
+    cur, limit, drawn = object(), 0.0, 0.0
     for pdf in batches:
         if pdf.empty:
             continue
-        cids = pdf["customer_id"].to_numpy()
+        # a NULL customer is one customer; a NULL amount moves nothing
+        cids = pdf["customer_id"].astype(object).where(pdf["customer_id"].notna(), None).tolist()
         kinds = pdf["kind"].to_numpy()
-        amts = pdf["amount"].to_numpy(dtype="float64")
+        amts = pdf["amount"].fillna(0.0).to_numpy(dtype="float64")
         res, lim_o, drw_o = [], [], []
         for cid, kind, a in zip(cids, kinds, amts):
             if cid != cur:
@@ -192,6 +188,7 @@ def _ledger_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lim_o.append(limit)
             drw_o.append(drawn)
         out = pdf.copy()
+        out["customer_id"] = pd.array(cids, dtype="Int64")
         out["result"] = res
         out["limit"] = lim_o
         out["drawn"] = drw_o

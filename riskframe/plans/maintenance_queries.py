@@ -156,9 +156,10 @@ def q_export_stats(spark, sf):
 
 
 @query("export_class_distribution", S.with_(S.APPLICANTS, """
-SELECT SUM(n) AS rows, map_from_entries(list((cls, n))) AS class_distribution,
+SELECT CAST(SUM(n) AS BIGINT) AS rows,
+       map_from_entries(list((cls, n) ORDER BY cls) FILTER (WHERE cls IS NOT NULL)) AS class_distribution,
        (SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE SELECT * FROM applicants)) AS columns
-FROM (SELECT COALESCE(CAST(approved_flag AS VARCHAR), 'null') AS cls, COUNT(*) AS n FROM applicants GROUP BY 1)"""))
+FROM (SELECT CAST(approved_flag AS VARCHAR) AS cls, COUNT(*) AS n FROM applicants GROUP BY 1)"""))
 def q_export_classes(spark, sf):
     return K.export_stats(A.applicants(spark, sf), "approved_flag")
 

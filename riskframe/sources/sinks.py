@@ -106,11 +106,11 @@ def export_schema(df: DataFrame) -> DataFrame:
 
 
 def export_stats(df: DataFrame, target: str) -> DataFrame:
-    """S12 (stats.json): row count, column count and class distribution."""
+    """S12 (stats.json): row count, column count and class distribution, in the
+    order of the classes.  Rows without a class count as rows, not as a class."""
     g = df.groupBy(col(target).cast("string").alias("cls")).agg(F.count("*").alias("n"))
-    return g.agg(F.sum("n").alias("rows"),
-                 F.map_from_entries(F.collect_list(F.struct(F.coalesce(col("cls"), F.lit("null")), col("n"))))
-                 .alias("class_distribution")) \
+    entries = F.array_sort(F.collect_list(F.when(col("cls").isNotNull(), F.struct("cls", "n"))))
+    return g.agg(F.sum("n").alias("rows"), F.map_from_entries(entries).alias("class_distribution")) \
             .withColumn("columns", F.lit(len(df.columns)))
 
 

@@ -59,7 +59,7 @@ def test_skewed_group_is_exact(spark):
     rnd = random.Random(11)
     rows = [("hot", rnd.randint(0, 500) / 500.0, rnd.randint(0, 1)) for _ in range(3000)]
     rows += [("cold", rnd.random(), i % 2) for i in range(20)]
-    out = {r["g"]: r for r in M.roc_summary(_pred(spark, rows), "g", n_buckets=16).collect()}
+    out = {r["g"]: r for r in M.roc_summary(_pred(spark, rows), "g").collect()}
     hot = [r for r in rows if r[0] == "hot"]
     assert math.isclose(out["hot"]["auc"], _auc_brute(hot), abs_tol=1e-12)
     assert math.isclose(out["hot"]["ks"], _ks_brute(hot), abs_tol=1e-12)
@@ -101,3 +101,28 @@ def test_kappa_hand_computed(spark):
     df = spark.createDataFrame(rows, "g string, pred_a int, pred_b int")
     r = M.cohen_kappa(df, "g").first()
     assert math.isclose(r["agreement"], 0.7) and math.isclose(r["kappa"], 0.4)
+
+
+def test_null_group_is_a_group(spark):
+    rows = [(None, 0.1, 0, "test"), (None, 0.9, 1, "test"), (None, 0.2, 0, "train"), (None, 0.8, 1, "train"), ("a", 0.9, 0, "test"),
+            ("a", 0.1, 1, "test"), ("a", 0.5, 1, "train")]
+    df = spark.createDataFrame(rows, "model string, p double, y int, split string")
+    roc = {r.model: r.auc for r in M.roc_summary(df.where("split = 'test'"), "model").collect()}
+    assert roc == {None: 1.0, "a": 0.0}
+    psi = {r.model for r in M.psi_quantile(df.where("split = 'train'"), df.where("split = 'test'"), "model", "p").collect()}
+    assert psi == {None, "a"}
+    assert {r.model_name: r.gini for r in M.monitoring_rows(df).collect()} == {None: 1.0, "a": -1.0}
+    ap = {r.model: r.average_precision for r in M.average_precision(df.where("split = 'test'"), "model").collect()}
+    assert ap == {None: 1.0, "a": 0.5}
+    q = {r.model: r.p for r in M.exact_quantiles(df, "model", "p", [0.5]).collect()}
+    assert q == {None: 0.5, "a": 0.5}
+
+
+def test_outlier_does_not_crowd_a_piece(spark):
+    """99.9 % of the values lie in a thousandth of the range."""
+    from pyspark.sql import functions as F
+    from riskframe.operators.keys import range_pieces
+    df = spark.range(8000).select(F.lit("g").alias("g"), (F.col("id") / 8000).alias("v")).union(
+        spark.range(5).select(F.lit("g"), F.lit(-99999.0) - F.col("id")))
+    n = [r["count"] for r in range_pieces(df, ["g", "v"], "_b").groupBy("_b").count().collect()]
+    assert len(n) > 1 and max(n) <= 2 * sum(n) / len(n)

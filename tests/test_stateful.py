@@ -53,14 +53,13 @@ def test_hot_key_across_many_chunks_matches_python_fold(spark):
             eid += 1
             rows.append((100 + c, T0 + dt.timedelta(hours=k * c), eid, 1.0))
     df = _events(spark, rows)
-    got = SF.session_running(df, ["customer_id"], "ts", 3600, {"amt": F.col("amount")}, order=["event_id"],
-                             chunk_seconds=86400)
+    got = SF.session_running(df, ["customer_id"], "ts", 3600, {"amt": F.col("amount")}, order=["event_id"])
     got = {r["event_id"]: (r["session_no"], r["running_n"], round(r["running_amt"], 6)) for r in got.collect()}
     assert got == _py_sessions(rows, 3600)
 
 
 def test_density_sized_chunks_match_python_fold(spark):
-    # tiny chunk_rows forces many chunks per key: carries must still be exact
+    # the range cut splits keys into many pieces: carries must still be exact
     rnd = random.Random(6)
     rows, eid = [], 0
     for cid in (1, 2, 3):
@@ -70,7 +69,7 @@ def test_density_sized_chunks_match_python_fold(spark):
             eid += 1
             rows.append((cid, t, eid, float(rnd.randint(1, 5))))
     got = SF.session_running(_events(spark, rows), ["customer_id"], "ts", 600, {"amt": F.col("amount")},
-                             order=["event_id"], chunk_rows=7)
+                             order=["event_id"])
     got = {r["event_id"]: (r["session_no"], r["running_n"], round(r["running_amt"], 6)) for r in got.collect()}
     assert got == _py_sessions(rows, 600)
 
@@ -122,3 +121,36 @@ def test_stream_form_equals_batch_form(spark):
                                          ttl_seconds=1800, order=["event_id"])
              .withColumnRenamed("v0", "velocity").collect()}
     assert stream == batch
+
+
+def test_null_keys_and_times_are_kept(spark):
+    rows = [(None, T0, 1, 1.0), (None, T0 + dt.timedelta(seconds=10), 2, 2.0), (1, T0, 3, 3.0), (1, None, 4, 4.0),
+            (None, None, 5, 5.0), (None, T0 + dt.timedelta(seconds=500), 6, None)]
+    ev = _events(spark, rows)
+    got = {r.event_id: (r.session_no, r.velocity) for r in SF.velocity_count(ev, ["customer_id"], ttl_seconds=60).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (None, None), 5: (None, None), 6: (2, 1)}
+    amounts = {r.event_id: r.velocity_amount for r in SF.velocity_amount(ev, ["customer_id"], ttl_seconds=60).collect()}
+    assert amounts == {1: 1.0, 2: 3.0, 3: 3.0, 4: None, 5: None, 6: None}
+    flags = {r.event_id: r.rejected for r in SF.rate_limit_flag(ev, ["customer_id"], ttl_seconds=60, limit=1).collect()}
+    assert flags == {1: False, 2: True, 3: False, 4: None, 5: None, 6: False}
+    dev = spark.createDataFrame([(None, 1, T0, 1), (None, None, T0, 2), (None, None, T0, 3), (5, 1, None, 4)],
+                                "device_id long, customer_id long, ts timestamp_ntz, event_id long")
+    got = {r.event_id: (r.is_new, r.n_customers) for r in SF.device_sharing(dev, order=["event_id"]).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (0, 2), 4: (None, None)}
+
+
+def test_ledger_takes_null_customers_and_amounts(spark):
+    rows = [(None, T0, 1, "approve", 10.0), (None, T0 + dt.timedelta(1), 2, "draw", 4.0), (None, T0 + dt.timedelta(2), 3, "draw", 7.0),
+            (1, T0, 4, "approve", None), (1, T0 + dt.timedelta(1), 5, "draw", 1.0)]
+    df = spark.createDataFrame(rows, "customer_id long, ts timestamp_ntz, event_id long, kind string, amount double")
+    got = {r.event_id: (r.customer_id, r.result) for r in SF.check_and_draw(df).collect()}
+    assert got == {1: (None, 10.0), 2: (None, 4.0), 3: (None, -1.0), 4: (1, 0.0), 5: (1, -1.0)}
+
+
+def test_bursty_hot_key_is_cut_evenly(spark):
+    """All but ten of one key's events fall in a thousandth of its time span."""
+    from riskframe.operators.keys import range_pieces
+    rows = [(7, T0 + dt.timedelta(seconds=i), i, 1.0) for i in range(8000)]
+    rows += [(7, T0 + dt.timedelta(days=100 + i), 9000 + i, 1.0) for i in range(10)]
+    n = [r["count"] for r in range_pieces(_events(spark, rows), ["customer_id", "ts"], "_c").groupBy("_c").count().collect()]
+    assert len(n) > 1 and max(n) <= 2 * sum(n) / len(n)
