@@ -236,9 +236,17 @@ def dpd_segment(n30: str | Column = "num_times_30p_dpd", n60: str | Column = "nu
 
 # ---------------------------------------------------------- monitoring
 
+# Default bounds of the monitoring rules.
 DEFAULT_THRESHOLDS = {"gini_min": 0.30, "ks_min": 0.20, "psi_max": 0.25}
 
 
+def thresholds(own: dict | None = None) -> dict:
+    """The default bounds with the caller's own put over them."""
+    return DEFAULT_THRESHOLDS | (own or {})
+
+
+
+
 def monitor_status(gini="gini", ks="ks", psi="psi", gini_min="gini_min", ks_min="ks_min",
                    psi_max="psi_max") -> Column:
     """P10: first breach wins; NULL (and NaN, guarded) falls through to the next test."""

@@ -258,8 +258,8 @@ def monitoring_rows(pred: DataFrame, model: str = "model", score: str = "p", lab
                     thresholds: dict | None = None) -> DataFrame:
     """M6: one monitoring row per model: gini and ks on the test split, psi
     of train scores vs test scores, thresholds and status (D5 layout)."""
-    from riskframe.functions.expressions import DEFAULT_THRESHOLDS, monitor_status
-    t = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
+    from riskframe.functions.expressions import monitor_status, thresholds as bounds
+    t = bounds(thresholds)
     test = pred.where(col(split) == "test")
     train = pred.where(col(split) == "train")
     roc = roc_summary(test, model, score, label)

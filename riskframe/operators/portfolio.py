@@ -265,7 +265,7 @@ def monitoring_recent(mon: DataFrame, as_of: datetime | str, days: int = 30,
     query testable; the filter is a plain range predicate and is pushed
     to the scan when ``mon`` is a parquet table.
     """
-    t = {**X.DEFAULT_THRESHOLDS, **(thresholds or {})}
+    t = X.thresholds(thresholds)
     stamp = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else str(as_of)
     lo = F.lit(stamp).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
     out = mon.where(col("scored_at") >= lo).select(
@@ -278,7 +278,7 @@ def monitoring_recent(mon: DataFrame, as_of: datetime | str, days: int = 30,
 
 def threshold_checks(metrics: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """gini_ok, ks_ok, psi_ok per model."""
-    t = {**X.DEFAULT_THRESHOLDS, **(thresholds or {})}
+    t = X.thresholds(thresholds)
     return metrics.select(
         "model_name", "gini", (col("gini") >= t["gini_min"]).alias("gini_ok"),
         "ks", (col("ks") >= t["ks_min"]).alias("ks_ok"),
@@ -289,7 +289,7 @@ def alerts_any_breach(metrics: DataFrame, thresholds: dict | None = None,
                       dashboard: bool = False) -> DataFrame:
     """P25: rows breaching any threshold.  ``dashboard=True``: gini derived
     as 2*auc-1, missing ks treated as 1 and missing psi as 0."""
-    t = {**X.DEFAULT_THRESHOLDS, **(thresholds or {})}
+    t = X.thresholds(thresholds)
     m = metrics
     if dashboard:
         m = m.withColumn("gini", 2 * col("roc_auc") - 1)
