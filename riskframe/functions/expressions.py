@@ -94,21 +94,21 @@ def parse_vector_text(x: str | Column) -> Column:
 
 
 def strip_code_fences(x: str | Column) -> Column:
-    """Remove an opening ```lang line and a closing ``` line."""
-    t = F.trim(_c(x))
-    t = F.regexp_replace(t, r"^```[A-Za-z0-9_-]*\s*", "")
-    return F.trim(F.regexp_replace(t, r"\s*```$", ""))
+    """Drop the fence marks at the start and end of lines and the outer white space."""
+    t = F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"(?m)^```(json)?|```$", "")
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
 def json_extract_lenient(x: str | Column) -> Column:
-    """JSON text out of generated text: fenced body if it parses, else the
-    first greedy ``{...}`` span (dot-all) if it parses, else NULL.
-    Returns the JSON string (parse with ``from_json``/``parse_json`` after)."""
+    """JSON text out of generated text: the unfenced text if it parses, else its
+    widest ``{...}`` span if that parses, else an object that holds the text
+    as ``raw_text`` and marks ``parse_error``."""
     body = strip_code_fences(x)
     span = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    ok_body = F.try_parse_json(body).isNotNull() & F.startswith(body, F.lit("{"))
     ok_span = (F.length(span) > 0) & F.try_parse_json(span).isNotNull()
-    return F.when(ok_body, body).when(ok_span, span)
+    failed = F.to_json(F.struct(body.alias("raw_text"), F.lit(True).alias("parse_error")))
+    return F.when(F.try_parse_json(body).isNotNull(), body).when(ok_span, span).when(body.isNotNull(), failed)
 
 
 def decimal_numbers(x: str | Column) -> Column:

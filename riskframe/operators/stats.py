@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.operators.monitoring import _keys, exact_quantiles, roc_summary
+from riskframe.operators.keys import range_pieces
+from riskframe.operators.monitoring import _keys, exact_quantiles
 
 col = F.col
 
@@ -190,10 +191,10 @@ def iqr_clip(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     return out
 
 
-def iqr_remove(df: DataFrame, cols: list[str], k: float = 1.5, sequential: bool = False) -> DataFrame:
-    """M18 remove: drop rows outside the fences.  Default: fences of all
-    columns from the same input (one job).  ``sequential=True`` follows the
-    reference: each column's fences are recomputed on the survivors."""
+def iqr_remove(df: DataFrame, cols: list[str], k: float = 1.5, sequential: bool = True) -> DataFrame:
+    """M18 remove: drop rows outside the fences, column by column, with the next
+    column's fences computed on the survivors.  ``sequential=False``: fences of
+    all columns from the same input (one job)."""
     if not sequential:
         fm = _fence_map(iqr_fences(df, cols, k))
         cond = F.lit(True)
@@ -260,68 +261,77 @@ def champion_pairs(pred: DataFrame, champion: str, model: str = "model", key: st
     return champ.join(chal, key)
 
 
-def _inv_norm(u: Column) -> Column:
-    """Acklam's rational approximation of the standard normal quantile."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    plow = 0.02425
-
-    def tail(q):
-        return ((((((c[0] * q + c[1]) * q + c[2]) * q + c[3]) * q + c[4]) * q + c[5])
-                / ((((d[0] * q + d[1]) * q + d[2]) * q + d[3]) * q + 1))
-    ql = F.sqrt(-2 * F.log(u))
-    qh = F.sqrt(-2 * F.log(1 - u))
-    q = u - 0.5
-    r = q * q
-    central = ((((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * q
-               / (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1))
-    return F.when(u < plow, tail(ql)).when(u > 1 - plow, -tail(qh)).otherwise(central)
-
-
-def poisson_draw(lam: Column, u: Column, exact_below: float = 200.0) -> Column:
-    """Poisson(lam) quantile at u: exact inverse CDF (JVM ``aggregate`` loop)
-    for lam < ``exact_below``, normal approximation above."""
-    upper = F.ceil(lam + 10 * F.sqrt(lam) + 20).cast("int")
-    init = F.struct(F.lit(-1).alias("k"), F.exp(-lam).alias("pmf"), F.exp(-lam).alias("cdf"))
-
-    def step(acc, i):
-        found = acc["k"] >= 0
-        hit = u <= acc["cdf"]
-        nxt_pmf = acc["pmf"] * lam / (i + 1)
-        return F.when(found, acc).when(hit, F.struct(i.alias("k"), acc["pmf"].alias("pmf"), acc["cdf"].alias("cdf"))) \
-                .otherwise(F.struct(F.lit(-1).alias("k"), nxt_pmf.alias("pmf"), (acc["cdf"] + nxt_pmf).alias("cdf")))
-    exact = F.aggregate(F.sequence(F.lit(0), upper), init, step)["k"]
-    exact = F.when(exact < 0, upper).otherwise(exact)
-    approx = F.greatest(F.round(lam + F.sqrt(lam) * _inv_norm(u)), F.lit(0.0)).cast("int")
-    return F.when(lam <= 0, F.lit(0)).when(lam < exact_below, exact).otherwise(approx)
-
-
-def _uniform(seed: int, *cols: Column) -> Column:
-    h = F.xxhash64(F.lit(seed), *cols)
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def _resample(seeds, counts, n_boot: int) -> np.ndarray:
+    """Weights of cells (rows) in every replicate (columns): the sum of a cell's
+    rows' Poisson(1) weights, drawn exactly at any count from the cell's own stream."""
+    out = np.empty((len(counts), n_boot))
+    for i, (s, c) in enumerate(zip(seeds, counts)):
+        out[i] = np.random.Generator(np.random.Philox(key=int(s) & (2 ** 64 - 1))).poisson(int(c), n_boot)
+    return out
+
+
+def _replicate_aucs(cells: DataFrame, keys: list[str], score: str, label: str, n_boot: int) -> DataFrame:
+    """(keys, aucs): AUC of every replicate, NULL where it has one class only.
+
+    ``cells`` (keys, score, label, c, _seed) are put in score order once, in range
+    pieces; a piece sums, for all replicates at once, its positives, negatives and
+    concordant pairs; the pieces of a group (one row each) are then chained.
+    """
+    pieces = range_pieces(cells.where(col(score).isNotNull() & ~F.isnan(score) & col(label).isNotNull()),
+                          [*keys, score], "_b")
+    arr = "array<double>"
+    own = ", ".join(f"{cells.schema[k].name} {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def piece(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(score, kind="stable")
+        step = 4096                              # rows whose weights are held at once
+        pos, neg, u = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        values = pdf[score].to_numpy()
+        lo = 0
+        while lo < len(pdf):
+            hi = min(len(pdf), lo + step)
+            while hi < len(pdf) and values[hi] == values[hi - 1]:
+                hi += 1                          # equal scores stay together
+            part = pdf.iloc[lo:hi]
+            w = _resample(part["_seed"], part["c"], n_boot)
+            y = (part[label].to_numpy() == 1)[:, None]
+            first = np.flatnonzero(np.append(True, values[lo + 1:hi] != values[lo:hi - 1]))
+            p, n = np.add.reduceat(w * y, first, axis=0), np.add.reduceat(w * ~y, first, axis=0)
+            below = neg + np.cumsum(n, axis=0) - n
+            u += (p * (below + n / 2)).sum(axis=0)
+            pos, neg, lo = pos + p.sum(axis=0), neg + n.sum(axis=0), hi
+        return pd.DataFrame([(*key, pos.tolist(), neg.tolist(), u.tolist())])
+
+    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, neg, u = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        for p, n, v in pdf.sort_values("_b")[["_pos", "_neg", "_u"]].itertuples(index=False):
+            p, n = np.asarray(p), np.asarray(n)
+            u += np.asarray(v) + p * neg
+            pos, neg = pos + p, neg + n
+        auc = [a / b if b > 0 else None for a, b in zip(u, pos * neg)]
+        return pd.DataFrame([(*key, auc)])
+
+    summed = pieces.groupBy(*keys, "_b").applyInPandas(
+        piece, ", ".join(filter(None, [own, f"_b int, _pos {arr}, _neg {arr}, _u {arr}"])))
+    if not keys:
+        return summed.groupBy(F.lit(0).alias("_all")).applyInPandas(
+            lambda key, pdf: chain((), pdf), f"aucs {arr}")
+    return summed.groupBy(*keys).applyInPandas(chain, f"{own}, aucs {arr}")
 
 
 def bootstrap_auc(pred: DataFrame, keys, score: str = "p", label: str = "y", n_boot: int = 300,
                   seed: int = 42) -> DataFrame:
     """Bootstrap distribution of AUC per group: mean and 2.5 / 97.5 %.
 
-    Resampling is Poisson(1) per row; rows are first reduced to (score,
-    label) cells of size c, and a cell's replicate weight is one Poisson(c)
-    draw (the sum of c independent Poisson(1)), seeded by a hash of
-    (seed, replicate, cell) - deterministic, and the data is never copied
-    300 times, only its distinct cells.
+    Resampling is Poisson(1) per row; rows are first reduced to (score, label)
+    cells, whose weights in all replicates are one array drawn from a hash of
+    (seed, cell): deterministic, and neither the data nor its cells are copied
+    per replicate.
     """
     keys = _keys(keys)
     cells = pred.groupBy(*keys, score, label).agg(F.count("*").alias("c"))
-    reps = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    u = _uniform(seed, col("rep"), *[col(k) for k in keys], col(score), col(label))
-    w = reps.withColumn("w", poisson_draw(col("c").cast("double"), u))
-    per = roc_summary(w, keys + ["rep"], score, label, weight="w")
+    cells = cells.withColumn("_seed", F.xxhash64(F.lit(seed), *keys, score, label))
+    per = _replicate_aucs(cells, keys, score, label, n_boot).select(*keys, F.explode("aucs").alias("auc"))
     return per.groupBy(*keys).agg(
         F.avg("auc").alias("auc_mean"),
         F.percentile(col("auc"), 0.025).alias("auc_lo"),
@@ -329,22 +339,18 @@ def bootstrap_auc(pred: DataFrame, keys, score: str = "p", label: str = "y", n_b
         F.count("auc").alias("n_valid"))
 
 
-def auc_delta_pvalue(pairs: DataFrame, key: str, label: str, score_a: str, score_b: str,
+def auc_delta_pvalue(pairs: DataFrame, label: str, score_a: str, score_b: str,
                      n_boot: int = 300, seed: int = 42) -> DataFrame:
     """Paired bootstrap of AUC(a) - AUC(b): one-sided p = share of
     replicates with delta <= 0, mean delta, significant if p < .05 and delta > 0.
     Both scores of a row share its replicate weight (cells of (a, b, label))."""
     cells = pairs.groupBy(score_a, score_b, label).agg(F.count("*").alias("c"))
-    reps = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    u = _uniform(seed, col("rep"), col(score_a), col(score_b), col(label))
-    w = reps.withColumn("w", poisson_draw(col("c").cast("double"), u))
-    ra = roc_summary(w, ["rep"], score_a, label, weight="w").select("rep", col("auc").alias("auc_a"))
-    rb = roc_summary(w, ["rep"], score_b, label, weight="w").select("rep", col("auc").alias("auc_b"))
-    d = ra.join(rb, "rep").where(col("auc_a").isNotNull() & col("auc_b").isNotNull()) \
-          .select((col("auc_a") - col("auc_b")).alias("delta"))
+    cells = cells.withColumn("_seed", F.xxhash64(F.lit(seed), score_a, score_b, label))
+    a = _replicate_aucs(cells, [], score_a, label, n_boot).select(F.posexplode("aucs").alias("rep", "auc_a"))
+    b = _replicate_aucs(cells, [], score_b, label, n_boot).select(F.posexplode("aucs").alias("rep", "auc_b"))
+    d = a.join(b, "rep").select((col("auc_a") - col("auc_b")).alias("delta")).where("delta IS NOT NULL")
     g = d.agg(F.avg(F.when(col("delta") <= 0, 1.0).otherwise(0.0)).alias("p_value"),
               F.avg("delta").alias("auc_delta"), F.count("*").alias("n_valid"))
-    del key
     return g.withColumn("significant_at_5pct", (col("p_value") < 0.05) & (col("auc_delta") > 0))
 
 

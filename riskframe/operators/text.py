@@ -120,13 +120,14 @@ def chunk_recursive(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, idx, out = [], [], []
+            rows, size_out = [], 0
             for d, t in zip(pdf[id_col], pdf[text]):
-                for i, c in enumerate(recursive_split(t or "", size, overlap, seps)):
-                    ids.append(d)
-                    idx.append(i)
-                    out.append(c)
-            yield pd.DataFrame({id_col: ids, "chunk_idx": idx, "text": out})
+                rows += [(d, i, c) for i, c in enumerate(recursive_split(t or "", size, overlap, seps))]
+                size_out += len(t or "")
+                if size_out > 8_000_000:             # a task holds the chunks of about 8 MB of text
+                    yield pd.DataFrame(rows, columns=schema.names)
+                    rows, size_out = [], 0
+            yield pd.DataFrame(rows, columns=schema.names)
 
     return docs.select(id_col, text).mapInPandas(run, schema)
 

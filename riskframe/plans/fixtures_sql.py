@@ -161,5 +161,26 @@ EXPOSURE_EVENTS = """exposure_events AS (
   FROM events)"""
 
 
+# A generated report per document: prose, fenced or bare JSON, at times with keys
+# missing, a key too many, a broken end, or no JSON at all; citations resolve in
+# part.  The same expression runs in both engines (string concatenation only).
+_ID = "CAST(doc_id AS STRING)"
+_CITE = "'(doc_' || " + _ID + " || '.pdf p' || CAST(doc_id % 3 + 1 AS STRING) || ')'"
+REPORT_TEXT = f"""CASE WHEN doc_id % 11 = 0 THEN 'Note ' || {_ID} ||
+    ': no structured answer. Standard accounts stay. Sub-standard ones score 650-700; doubtful ones 500 to 650 go to loss. ' || {_CITE}
+  ELSE CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) WHEN 1 THEN '' WHEN 2 THEN 'Summary follows. ' ELSE '  ```' || chr(10) END
+    || '{{"summary": "Gini 0.' || CAST(doc_id % 90 + 10 AS STRING) || ' as in ' || {_CITE} || '"'
+    || CASE WHEN doc_id % 5 <> 0 THEN ', "gini": 0.' || CAST(doc_id % 90 + 10 AS STRING) ELSE '' END
+    || CASE WHEN doc_id % 6 <> 1 THEN ', "ks": 0.25' ELSE '' END
+    || ', "psi": 0.1' || CAST(doc_id % 10 AS STRING) || ', "actions": ["Review (doc_1.pdf p1)", "Escalate"'
+    || CASE WHEN doc_id % 2 = 0 THEN ', "Monitor (doc_9999999.pdf p2)"' ELSE '' END || ']'
+    || CASE WHEN doc_id % 8 = 3 THEN ', "note": "extra"' ELSE '' END
+    || CASE WHEN doc_id % 13 = 5 THEN '' ELSE '}}' END
+    || CASE doc_id % 4 WHEN 0 THEN chr(10) || '```' WHEN 1 THEN '' WHEN 2 THEN ' End of report.' ELSE chr(10) || '```  ' END
+  END"""
+
+REPORTS = f"reports AS (SELECT doc_id, {REPORT_TEXT} AS text FROM documents)"
+
+
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"

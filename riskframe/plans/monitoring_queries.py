@@ -163,6 +163,13 @@ def q_classwise(spark, sf):
     return edge(M.classwise_report(_mcp(spark, sf), "model"))
 
 
+@query("classwise_macro", S.with_(_REPORT, """
+SELECT model, ROUND(AVG(precision), 6) AS precision, ROUND(AVG(recall), 6) AS recall, ROUND(AVG(f1), 6) AS f1,
+       CAST(SUM(support) AS BIGINT) AS support FROM rep GROUP BY model"""))
+def q_macro(spark, sf):
+    return edge(M.macro_avg(M.classwise_report(_mcp(spark, sf), "model"), "model"))
+
+
 @query("weighted_prf", S.with_(_REPORT, """
 SELECT model, ROUND(SUM(tp) / SUM(support), 6) AS accuracy,
   ROUND(SUM(precision * support) / SUM(support), 6) AS precision,

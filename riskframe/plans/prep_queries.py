@@ -417,7 +417,29 @@ def q_bootstrap(spark, sf):
 
 @query("auc_delta_pvalue")
 def q_delta(spark, sf):
+    """The champion (logreg) against every other model."""
     s = A.scored(spark, sf).where(col("split") == "test")
     a = s.where(col("model") == "logreg").select("row_id", "y", col("p").alias("p_a"))
-    b = s.where(col("model") == "forest").select("row_id", col("p").alias("p_b"))
-    return ST.auc_delta_pvalue(a.join(b, "row_id"), "row_id", "y", "p_a", "p_b", n_boot=300)
+    out = None
+    for name in [m[0] for m in A.MODELS if m[0] != "logreg"]:
+        b = s.where(col("model") == name).select("row_id", col("p").alias("p_b"))
+        one = ST.auc_delta_pvalue(a.join(b, "row_id"), "y", "p_a", "p_b", n_boot=300).withColumn("challenger", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_REMOVE = ["credit_score", "netmonthlyincome", "tot_missed_pmnt"]
+
+
+def _remove_sql() -> str:
+    steps, last = [], "applicants"
+    for i, c in enumerate(_REMOVE):
+        steps.append(f"""f{i} AS (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS b FROM {last}),
+s{i} AS (SELECT t.* FROM {last} t, f{i} WHERE {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))""")
+        last = f"s{i}"
+    return S.with_(",\n".join([APP, *steps]), f"SELECT prospectid, {', '.join(_REMOVE)} FROM {last}")
+
+
+@query("iqr_remove_rows", _remove_sql())
+def q_iqr_remove(spark, sf):
+    return ST.iqr_remove(A.applicants(spark, sf).select("prospectid", *_REMOVE), _REMOVE)

@@ -40,6 +40,16 @@ def q_velocity_amount(spark, sf):
     return edge(out.select("customer_id", "ts", "event_id", "session_no", "velocity_amount"))
 
 
+@query("velocity_amount_bucket", S.with_(S.REQUESTS + ",\n" + _sessions_sql("customer_id, bucket", 2 * DAY * 10**6), """
+SELECT customer_id, bucket, ts, event_id, CAST(session_no AS BIGINT) AS session_no,
+       ROUND(SUM(amount) OVER (PARTITION BY customer_id, bucket, session_no ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS velocity_amount
+FROM s"""))
+def q_velocity_amount_bucket(spark, sf):
+    r = A.requests(spark, sf).select("customer_id", "bucket", "ts", "event_id", "amount")
+    out = SF.velocity_amount(r, ["customer_id", "bucket"], ttl_seconds=2 * DAY, order=["event_id"])
+    return edge(out.select("customer_id", "bucket", "ts", "event_id", "session_no", "velocity_amount"))
+
+
 def _rate_sql(ttl: int, limit: int) -> str:
     return S.with_(S.REQUESTS + ",\n" + _sessions_sql("customer_id", ttl * 10**6), f"""
 SELECT customer_id, ts, event_id, velocity, velocity > {limit} AS rejected FROM (

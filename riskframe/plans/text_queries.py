@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import expressions as X
 from riskframe.operators import text as TX
+from riskframe.plans import fixtures_sql as S
 from riskframe.plans.catalog import query
+from riskframe.sources import adapters as A
 from riskframe.sources import tables as TB
 
 col = F.col
@@ -80,67 +82,84 @@ def q_invented(spark, sf):
     return TX.invented_numbers(_docs(spark, sf), allowed).select("doc_id", "number")
 
 
-@query("pdf_citations", r"""
-SELECT doc_id, trim(c[1]) AS doc, CAST(c[2] AS INTEGER) AS page FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)', ['d', 'p'])) AS s FROM documents)
-  , LATERAL (SELECT [s.d, s.p] AS c)""")
+_CITED = f"""cited AS (
+  SELECT doc_id, trim(s.d) AS doc, CAST(s.p AS INTEGER) AS page FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '{X.PDF_CITATION}', ['d', 'p'])) AS s FROM reports))"""
+
+
+@query("pdf_citations", S.with_(S.REPORTS + ",\n" + _CITED, "SELECT * FROM cited"))
 def q_citations(spark, sf):
-    return TX.citations(_docs(spark, sf))
+    return TX.citations(A.generated_reports(spark, sf))
 
 
 def _chunk_index(spark, sf):
-    d = _docs(spark, sf)
-    c = TX.chunk_fixed_overlap(d)
-    return c.select(F.concat(F.lit("doc_"), col("doc_id").cast("string"), F.lit(".pdf")).alias("doc"),
-                    F.lit(1).alias("page")).distinct()
-
-
-@query("unresolved_citations", r"""
-WITH c AS (
-  SELECT doc_id, trim(unnest(regexp_extract_all(text, '([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)', 1))) AS doc,
-         CAST(unnest(regexp_extract_all(text, '([A-Za-z0-9_\- ]+\.pdf)\s*p(\d+)', 2)) AS INTEGER) AS page
-  FROM documents),
-idx AS (SELECT DISTINCT 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS doc, 1 AS page FROM documents WHERE length(text) > 0)
-SELECT c.doc_id, c.doc, c.page FROM c ANTI JOIN idx USING (doc, page)""")
-def q_unresolved(spark, sf):
-    return TX.unresolved_citations(_docs(spark, sf), _chunk_index(spark, sf))
+    """Pages of the indexed documents: a text of n characters has n / 3000 pages,
+    rounded up."""
+    d = TB.table(spark, sf, "documents", ["doc_id", "text"]).where(F.length("text") > 0)
+    pages = F.sequence(F.lit(1), F.ceil(F.length("text") / F.lit(3000)).cast("int"))
+    return d.select(F.concat(F.lit("doc_"), col("doc_id").cast("string"), F.lit(".pdf")).alias("doc"),
+                    F.explode(pages).alias("page"))
 
 
-@query("json_extract_lenient", r"""
-SELECT page_id, CASE
-  WHEN json_valid(b) AND starts_with(b, '{') THEN b
-  WHEN length(s) > 0 AND json_valid(s) THEN s END AS json
-FROM (SELECT page_id, b, regexp_extract(b, '(?s)(\{.*\})', 1) AS s FROM (
-  SELECT page_id, trim(regexp_replace(regexp_replace(trim(html), '^```[A-Za-z0-9_-]*\s*', ''), '\s*```$', '')) AS b FROM pages))""")
-def q_json_lenient(spark, sf):
-    p = TB.table(spark, sf, "pages", ["page_id", "html"])
-    return p.select("page_id", X.json_extract_lenient("html").alias("json"))
+_INDEX = """idx AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS doc,
+  unnest(range(1, CAST(ceil(length(text) / 3000.0) AS INTEGER) + 1)) AS page FROM documents WHERE length(text) > 0)"""
+_OPEN = "open_citation AS (SELECT c.* FROM cited c WHERE NOT EXISTS (SELECT 1 FROM idx i WHERE i.doc = c.doc AND i.page = c.page))"
 
 
-_REQ = "['actions', 'gini', 'ks', 'psi', 'summary']"
+@query("unresolved_citations", S.with_(",\n".join([S.REPORTS, _CITED, _INDEX, _OPEN]), "SELECT doc_id, doc, page FROM open_citation"))
+def q_unresolved(spark, sf):
+    return TX.unresolved_citations(A.generated_reports(spark, sf), _chunk_index(spark, sf))
 
 
-def _keys_sql() -> str:
-    from riskframe.plans.catalog import ORACLES
-    return f"""
-SELECT page_id,
-  list_sort(list_filter({_REQ}, lambda k: NOT list_contains(COALESCE(json_keys(json), []), k))) AS missing,
-  list_sort(list_filter(COALESCE(json_keys(json), []), lambda k: NOT list_contains({_REQ}, k))) AS extra
-FROM ({ORACLES["json_extract_lenient"]}) j"""
+_JSON = r"""bodies AS (SELECT doc_id, trim(regexp_replace(trim(text, E' \n\t\r'), '(?m)^```(json)?|```$', '', 'g'), E' \n\t\r') AS b FROM reports),
+spans AS (SELECT doc_id, b, regexp_extract(b, '(?s)(\{.*\})', 1) AS s FROM bodies),
+parsed AS (SELECT doc_id, CASE WHEN json_valid(b) THEN b WHEN length(s) > 0 AND json_valid(s) THEN s
+  ELSE CAST(json_object('raw_text', b, 'parse_error', true) AS VARCHAR) END AS json FROM spans)"""
 
 
-@query("key_set_difference", _keys_sql())
-def q_keys(spark, sf):
-    p = TB.table(spark, sf, "pages", ["page_id", "html"])
-    j = p.select("page_id", X.json_extract_lenient("html").alias("json"))
-    return TX.key_set_difference(j, "page_id", "json")
+@query("json_extract_lenient", S.with_(S.REPORTS + ",\n" + _JSON, "SELECT * FROM parsed"))
+def q_json_lenient(spark, sf):
+    return A.generated_reports(spark, sf).select("doc_id", X.json_extract_lenient("text").alias("json"))
 
 
-@query("grounding_audit")
+_REQ = "['actions', 'gini', 'ks', 'psi', 'summary']"
+_KEYS = f"""keyed AS (SELECT doc_id,
+  list_sort(list_filter({_REQ}, lambda k: NOT list_contains(json_keys(json), k))) AS missing,
+  list_sort(list_filter(json_keys(json), lambda k: NOT list_contains({_REQ}, k))) AS extra, json FROM parsed)"""
+
+
+@query("key_set_difference", S.with_(",\n".join([S.REPORTS, _JSON, _KEYS]), "SELECT doc_id, missing, extra FROM keyed"))
+def q_keys(spark, sf):
+    j = A.generated_reports(spark, sf).select("doc_id", X.json_extract_lenient("text").alias("json"))
+    return TX.key_set_difference(j, "doc_id", "json")
+
+
+@query("grounding_audit", S.with_(",\n".join([S.REPORTS, _CITED, _INDEX, _OPEN, _JSON, _KEYS, _ALLOWED, r"""
+used AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\d+\.\d+')) AS number FROM reports),
+acts AS (SELECT doc_id, COALESCE(CAST(json_extract(json, '$.actions') AS VARCHAR[]), []) AS a FROM parsed)"""]), r"""
+SELECT r.doc_id,
+  CAST((SELECT COUNT(*) FROM used u WHERE u.doc_id = r.doc_id) AS INTEGER) AS n_numbers,
+  (SELECT COUNT(*) FROM used u WHERE u.doc_id = r.doc_id AND u.number NOT IN (SELECT number FROM allowed)) AS n_invented,
+  CAST((SELECT COUNT(*) FROM cited c WHERE c.doc_id = r.doc_id) AS INTEGER) AS n_citations,
+  (SELECT COUNT(*) FROM open_citation c WHERE c.doc_id = r.doc_id) AS n_unresolved, missing, extra,
+  CAST(len(a) AS INTEGER) AS n_actions,
+  CAST(len(list_filter(a, lambda x: NOT regexp_matches(x, '\.pdf\s*p\d+'))) AS INTEGER) AS uncited_actions,
+  len(a) < 3 AS too_few_actions
+FROM reports r JOIN keyed k ON k.doc_id = r.doc_id JOIN acts ON acts.doc_id = r.doc_id"""))
 def q_grounding(spark, sf):
     pages = TB.table(spark, sf, "pages", ["html"])
     allowed = pages.select(F.explode(X.decimal_numbers("html")).alias("number"))
-    return TX.grounding_audit(_docs(spark, sf), allowed, _chunk_index(spark, sf))
+    return TX.grounding_audit(A.generated_reports(spark, sf), allowed, _chunk_index(spark, sf))
+
+
+@query("chunk_reports_by_keywords")
+def q_report_keywords(spark, sf):
+    return TX.chunk_by_keywords(A.generated_reports(spark, sf))
+
+
+@query("chunk_reports_by_score_ranges")
+def q_report_ranges(spark, sf):
+    return TX.chunk_by_score_ranges(A.generated_reports(spark, sf))
 
 
 @query("truncate_context", """

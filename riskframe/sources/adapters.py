@@ -255,3 +255,9 @@ def exposure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(col("event_type").isin("purchase", "view"), "approve").otherwise("draw")
     return e.select(col("user_id").alias("customer_id"), "ts", "event_id",
                     kind.alias("kind"), col("value").alias("amount"))
+
+
+def generated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated report texts, one per document, as the audits receive them."""
+    from riskframe.plans.fixtures_sql import REPORT_TEXT
+    return table(spark, sf_dir, "documents", ["doc_id"]).select("doc_id", F.expr(REPORT_TEXT).alias("text"))

@@ -19,8 +19,8 @@ def _norm(v):
         return round(float(v), 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+    if isinstance(v, dict):                    # entry order counts, as in the driver
+        return tuple((k, _norm(x)) for k, x in v.items())
     if hasattr(v, "asDict"):
         return _norm(v.asDict())
     return v
