@@ -66,9 +66,9 @@ def q_standard_scale(spark, sf):
     return edge(ML.apply_standard_scaler(app, p))
 
 
-def _trained(spark, sf):
+def _trained(spark, sf, names=None):
     train, test, feats, vocab = training_frame(spark, sf)
-    models = ML.train_models(train, feats)
+    models = ML.train_models(train, feats, models=ML.build_models(names=names))
     return models, train, test, feats, vocab
 
 
@@ -114,7 +114,7 @@ def q_random_search(spark, sf):
 
 @query("batch_decide")
 def q_batch_decide(spark, sf):
-    models, train, test, feats, vocab = _trained(spark, sf)
+    models, train, test, feats, vocab = _trained(spark, sf, ["logistic_regression"])
     sample = SEL.seeded_sample(test, 100, "prospectid")
     sc = ML.score_long({"logistic_regression": models["logistic_regression"]}, sample, "prospectid")
     # primary probability: class code 1 when present (the reference's rule)
@@ -149,7 +149,7 @@ def q_propensity(spark, sf):
 
 @query("linear_contributions")
 def q_linear(spark, sf):
-    models, train, test, feats, vocab = _trained(spark, sf)
+    models, train, test, feats, vocab = _trained(spark, sf, ["logistic_regression"])
     means = train.agg(*[F.avg(f).alias(f) for f in feats]).first().asDict()
     contrib = ML.linear_contributions(models["logistic_regression"], test.select("prospectid", *feats), feats, 0, means)
     return contrib
@@ -157,6 +157,6 @@ def q_linear(spark, sf):
 
 @query("feature_importance_fallback")
 def q_importance(spark, sf):
-    models, train, test, feats, vocab = _trained(spark, sf)
+    models, train, test, feats, vocab = _trained(spark, sf, ["random_forest"])
     top = ML.feature_importances(models["random_forest"], feats, 5)
     return spark.createDataFrame(top, "feature string, importance double")
