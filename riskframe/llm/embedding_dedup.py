@@ -7,12 +7,13 @@
    [1, ``MAX_CELLS``]) is fitted on at most ``FIT_ROWS`` vectors, taken by the
    smallest hash of their id; every vector is then assigned to its nearest
    centroid.
-3. **Probes.**  A vector also visits the cells whose bisecting plane with its own
-   cell lies within reach of a partner: a partner at cosine s moves a margin by at
-   most sqrt(1 - s^2) |c - c'|, and by about that / sqrt(dim) for a partner in a
-   random direction.  ``reach`` = 5 of those deviations keep the chance of a
-   missed crossing below 1e-6 for such partners (``reach`` = sqrt(dim) would be
-   exact for adversarial ones).
+3. **Probes.**  A vector also visits the cells of smaller number whose bisecting
+   plane with its own cell lies within reach of a partner: a partner at cosine s
+   moves a margin by at most sqrt(1 - s^2) |c - c'|, and by about that / sqrt(dim)
+   in a random direction.  ``reach`` = 4 of those deviations keep the chance of
+   a missed crossing below 4e-5 even for a vector on the edge of reach (``reach`` =
+   sqrt(dim) would be exact for adversarial partners).  Vectors without cluster
+   structure are near many planes, and the work then nears all blocks against all.
 4. **Blocks.**  A cell's rows are cut into blocks of ``BLOCK`` and compared block by
    block in double precision, so a hot cell is split over tasks and no group is
    held whole.  A block pair returns per vector only its number of links and one
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.graph import components, local_components
 from riskframe.session import cut_lineage
 
-CELL_ROWS = 512
+CELL_ROWS = 1024
 MAX_CELLS = 4096
 FIT_ROWS = 40_000
 BLOCK = 1024
@@ -89,6 +90,8 @@ def _assign(cells_bc, similarity: float, reach: float):
                     gap = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
                     margin = sim[np.arange(len(x)), home][:, None] - sim
                     near = margin <= min(reach / math.sqrt(dim), 1.0) * bend * gap
+                    # of two cells the larger number visits the smaller
+                    near &= np.arange(len(c))[None, :] < home[:, None]
                     near[np.arange(len(x)), home] = True
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
@@ -102,9 +105,8 @@ def _assign(cells_bc, similarity: float, reach: float):
 def _compare(similarity: float):
     """Links between the visitors of one block and the residents of another.
 
-    A pair of one cell stands here in both orders and credits its first side.
-    Any other pair credits both sides, in the cell where it is met; if the two
-    visit each other's cells it is met twice and counts in the smaller cell.
+    A pair of one cell stands here in both orders and credits its first side; any
+    other pair is met once, in the smaller of its two cells, and credits both sides.
     """
     names = ["id", "links", "root"]
 
@@ -124,15 +126,7 @@ def _compare(similarity: float):
         i, j = np.nonzero(near)
         if not len(i):
             return none
-        home = left["home"].to_numpy()[i]
-        same = home == cell
-        both = same.copy()
-        other = np.flatnonzero(~same)
-        if len(other):
-            probes = right["probes_r"].to_numpy()
-            twice = np.array([h in set(probes[q]) for h, q in zip(home[other], j[other])])
-            both[other] = ~twice | (cell < home[other])
-        i, j, same = i[both], j[both], same[both]
+        same = left["home"].to_numpy()[i] == cell
         nodes, root = local_components(a[i], b[j])
         links = np.zeros(len(nodes), np.int64)
         np.add.at(links, np.searchsorted(nodes, a[i]), right["n_r"].to_numpy()[j])
@@ -142,7 +136,7 @@ def _compare(similarity: float):
     return run
 
 
-def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reach: float = 5.0,
+def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reach: float = 4.0,
                               id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector id: ``id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
@@ -177,7 +171,7 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reac
     left = visits.join(blocks, ["dim", "cell"]).select(
         "dim", "cell", pick("vparts").alias("v"), every("rparts").alias("r"), "id", "n", "vec", "home")
     right = placed.withColumn("cell", F.col("home")).join(blocks, ["dim", "cell"]).select(
-        "dim", "cell", every("vparts").alias("v"), pick("rparts").alias("r"), "id", "n", "vec", "probes")
+        "dim", "cell", every("vparts").alias("v"), pick("rparts").alias("r"), "id", "n", "vec")
     key = ["dim", "cell", "v", "r"]
     right = right.toDF(*[f"{c}_r" for c in right.columns])
     met = cut_lineage(left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_r" for c in key])).applyInPandas(
