@@ -153,8 +153,8 @@ def q_latest_profile(spark, sf):
 
 
 _CACHE = "WITH RECURSIVE " + S.REQUESTS + """,
-ev AS (SELECT bucket AS fp, ts, event_id, epoch_us(ts) AS t,
-              ROW_NUMBER() OVER (PARTITION BY bucket ORDER BY ts, event_id) AS rn FROM requests),
+ev AS (SELECT fp, ts, event_id, epoch_us(ts) AS t, ROW_NUMBER() OVER (PARTITION BY fp ORDER BY ts, event_id) AS rn
+       FROM (SELECT *, CAST(customer_id AS VARCHAR) || '|' || bucket AS fp FROM requests)),
 st AS (
   SELECT fp, rn, ts, event_id, t AS stamp, true AS computed FROM ev WHERE rn = 1
   UNION ALL
@@ -165,10 +165,15 @@ st AS (
 """
 
 
+def payload():
+    """What is scored: a customer's request of one kind."""
+    return F.concat_ws("|", col("customer_id").cast("string"), "bucket")
+
+
 @query("score_once_cache", _CACHE + "SELECT fp AS payload, ts, event_id, computed FROM st")
 def q_score_cache(spark, sf):
     r = A.requests(spark, sf)
-    out = SF.score_once_cache(r, col("bucket"), ttl_seconds=600)
+    out = SF.score_once_cache(r, payload(), ttl_seconds=600)
     return out.withColumnRenamed("fingerprint", "payload")
 
 
@@ -176,7 +181,7 @@ def q_score_cache(spark, sf):
        COUNT(*) FILTER (WHERE NOT computed) AS cache_hits FROM st""")
 def q_score_cache_counts(spark, sf):
     r = A.requests(spark, sf)
-    fp = X.payload_fingerprint(["bucket"])
+    fp = X.payload_fingerprint(["customer_id", "bucket"])
     out = SF.score_once_cache(r.withColumn("fp", fp), col("fp"), ttl_seconds=600)
     return out.agg(F.count_if(col("computed")).alias("scored"), F.count_if(~col("computed")).alias("cache_hits"))
 

@@ -107,8 +107,8 @@ def q_s_latest_profile(spark, sf):
 
 @query("streamed_score_once_cache", ORACLES["score_once_cache"])
 def q_s_score_cache(spark, sf):
-    r = A.requests(spark, sf).select("bucket", "ts", "event_id")
-    return _appended(spark, "score_cache", r, lambda s: ST.score_cache_stream(s, "bucket", ttl_seconds=600))
+    r = A.requests(spark, sf).select(stateful_queries.payload().alias("payload"), "ts", "event_id")
+    return _appended(spark, "score_cache", r, lambda s: ST.score_cache_stream(s, "payload", ttl_seconds=600))
 
 
 @query("streamed_request_metrics", ORACLES["request_metrics"])

@@ -17,6 +17,7 @@ operators in ``riskframe.operators.stateful`` row for row (tested).
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -50,11 +51,16 @@ def _publish(spark: SparkSession, staged: str, source: str, prefix: str) -> None
             fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(source.rstrip("/") + f"/{prefix}-{name}"))
 
 
-def replay(df: DataFrame, ts: str, base: str, build, sink, n_chunks: int = 4,
-           timeout_s: int = 900) -> None:
+#: A replayed table lands in pieces of about this many rows, and in four at least,
+#: so that state is carried over at any size.
+CHUNK_ROWS = 1_000_000
+
+
+def replay(df: DataFrame, ts: str, base: str, build, sink) -> None:
     """Replay a table as an event-time ordered stream and run ``build`` on it.
 
-    The table is cut into ``n_chunks`` consecutive event-time ranges.  Each
+    The table is cut into consecutive event-time ranges of equal length, as many
+    as give ``CHUNK_ROWS`` rows on average; rows without a time come first.  Each
     range is written in parallel (any number of files), landed in the
     watched folder, and drained by an ``availableNow`` run of the same
     query (same checkpoint), so state, watermark and timers carry from one
@@ -63,7 +69,8 @@ def replay(df: DataFrame, ts: str, base: str, build, sink, n_chunks: int = 4,
     """
     spark = df.sparkSession
     source, staging, ckpt = (os.path.join(base, d) for d in ("source", "staging", "checkpoint"))
-    lo, hi = df.agg(F.min(col(ts)).cast("timestamp"), F.max(col(ts)).cast("timestamp")).first()
+    lo, hi, rows = df.agg(F.min(col(ts)).cast("timestamp"), F.max(col(ts)).cast("timestamp"), F.count("*")).first()
+    n_chunks = max(4, math.ceil(rows / CHUNK_ROWS))
     bounds = [None] * (n_chunks + 1)
     if lo is not None:
         span = (hi - lo) / n_chunks
@@ -71,21 +78,16 @@ def replay(df: DataFrame, ts: str, base: str, build, sink, n_chunks: int = 4,
     et = col(ts).cast("timestamp")
     for i in range(n_chunks):
         if lo is None:
-            part = df.limit(0)
+            part = df if i == 0 else df.limit(0)
         else:
-            cond = et >= F.lit(bounds[i]) if i == 0 else et > F.lit(bounds[i])
-            part = df.where(cond & (et <= F.lit(bounds[i + 1])) if i < n_chunks - 1 else cond)
+            cond = et.isNull() | (et >= F.lit(bounds[i])) if i == 0 else et > F.lit(bounds[i])
+            part = df.where(cond & (et.isNull() | (et <= F.lit(bounds[i + 1]))) if i < n_chunks - 1 else cond)
         staged = os.path.join(staging, f"chunk-{i:04d}")
         part.write.mode("overwrite").parquet(staged)
         _publish(spark, staged, source, f"c{i:04d}")
         stream = build(spark.readStream.schema(df.schema).option("pathGlobFilter", "*.parquet").parquet(source))
         q = sink(stream, ckpt)
-        q.awaitTermination(timeout_s)
-        if q.isActive:
-            q.stop()
-            raise TimeoutError(f"stream over chunk {i} did not finish in {timeout_s}s")
-        if q.exception():
-            raise q.exception()
+        q.awaitTermination()           # raises what stopped the query
 
 
 def file_sink(out: str, mode: str = "append"):

@@ -112,7 +112,7 @@ def test_stream_form_equals_batch_form(spark):
     df = _events(spark, rows).withColumn("bucket", F.lit("x"))
     base = scratch_path(spark, f"test-stream-{uuid.uuid4().hex[:8]}")
     ST.replay(df, "ts", base, lambda s: ST.velocity_stream(s, ["customer_id"], ttl_seconds=1800),
-              ST.file_sink(base + "/out"), n_chunks=5)
+              ST.file_sink(base + "/out"))
     stream = {r["event_id"]: (r["session_no"], r["velocity"], round(r["velocity_amount"], 6))
               for r in spark.read.parquet(base + "/out").collect()}
     batch = {r["event_id"]: (r["session_no"], r["velocity"], round(r["velocity_amount"], 6))
