@@ -167,7 +167,8 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False,
     src = df.where(col(column).isNotNull()) if dropna else df
     g = src.groupBy(column).agg(F.count("*").alias("count"))
     if normalize:
-        g = g.withColumn("percent", _share("count"))
+        total = src.count()                     # one number; a window would gather all values in one task
+        g = g.withColumn("percent", F.round(100.0 * col("count") / F.lit(total), 2))
     return g
 
 

@@ -19,32 +19,41 @@ def _emb(spark, sf):
     return TB.table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
 
 
+#: The given query set: every vector whose id is divisible by this.
+QUERY_EVERY = 50
+
+
+def _asked(e):
+    """The query set; it is searched for among all vectors."""
+    return e.where(col("vec_id") % QUERY_EVERY == 0)
+
+
 @query("knn_cosine_exact", """
 SELECT q_id, c_id, ROUND(score, 6) AS score FROM (
   SELECT a.vec_id AS q_id, b.vec_id AS c_id,
          list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY
            list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rn
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rn <= 5""")
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rn <= 5""")
 def q_knn_exact(spark, sf):
     e = _emb(spark, sf)
-    return edge(RT.knn_topk(e, e, "vec_id", "vec_id", k=5, exclude_self=True, block_rows=256)
+    return edge(RT.knn_topk(_asked(e), e, "vec_id", "vec_id", k=5, exclude_self=True)
                 .select("q_id", "c_id", "score"))
 
 
 @query("ann_search")
 def q_ann(spark, sf):
     e = _emb(spark, sf)
-    assigned, cent = RT.ivf_index(e, "vec_id", n_cells=16)
-    return RT.ann_search(e, "vec_id", assigned, cent, k=5, nprobe=4, exclude_self=True, block_rows=256)
+    assigned, cent = RT.ivf_index(e, "vec_id")
+    return RT.ann_search(_asked(e), "vec_id", assigned, cent, k=5, exclude_self=True)
 
 
 @query("ann_recall")
 def q_ann_recall(spark, sf):
     e = _emb(spark, sf)
-    assigned, cent = RT.ivf_index(e, "vec_id", n_cells=16)
-    approx = RT.ann_search(e, "vec_id", assigned, cent, k=5, nprobe=4, exclude_self=True, block_rows=256)
-    exact = RT.knn_topk(e, e, "vec_id", "vec_id", k=5, exclude_self=True, block_rows=256)
+    assigned, cent = RT.ivf_index(e, "vec_id")
+    approx = RT.ann_search(_asked(e), "vec_id", assigned, cent, k=5, exclude_self=True)
+    exact = RT.knn_topk(_asked(e), e, "vec_id", "vec_id", k=5, exclude_self=True)
     return RT.recall_at_k(approx, exact)
 
 
@@ -52,7 +61,7 @@ def q_ann_recall(spark, sf):
 WITH pairs AS (
   SELECT a.vec_id AS q_id, b.vec_id AS c_id, CASE WHEN b.label < 5 THEN 'customers' ELSE 'policies' END AS collection,
          list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY q_id, collection ORDER BY score DESC, c_id) AS rank FROM pairs
   QUALIFY rank <= CASE WHEN collection = 'customers' THEN 3 ELSE 5 END)
@@ -61,7 +70,7 @@ SELECT q_id, collection, list(c_id ORDER BY rank) AS hit_ids, list(ROUND(score,
 FROM ranked GROUP BY q_id, collection""")
 def q_two_collections(spark, sf):
     e = _emb(spark, sf).withColumn("collection", F.when(col("label") < 5, "customers").otherwise("policies"))
-    r = RT.knn_per_collection(e, e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
+    r = RT.knn_per_collection(_asked(e), e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
                               exclude_self=True)
     return r.select("q_id", "collection", F.transform("hits", lambda h: h["c_id"]).alias("hit_ids"),
                     F.transform("hits", lambda h: F.round(h["score"], 6)).alias("hit_scores"), "n_hits")
@@ -73,7 +82,7 @@ def _brute_sql(dist: str, k: int = 5) -> str:
   SELECT q_id, c_id, c_label, d, row_number() OVER (PARTITION BY q_id ORDER BY d, c_id) AS rank FROM (
     SELECT a.vec_id AS q_id, b.vec_id AS c_id, b.label AS c_label,
            {dist.format(a="CAST(a.embedding AS DOUBLE[])", b="CAST(b.embedding AS DOUBLE[])")} AS d
-    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
   QUALIFY rank <= {k})"""
 
 
@@ -87,14 +96,14 @@ SELECT q_id, CAST(arg_max(label, (weight, -label)) AS INTEGER) AS predicted, ROU
 FROM votes GROUP BY q_id""")
 def q_knn_classify(spark, sf):
     e = _emb(spark, sf)
-    return edge(RT.knn_classify(e, e, "vec_id", "vec_id", "label", k=5, weights="distance"))
+    return edge(RT.knn_classify(_asked(e), e, "vec_id", "vec_id", "label", k=5, weights="distance"))
 
 
 @query("label_filtered_neighbours", "WITH " + _brute_sql(_EUCLID) + """
 SELECT q_id, CAST(rank AS INTEGER) AS rank, c_id, c_label, ROUND(d, 6) AS distance FROM nn""")
 def q_label_neighbours(spark, sf):
     e = _emb(spark, sf)
-    hits = RT.knn_topk(e, e, "vec_id", "vec_id", k=5, metric="euclidean", exclude_self=True, block_rows=256)
+    hits = RT.knn_topk(_asked(e), e, "vec_id", "vec_id", k=5, metric="euclidean", exclude_self=True)
     lab = e.select(col("vec_id").alias("c_id"), col("label").alias("c_label"))
     return edge(hits.join(lab, "c_id").select("q_id", "rank", "c_id", "c_label", (-col("score")).alias("distance")))
 
@@ -105,7 +114,7 @@ SELECT ROUND(AVG(p), 6) AS mean_precision_at_k, COUNT(*) AS queries FROM (
   FROM nn JOIN embeddings q ON q.vec_id = nn.q_id GROUP BY nn.q_id)""")
 def q_retrieval_eval(spark, sf):
     e = _emb(spark, sf)
-    hits = RT.knn_topk(e, e, "vec_id", "vec_id", k=5, exclude_self=True, block_rows=256)
+    hits = RT.knn_topk(_asked(e), e, "vec_id", "vec_id", k=5, exclude_self=True)
     return edge(RT.label_precision_at_k(hits, e, "vec_id", "label"))
 
 
@@ -164,7 +173,7 @@ def q_policy_query(spark, sf):
 @query("prompt_context_assembly")
 def q_prompt_context(spark, sf):
     e = _emb(spark, sf).withColumn("collection", F.when(col("label") < 5, "customers").otherwise("policies"))
-    hits = RT.knn_per_collection(e, e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
+    hits = RT.knn_per_collection(_asked(e), e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
                                  exclude_self=True)
     lines = F.array_join(F.transform("hits", lambda h: F.format_string(
         "  #%d id=%d score=%.4f", h["rank"], h["c_id"], h["score"])), "\n")
