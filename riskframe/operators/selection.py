@@ -34,7 +34,7 @@ def seeded_sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42) -
     A top-n (TakeOrderedAndProject), not ``df.sample`` whose size varies.
     """
     keys = [key] if isinstance(key, str) else key
-    h = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 
 

@@ -112,10 +112,14 @@ def q_random_search(spark, sf):
     return spark.createDataFrame(rows, "draw int, mean_weighted_f1 double")
 
 
+#: Applicants decided in one batch, by seeded sample.
+DECIDE_SAMPLE = 5000
+
+
 @query("batch_decide")
 def q_batch_decide(spark, sf):
     models, train, test, feats, vocab = _trained(spark, sf, ["logistic_regression"])
-    sample = SEL.seeded_sample(test, 100, "prospectid")
+    sample = SEL.seeded_sample(test, DECIDE_SAMPLE, "prospectid")
     sc = ML.score_long({"logistic_regression": models["logistic_regression"]}, sample, "prospectid")
     # primary probability: class code 1 when present (the reference's rule)
     p1 = F.element_at("probs", 2)

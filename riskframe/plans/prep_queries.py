@@ -263,7 +263,8 @@ def q_topk(spark, sf):
                       F.transform(top, lambda s: F.round(s["value"], 6)).alias("top3_values"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", S.with_(APP, """
+SELECT prospectid, credit_score FROM applicants ORDER BY md5('42:' || CAST(prospectid AS VARCHAR)), prospectid LIMIT 100"""))
 def q_sample(spark, sf):
     return SEL.seeded_sample(A.applicants(spark, sf).select("prospectid", "credit_score"), 100, "prospectid")
 

@@ -145,13 +145,20 @@ def q_narrative(spark, sf):
     return a.select("prospectid", X.row_narrative("prospectid", _GROUPS, _DERIVED).alias("narrative"))
 
 
-@query("customer_documents")
+#: Applicants that get a document, by seeded sample.
+DOCUMENT_SAMPLE = 5000
+
+
+@query("customer_documents", S.with_(S.APPLICANTS, f"""
+SELECT prospectid, {_narr_sql()} AS page_content, MAP {{'approved_flag': COALESCE(approved_flag, 'unknown'),
+  'customer_id': CAST(prospectid AS VARCHAR), 'doc_type': 'customer'}} AS metadata
+FROM applicants ORDER BY md5('42:' || CAST(prospectid AS VARCHAR)), prospectid LIMIT {DOCUMENT_SAMPLE}"""))
 def q_customer_docs(spark, sf):
     app = A.applicants(spark, sf)
     feats = X.derived_features(app.columns)
-    a = SEL.seeded_sample(app.select("*", *[feats[c].alias(c) for c in _DERIVED]), 200, "prospectid")
-    meta = F.create_map(F.lit("doc_type"), F.lit("customer"), F.lit("customer_id"), col("prospectid").cast("string"),
-                        F.lit("approved_flag"), F.coalesce(col("approved_flag"), F.lit("unknown")))
+    a = SEL.seeded_sample(app.select("*", *[feats[c].alias(c) for c in _DERIVED]), DOCUMENT_SAMPLE, "prospectid")
+    meta = F.create_map(F.lit("approved_flag"), F.coalesce(col("approved_flag"), F.lit("unknown")),
+                        F.lit("customer_id"), col("prospectid").cast("string"), F.lit("doc_type"), F.lit("customer"))
     return a.select("prospectid", X.row_narrative("prospectid", _GROUPS, _DERIVED).alias("page_content"),
                     meta.alias("metadata"))
 
@@ -170,7 +177,17 @@ def q_policy_query(spark, sf):
     return a.select("prospectid", q.alias("query"))
 
 
-@query("prompt_context_assembly")
+@query("prompt_context_assembly", """
+WITH pairs AS (
+  SELECT a.vec_id AS q_id, b.vec_id AS c_id, IF(b.label < 5, 'customers', 'policies') AS collection,
+         list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id, collection ORDER BY score DESC, c_id) AS rank FROM pairs
+  QUALIFY rank <= IF(collection = 'customers', 3, 5)),
+blocks AS (SELECT q_id, upper(collection) || ':' || chr(10) || string_agg(printf('  #%d id=%d score=%.4f', rank, c_id, score), chr(10)
+  ORDER BY rank) AS block FROM ranked GROUP BY q_id, collection)
+SELECT q_id, 'CASE id=' || CAST(q_id AS VARCHAR) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY block)
+  || chr(10) || 'Return ONLY JSON.' AS prompt FROM blocks GROUP BY q_id""")
 def q_prompt_context(spark, sf):
     e = _emb(spark, sf).withColumn("collection", F.when(col("label") < 5, "customers").otherwise("policies"))
     hits = RT.knn_per_collection(_asked(e), e, "vec_id", "vec_id", "collection", {"customers": 3, "policies": 5},
