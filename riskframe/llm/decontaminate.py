@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 
 U64 = np.uint64
 BLOCK_CHARS = 8_000_000
@@ -248,6 +249,7 @@ def contaminated(docs: DataFrame, items: DataFrame, q: int = 12, max_edit_rate:
     """One row per (document, item) with an occurrence: ``id, text_hash, item_id,
     start, end, edits, item_chars, shared_grams``; the best occurrence, positions in
     the normalised document."""
+    text_batches(docs)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))

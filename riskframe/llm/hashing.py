@@ -7,6 +7,7 @@ from UTF-8 bytes directly, and ``bytes.split()`` cuts exactly the same words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Documents are handled in slices of about this many bytes, so that a task's
 #: numpy arrays stay small whatever the Arrow batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,6 +79,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
         starts = np.flatnonzero(np.diff(cut, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers are
+    reused, and what they keep adds up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # another C library
+        pass
 
 
 @dataclass

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.llm.graph import components
 from riskframe.session import cut_lineage
 
@@ -327,6 +328,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     class's own row; both follow from links of similarity at least
     ``similarity``.  ``text_hash`` is xxhash64 of the text.
     """
+    text_batches(docs)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("tkey"))
     texts = base.where("id IS NOT NULL")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.session import cut_lineage
 
 BUCKETS, FIT_ROWS = 1 << 12, 20_000
@@ -222,6 +223,7 @@ def _apply(model_bc):
 def quality(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, weak_posterior, score`` (higher: better) and
     ``kept`` (score >= threshold)."""
+    text_batches(docs)
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = cut_lineage(base.mapInArrow(_observe, "id long, pattern int, buckets array<int>, weights array<float>"))

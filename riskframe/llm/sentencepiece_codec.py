@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.llm.recent import Recent, kept
 from riskframe.llm.unigram import MARK, Unigram, load_unigram
 
@@ -196,6 +197,7 @@ def encode_texts(docs: DataFrame, model_path: str, carry: list[str], text_col: s
     """One row per input row: ``row`` (struct of ``carry``), ``ids``,
     ``n_byte_pieces``, ``round_trip`` and ``decoded``, the text rebuilt from ``ids``
     (null without ``with_text``)."""
+    text_batches(docs)
     bc = docs.sparkSession.sparkContext.broadcast(Codec(load_unigram(model_path)))
     base = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
     row_type = base.schema["row"].dataType.simpleString()

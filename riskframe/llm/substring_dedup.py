@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.session import cut_lineage
 
 BLOCKS = "id long, tkey long, anchor long, body long, start int, n int"
@@ -158,6 +159,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     joins the remaining words by one space (with ``keep_whole`` only where words
     were removed); ``row`` is a struct of the ``carry`` columns of the input.
     """
+    text_batches(docs)
     row = F.struct(*[F.col(c) for c in carry or []]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("tkey"), row.alias("row"))

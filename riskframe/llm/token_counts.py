@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.llm.recent import Recent, kept
 from riskframe.llm.unigram import Unigram, load_unigram
 
@@ -105,6 +106,7 @@ def _run(vocab_bc, key: str):
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_tokens, best_score``."""
+    text_batches(docs)
     bc = docs.sparkSession.sparkContext.broadcast(load_unigram(model_path))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return base.mapInArrow(_run(bc, model_path), "id long, n_tokens long, best_score double")

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.llm.recent import Recent, kept
 from riskframe.session import scratch_path
 
@@ -165,6 +166,7 @@ def _encode(path: str, end_id: int):
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2,
                       id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode every whole text and write the folder ``out`` (must not exist)."""
+    text_batches(docs)
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.session import cut_lineage
 
 MAX_TOXIC, MAX_OTHER, MAX_STEMS = 3000, 6000, 2000
@@ -319,6 +320,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
              text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (struct of ``carry``), ``score`` in [0, 1],
     ``predicted`` (1 if score >= threshold), ``top_clause``, ``n_matches``."""
+    text_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     base = docs.select(F.col(text_col).alias("text"), F.struct(*(carry or [id_col])).alias("row"))
     row_type = base.schema["row"].dataType.simpleString()
