@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm import oracles as O
 from riskframe.llm.class_lm import score_texts
 from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
@@ -31,7 +32,7 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", O.SUBSTRING_DEDUP)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 50-word windows that a smaller doc_id holds are removed."""
     out = substring_dedup(table(spark, sf_dir, "documents", ["doc_id", "text"]), window=50)
@@ -39,7 +40,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("removed").alias("n_repeats"))
 
 
-@query("op9_bagminhash_dedup")
+@query("op9_bagminhash_dedup", O.NEAR_DUPLICATES)
 def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle multisets overlap by 0.8 or more."""
     out = near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), similarity=0.8)
@@ -63,7 +64,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.drop("text_hash").withColumnRenamed("id", "doc_id")
 
 
-@query("op8_embedding_dedup")
+@query("op8_embedding_dedup", O.EMBEDDING_DEDUP)
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at cosine 0.95 or more, their components and survivors."""
     out = embedding_near_duplicates(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), similarity=0.95)
