@@ -163,3 +163,15 @@ def test_streamed_batch_scoring(spark):
     got = rows(spark, "streamed_batch_scoring")
     n = A.applicants(spark, SF_SMALL).count()
     assert 0 < len({r[0] for r in got}) <= n
+
+
+def test_audit_of_eight_checks(spark):
+    table = {r.check: r.passed for r in rows(spark, "audit_eight_checks")}
+    assert len(table) == 8 and table["importance_stability"]
+    ground = rows(spark, "grounding_audit")
+    assert table["faithfulness"] == (sum(r.n_invented for r in ground) == 0)
+    assert table["citations"] == (sum(r.n_unresolved for r in ground) == 0)
+    assert table["schema"] == all(not r.missing and not r.extra and not r.too_few_actions for r in ground)
+    assert table["determinism"] == (max(r.auc_cv_pct for r in rows(spark, "seed_stability_cv")) < 5)
+    assert table["ab_test"] == any(r.significant_at_5pct for r in rows(spark, "auc_delta_pvalue"))
+    assert rows(spark, "audit_eight_passed")[0].n_passed == sum(table.values())
