@@ -4,8 +4,8 @@
    cost nothing.  Vectors that are null, zero, or hold null or non-finite
    components take no part and link with nothing.
 2. **Cells.**  Spherical k-means (``k`` about n / ``CELL_ROWS``, within
-   [1, ``MAX_CELLS``]) is fitted on at most ``FIT_ROWS`` vectors, taken by the
-   smallest hash of their id; every vector is then assigned to its nearest
+   [1, ``MAX_CELLS``]) is fitted on at most ``FIT_ROWS`` vectors, those whose id
+   hashes low; every vector is then assigned to its nearest
    centroid.
 3. **Probes.**  A vector also visits the cells of smaller number whose bisecting
    plane with its own cell lies within reach of a partner: a partner at cosine s
@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.batches import hash_sample
 from riskframe.llm.graph import components, local_components
 from riskframe.session import cut_lineage
 
@@ -149,7 +150,8 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reac
 
     # one row per vector length
     sizes = {r.dim: r["count"] for r in kinds.groupBy(F.size("vec").alias("dim")).count().collect()}
-    sample = kinds.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()
+    sample = hash_sample(kinds.select("id", "vec"), "id", sum(sizes.values()), FIT_ROWS).collect()
+    sample.sort(key=lambda r: r.id)
     cells = {}
     for dim, n in sizes.items():
         rows = [r.vec for r in sample if len(r.vec) == dim]

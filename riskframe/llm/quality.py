@@ -9,8 +9,7 @@
    reach the driver as at most 3^9 (vote pattern, count) rows.
 3. **Scorer.**  A logistic model over ``BUCKETS`` hashed features (shapes of words
    and of neighbouring words, repeats, binned document statistics) is trained on
-   the posteriors of at most ``FIT_ROWS`` documents, taken by the smallest hash of
-   their id.  Its score, not the votes, decides: it sees more than any labeller and
+   the posteriors of at most ``FIT_ROWS`` documents, those whose id hashes low.  Its score, not the votes, decides: it sees more than any labeller and
    also covers documents on which labellers abstain.
 
 No labels are used.  Defined cases: null and empty texts have no words, are voted
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
-from riskframe.llm.batches import text_batches
+from riskframe.llm.batches import hash_sample, text_batches
 from riskframe.session import cut_lineage
 
 BUCKETS, FIT_ROWS = 1 << 12, 20_000
@@ -235,7 +234,7 @@ def quality(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", tex
     vote = pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     _, _, post = expectation_maximisation(vote, np.array([r["count"] for r in tally], float))
     known = dict(zip(pattern.tolist(), post.tolist()))
-    rows = seen.orderBy(F.md5(F.col("id").cast("string")), "id").limit(FIT_ROWS).collect()
+    rows = hash_sample(seen, "id", sum(r["count"] for r in tally), FIT_ROWS).collect()
     w = fit_scorer(rows, np.array([known[r.pattern] for r in rows])) if rows else np.zeros(BUCKETS + 1)
     out = seen.mapInArrow(_apply(sc.broadcast((w, known))), "id long, weak_posterior double, score double")
     return out.withColumn("kept", F.col("score") >= threshold)
