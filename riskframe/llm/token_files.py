@@ -24,6 +24,8 @@ repeated rows are repeated; other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import uuid
 import zlib
@@ -73,7 +75,7 @@ class ChunkEncoder:
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.mark = separator, separator[:2]
+        self.separator, self.mark = separator, separator[:2].encode()
         self.separator_id = self.tokenizer.token_to_id(separator)
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends_word = np.array([x.endswith("</w>") for x in names])
@@ -121,35 +123,36 @@ class ChunkEncoder:
         for c, core, tail in split:
             seen.now[c] = seen.now[core] + seen.now[tail]
 
-    def chunks(self, text: str) -> list[bytes]:
-        """Chunks of a text; dots and commas that end a word stand alone if every one
+    def chunks(self, text: bytes) -> list[bytes]:
+        """Chunks of a UTF-8 text; dots and commas that end a word stand alone if every one
         of the text's follows a letter or digit (else they may be part of a longer run
         of marks, which is one pre-token)."""
-        data = text.encode().translate(self.FOLD)
+        data = text.translate(self.FOLD)
         kinds = data.translate(self.KINDS)
-        if b".." not in kinds and (b"h." not in kinds or all(map(str.isalnum, self.BEFORE.findall(text)))):
+        if b".." not in kinds and (b"h." not in kinds or all(map(str.isalnum, self.BEFORE.findall(text.decode())))):
             for mark in (b".", b","):
                 data = data.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
         return data.split()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
         odd = [self.mark in t for t in texts]
         parts = [[] if o else self.chunks(t) for t, o in zip(texts, odd)]
         self.seen.turn()
         self._learn(set(filterfalse(self.seen.now.__contains__, chain.from_iterable(parts))))
         get = self.seen.now.__getitem__
-        return [self.whole(t) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
+        return [self.whole(t.decode()) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
                 for t, p, o in zip(texts, parts, odd)]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        gc.disable()                             # millions of chunks, no reference cycles
         encode = kept(f"chunks {path}", lambda: ChunkEncoder(path))
         before = 0
-        for b in H.slices(batches, limit=H.SLICE_BYTES):
-            ids = encode([t or "" for t in b.column("text").to_pylist()])
+        for b in H.slices(batches, limit=4 * H.SLICE_BYTES):
+            ids = encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
             n = np.array([len(x) + 1 for x in ids], np.int64)
             stop = np.cumsum(n)
             flat = np.empty(int(stop[-1]), np.int32)
@@ -160,6 +163,7 @@ def _encode(path: str, end_id: int):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(before + stop - n), lists],
                                              ["id", "n_tokens", "local_start", "ids"])
             before += int(stop[-1])
+        gc.enable()
     return run
 
 
