@@ -1,4 +1,5 @@
-"""M24 / A24 over all eight checks: each is one aggregate of its own query's result."""
+"""M24 / A24 over all eight checks, each one aggregate of its own query's result; T10
+over all label sets."""
 
 from __future__ import annotations
 
@@ -7,8 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions import expressions as X
+from riskframe.operators import loanbook as LB
+from riskframe.operators import stateful as SF
+from riskframe.plans import fixtures_sql as S
 from riskframe.plans import function_queries, monitoring_queries, prep_queries, text_queries
-from riskframe.plans.catalog import query
+from riskframe.plans.catalog import edge, query
+from riskframe.sources import adapters as A
 
 col = F.col
 
@@ -45,3 +51,47 @@ def q_audit_eight(spark, sf):
 def q_audit_eight_passed(spark, sf):
     return q_audit_eight(spark, sf).agg(F.bool_and("passed").alias("all_passed"), F.count_if(col("passed")).alias("n_passed"),
                                         F.count("*").alias("n_checks"))
+
+
+# ------------------------------------------------------------------ T10, all label sets
+
+_CALLS = S.REQUESTS + """,
+calls AS (SELECT ts, amount / 100.0 AS latency, bucket AS endpoint, IF(event_id % 4 = 0, 'GET', 'POST') AS method,
+                 CASE WHEN event_id % 50 = 0 THEN '500' WHEN event_id % 17 = 0 THEN '422' ELSE '200' END AS status FROM requests)"""
+
+
+def _calls(spark, sf):
+    """Service calls: the requests with a method and a response status."""
+    n = col("event_id")
+    return A.requests(spark, sf).select(
+        "ts", (col("amount") / 100.0).alias("latency"), col("bucket").alias("endpoint"),
+        F.when(n % 4 == 0, "GET").otherwise("POST").alias("method"),
+        F.when(n % 50 == 0, "500").when(n % 17 == 0, "422").otherwise("200").alias("status"))
+
+
+def _buckets(value: str) -> str:
+    return ", ".join(f"CAST(SUM(IF({value} <= {b}, 1, 0)) AS BIGINT) AS le_{str(b).replace('.', '_')}" for b in LB.LE_BUCKETS)
+
+
+@query("request_metrics_by_status", S.with_(_CALLS, f"""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, endpoint, method, status, COUNT(*) AS requests,
+       ROUND(SUM(latency), 6) AS latency_sum, {_buckets("latency")}
+FROM calls GROUP BY ALL"""))
+def q_metrics_by_status(spark, sf):
+    return edge(SF.request_metrics(_calls(spark, sf), ["endpoint", "method", "status"], "latency"))
+
+
+_ROUTE = "IF(p < 0.10, 'AUTO_ALLOW', IF(p > 0.85, 'AUTO_BLOCK', 'RAG_LLM'))"
+
+
+@query("prediction_metrics", S.with_(S.SCORED, f"""
+SELECT model, {_ROUTE} AS route, COUNT(*) AS predictions,
+       CAST(SUM(IF({_ROUTE} = 'RAG_LLM' AND row_id % 10 = 0, 1, 0)) AS BIGINT) AS fallbacks, {_buckets("p")}
+FROM scored GROUP BY ALL"""))
+def q_prediction_metrics(spark, sf):
+    """Predictions by model and route, provider fallbacks and the score histogram."""
+    s = A.scored(spark, sf).withColumn("route", X.policy_route_fraud("p")["decision_route"])
+    fallback = (col("route") == "RAG_LLM") & (col("row_id") % 10 == 0)
+    return s.groupBy("model", "route").agg(
+        F.count("*").alias("predictions"), F.count_if(fallback).alias("fallbacks"),
+        *[F.count_if(col("p") <= b).alias(f"le_{str(b).replace('.', '_')}") for b in LB.LE_BUCKETS])
