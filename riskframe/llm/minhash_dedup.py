@@ -42,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
@@ -51,7 +51,7 @@ from riskframe.llm.graph import components
 from riskframe.session import cut_lineage
 
 U64 = np.uint64
-BLOCK = 1024
+BLOCK, STAR = 1024, 512
 
 
 def shingle_counts(data: np.ndarray, offs: np.ndarray, size: int = 5):
@@ -186,14 +186,12 @@ def _overlap(similarity: float):
     return run
 
 
-def _verify(pairs: DataFrame, packed: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
-    """Exact similarity of distinct pairs ``(a, b)``; a center with many members
-    is dealt over several groups, each with its own copy of the center."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
-    rows = pairs.join(sizes, "a").select(
-        F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.col("b").alias("id"))
-    centers = sizes.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
-                           F.col("a").alias("id"))
+def _verify(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """Exact similarity of distinct pairs ``(a, b, parts)``; the members of a center
+    are dealt over ``parts`` groups, each with its own copy of the center."""
+    rows = pairs.select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"),
+                        F.col("b").alias("id"))
+    centers = rows.select("center", "salt", F.col("center").alias("id")).distinct()
     full = rows.union(centers).join(packed, "id")
     full = full.repartition("center", "salt").sortWithinPartitions(
         "center", "salt", F.col("id") != F.col("center"), "id")
@@ -344,7 +342,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
 
     banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "weight")).alias("h"), F.count("*").alias("n"))
-    heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight")))
+    heads = heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight"), "n")
+    # groups of about STAR members by the head's largest bucket; a head has at most
+    # ``bands`` buckets, so this window holds a few rows
+    largest = F.max("n").over(Window.partitionBy("head"))
+    heads = cut_lineage(heads.withColumn("parts", F.ceil(largest / F.lit(STAR)).cast("int")).drop("n"))
     met = cut_lineage(banded.join(heads, "bucket"))
 
     involved = met.select(F.col("rep").alias("id")).distinct().join(reps.select(F.col("rep").alias("id"), "tkey"), "id")
@@ -353,7 +355,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
 
     fits = F.least("weight", "head_weight") >= F.lit(similarity) * F.greatest("weight", "head_weight")
     star = cut_lineage(met.where((F.col("rep") != F.col("head")) & fits)
-                       .select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+                       .select(F.col("head").alias("a"), F.col("rep").alias("b"), "parts").distinct())
     checked = cut_lineage(_verify(star, packed, similarity))
     links = checked.where(F.col("jaccard") >= similarity).select("a", "b")
     first = components(links)
