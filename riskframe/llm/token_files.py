@@ -108,20 +108,21 @@ class ChunkEncoder:
             self._store(some, ids, np.concatenate([[0], stop[:-1] + 1]), stop)
 
     def _learn(self, fresh: set[bytes]) -> None:
-        seen, split, todo = self.seen, [], []
+        now, old, split, todo = self.seen.now, self.seen.old, [], set()
         for c in fresh:
-            if seen.recall(c) is not None:
+            if (got := old.get(c)) is not None:
+                now[c] = got
                 continue
             core = c.rstrip(b".,")
             if len(core) < len(c) and core and core[-1] in self.ALNUM:
                 split.append((c, core, c[len(core):]))
-                todo += (core, c[len(core):])
+                todo.add(core)
+                todo.add(c[len(core):])
             else:
-                todo.append(c)
-        todo = set(todo).difference(seen.now)
-        self._solve([c for c in todo if seen.recall(c) is None])
+                todo.add(c)
+        self._solve([c for c in todo.difference(now) if self.seen.recall(c) is None])
         for c, core, tail in split:
-            seen.now[c] = seen.now[core] + seen.now[tail]
+            now[c] = now[core] + now[tail]
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Chunks of a UTF-8 text; dots and commas that end a word stand alone if every one
