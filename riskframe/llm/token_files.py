@@ -30,7 +30,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,7 @@ CACHE_CHUNKS = 600_000
 MAX_DICTIONARY = 1 << 18
 FORMAT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(4 * MAX_DICTIONARY),
@@ -69,7 +69,7 @@ class ChunkEncoder:
     FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     #: ASCII marks as '.', bytes of other characters as 'h', the rest as itself.
     KINDS = bytes(46 if 32 < b < 128 and not chr(b).isalnum() else 104 if b > 127 else 97 if b > 32 else b for b in range(256))
-    BEFORE = re.compile(r"([^\x00-\x7f])[.,]")
+    BEFORE = re.compile(rb"h\.")
     ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
@@ -79,14 +79,15 @@ class ChunkEncoder:
         self.separator_id = self.tokenizer.token_to_id(separator)
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends_word = np.array([x.endswith("</w>") for x in names])
-        self.seen = Recent(CACHE_CHUNKS)         # chunk -> ids as int32 bytes
+        self.kind = np.dtype(np.uint16 if len(self.ends_word) <= 1 << 16 else np.int32)
+        self.seen = Recent(CACHE_CHUNKS)         # chunk -> bytes of its ids
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _store(self, chunks: list[bytes], ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
-        raw, now = ids.tobytes(), self.seen.now
-        for c, s, e in zip(chunks, (4 * start).tolist(), (4 * stop).tolist()):
+        raw, now, size = ids.tobytes(), self.seen.now, self.kind.itemsize
+        for c, s, e in zip(chunks, (size * start).tolist(), (size * stop).tolist()):
             now[c] = raw[s:e]
 
     def _solve(self, chunks: list[bytes]) -> None:
@@ -124,13 +125,18 @@ class ChunkEncoder:
         for c, core, tail in split:
             now[c] = now[core] + now[tail]
 
+    def _letters_before(self, data: bytes, kinds: bytes) -> bool:
+        """Whether every mark after a multi-byte character follows a letter or digit."""
+        ends = {data[max(0, m.start() - 3):m.start() + 1] for m in self.BEFORE.finditer(kinds)}
+        return all(e.decode("utf-8", "ignore")[-1:].isalnum() for e in ends)
+
     def chunks(self, text: bytes) -> list[bytes]:
         """Chunks of a UTF-8 text; dots and commas that end a word stand alone if every one
         of the text's follows a letter or digit (else they may be part of a longer run
         of marks, which is one pre-token)."""
         data = text.translate(self.FOLD)
         kinds = data.translate(self.KINDS)
-        if b".." not in kinds and (b"h." not in kinds or all(map(str.isalnum, self.BEFORE.findall(text.decode())))):
+        if b".." not in kinds and (b"h." not in kinds or self._letters_before(data, kinds)):
             for mark in (b".", b","):
                 data = data.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
         return data.split()
@@ -140,10 +146,15 @@ class ChunkEncoder:
         odd = [self.mark in t for t in texts]
         parts = [[] if o else self.chunks(t) for t, o in zip(texts, odd)]
         self.seen.turn()
-        self._learn(set(filterfalse(self.seen.now.__contains__, chain.from_iterable(parts))))
-        get = self.seen.now.__getitem__
-        return [self.whole(t.decode()) if o else np.frombuffer(b"".join(map(get, p)), np.int32)
-                for t, p, o in zip(texts, parts, odd)]
+        get = self.seen.now.get
+        found = [list(map(get, p)) for p in parts]
+        holes = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+        self._learn({p[i] for p, h in zip(parts, holes) for i in h})
+        for p, f, h in zip(parts, found, holes):
+            for i in h:
+                f[i] = get(p[i])
+        return [self.whole(t.decode()) if o else np.frombuffer(b"".join(f), self.kind)
+                for t, f, o in zip(texts, found, odd)]
 
 
 def _encode(path: str, end_id: int):
