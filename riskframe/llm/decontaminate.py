@@ -38,7 +38,7 @@ from riskframe.llm import hashing as H
 from riskframe.llm.batches import text_batches
 
 U64 = np.uint64
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS, PIECE = 1_000_000, 4_000_000
 TABLE_BITS = 22
 OUT = "id long, text_hash long, item_id long, start int, end int, edits int, item_chars int, shared_grams int"
 
@@ -121,24 +121,28 @@ class ItemIndex:
         inside = p + self.q <= offs[doc + 1]
         p, k, doc = p[inside], k[inside], doc[inside]
         n = self.size[k]
-        post = np.repeat(self.lead[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, doc = self.owner[post], np.repeat(doc, n)
-        shift = max(map(len, self.codes))    # keeps diagonals positive
-        diag = np.repeat(p, n) - offs[doc] - self.at[post] + shift
-        width = 2 * self.edits[item] + 1
+        shift = max(map(len, self.codes))       # keeps diagonals positive
+        span = len(codes) + 4 * shift           # more than there are bands
+        tally: list[list[tuple]] = [[], []]
+        # hits are expanded to postings a piece at a time
+        for piece in np.split(np.arange(len(p)), np.flatnonzero(np.diff(np.cumsum(n) // PIECE)) + 1):
+            m = n[piece]
+            post = np.repeat(self.lead[k[piece]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item, d = self.owner[post], np.repeat(doc[piece], m)
+            diag = np.repeat(p[piece], m) - offs[d] - self.at[post] + shift
+            width = width_of(self.edits, item)
+            for half in (0, 1):                 # two tilings, each shifted by half a band
+                band = (diag + half * width) // (2 * width)
+                tally[half].append(np.unique((d * len(self.ids) + item) * span + band, return_counts=True))
         found = []
-        for half in (0, 1):                 # two tilings, each shifted by half a band
-            band = (diag + half * width) // (2 * width)
-            key = np.stack([doc, item, band])
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.ones(key.shape[1], bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-            lead = np.flatnonzero(new)
-            hits = np.diff(np.append(lead, key.shape[1]))
-            ok = hits >= self.least[key[1, lead]]
-            d, i, bnd = key[:, lead[ok]]
-            low = bnd * 2 * width_of(self.edits, i) - half * width_of(self.edits, i) - shift
+        for half, parts in enumerate(tally):
+            key, at = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+            hits = np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(key)).astype(np.int64)
+            pair, band = key // span, key % span
+            d, i = pair // len(self.ids), pair % len(self.ids)
+            ok = hits >= self.least[i]
+            d, i, band = d[ok], i[ok], band[ok]
+            low = band * 2 * width_of(self.edits, i) - half * width_of(self.edits, i) - shift
             found.append(np.stack([d, i, low, hits[ok]]))
         return np.concatenate(found, axis=1)
 
