@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     open_ = open_.where("x <> y").select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     left = labelled.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = cut_lineage(left.join(reps.select("rep", "sig", "bands"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep"))
+    left = left.join(reps.select("rep", "sig", "bands"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep")
     # a row goes to the block pairs (p, q), p <= q, that its part is in
     pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     left = left.select("bucket", "band", F.col("part"), pair, "rep", "weight", "component", "sig", "bands", "packed")
