@@ -7,13 +7,16 @@
    [1, ``MAX_CELLS``]) is fitted on at most ``FIT_ROWS`` vectors, those whose id
    hashes low; every vector is then assigned to its nearest
    centroid.
-3. **Probes.**  A vector also visits the cells of smaller number whose bisecting
-   plane with its own cell lies within reach of a partner: a partner at cosine s
-   moves a margin by at most sqrt(1 - s^2) |c - c'|, and by about that / sqrt(dim)
-   in a random direction.  ``reach`` = 4 of those deviations keep the chance of
-   a missed crossing below 4e-5 even for a vector on the edge of reach (``reach`` =
-   sqrt(dim) would be exact for adversarial partners).  Vectors without cluster
-   structure are near many planes, and the work then nears all blocks against all.
+3. **Probes.**  A vector also visits the cells of smaller number that can hold a
+   partner.  Two exact bounds rule the others out: of a pair at cosine s or more on
+   either side of the plane between two centroids, both lie within
+   sqrt(1 - s^2) |c - c'| of it, and a partner's angle to its centroid is at most
+   the cell's radius, measured over all its vectors.  No link is missed, whatever
+   the vectors' distribution.  Vectors without cluster structure are near many
+   planes, and the work then nears all blocks against all.  A number for ``reach``
+   replaces the first bound by that many deviations of a partner in a uniformly
+   random direction, 1 / sqrt(dim) each: less work, but links are lost, many of
+   them where the vectors have few intrinsic dimensions.
 4. **Blocks.**  A cell's rows are cut into blocks of ``BLOCK`` and compared block by
    block in double precision, so a hot cell is split over tasks and no group is
    held whole.  A block pair returns per vector only its number of links and one
@@ -72,28 +75,51 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return c
 
 
-def _assign(cells_bc, similarity: float, reach: float):
+def _homes(cells: dict[int, np.ndarray], vec: list) -> Iterator[tuple]:
+    """(length, rows, cosines to the centroids, nearest centroid) of vectors by length."""
+    size = np.array([len(v) for v in vec])
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        sim = _unit([vec[i] for i in rows]) @ cells.get(dim, np.eye(1, dim)).T
+        yield dim, rows, sim, sim.argmax(axis=1)
+
+
+def _radii(cells_bc):
+    """Per task: the smallest cosine of a cell's vectors to its centroid."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                for dim, _, sim, home in _homes(cells_bc.value, b.slice(lo, 1024).column("vec").to_pylist()):
+                    low = least.setdefault(dim, np.full(sim.shape[1], np.inf))
+                    np.minimum.at(low, home, sim.max(axis=1))
+        for dim, low in least.items():
+            cell = np.flatnonzero(low < np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cell), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(low[cell])],
+                ["dim", "cell", "low"])
+    return run
+
+
+def _assign(cells_bc, radii_bc, similarity: float, reach: float | None):
     bend = math.sqrt(max(0.0, 1 - similarity ** 2))
+    angle = math.acos(max(-1.0, min(1.0, similarity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[int, np.ndarray] = cells_bc.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                vec = part.column("vec").to_pylist()
-                size = np.array([len(v) for v in vec])
-                for dim in np.unique(size).tolist():
-                    rows = np.flatnonzero(size == dim)
-                    x = _unit([vec[i] for i in rows])
-                    c = cells.get(dim, np.eye(1, dim))
-                    sim = x @ c.T
-                    home = sim.argmax(axis=1)
-                    gap = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
-                    margin = sim[np.arange(len(x)), home][:, None] - sim
-                    near = margin <= min(reach / math.sqrt(dim), 1.0) * bend * gap
+                for dim, rows, sim, home in _homes(cells, part.column("vec").to_pylist()):
+                    c, at = cells.get(dim, np.eye(1, dim)), np.arange(len(rows))
+                    near = np.arccos(np.clip(sim, -1, 1)) <= radii_bc.value[dim] + angle + 1e-6
+                    if similarity > 0:                # the bound on the plane needs an acute angle
+                        gap = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
+                        share = 1.0 if reach is None else min(reach / math.sqrt(dim), 1.0)
+                        near &= sim[at, home][:, None] - sim <= share * bend * gap + 1e-9
                     # of two cells the larger number visits the smaller
                     near &= np.arange(len(c))[None, :] < home[:, None]
-                    near[np.arange(len(x)), home] = True
+                    near[at, home] = True
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").take(take), part.column("n").take(take), part.column("vec").take(take),
@@ -137,7 +163,7 @@ def _compare(similarity: float):
     return run
 
 
-def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reach: float = 4.0,
+def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reach: float | None = None,
                               id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector id: ``id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
@@ -159,9 +185,15 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reac
             cells[dim] = spherical_kmeans(_unit(rows), max(1, min(MAX_CELLS, n // CELL_ROWS, len(rows) // 4)))
     cell_bc = spark.sparkContext.broadcast(cells)
 
+    radii = {dim: np.full(len(cells.get(dim, [0])), -np.inf) for dim in sizes}      # an empty cell is not visited
+    for r in kinds.select("vec").mapInArrow(_radii(cell_bc), "dim int, cell int, low double").groupBy("dim", "cell").agg(
+            F.min("low").alias("low")).collect():           # a row per cell
+        radii[r.dim][r.cell] = math.acos(max(-1.0, min(1.0, r.low)))
+    radii_bc = spark.sparkContext.broadcast(radii)
+
     vec_type = kinds.schema["vec"].dataType.simpleString()
     placed = cut_lineage(kinds.select("id", "n", "vec").mapInArrow(
-        _assign(cell_bc, similarity, reach), f"id long, n long, vec {vec_type}, dim int, home int, probes array<int>"))
+        _assign(cell_bc, radii_bc, similarity, reach), f"id long, n long, vec {vec_type}, dim int, home int, probes array<int>"))
 
     visits = placed.withColumn("cell", F.explode("probes"))
     parts = lambda c: F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(c)

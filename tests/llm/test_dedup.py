@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from riskframe.llm import embedding_dedup as E
 from riskframe.llm import hashing as H
 from riskframe.llm import minhash_dedup as M
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
@@ -213,3 +214,20 @@ def test_embeddings_messy(spark, monkeypatch):
     for r in got:
         assert (r.n_links, r.component_id) == ((0, None) if r.id is None else (n[r.id], comp[r.id]))
     assert embedding_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_low_rank_over_many_cells(spark, monkeypatch):
+    """Pairs near the threshold across cells, in few intrinsic dimensions: links as by brute force."""
+    monkeypatch.setattr(E, "CELL_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = rng.uniform(0.951, 0.97, (len(x), 1))
+    v = np.vstack([x, s * x + np.sqrt(1 - s * s) * u]) @ np.linalg.qr(rng.standard_normal((256, 12)))[0].T
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in embedding_near_duplicates(df).collect()}
+    want = (v @ v.T >= 0.95).sum(axis=1) - 1
+    assert [got[i] for i in range(len(v))] == want.tolist() and want.min() >= 1
