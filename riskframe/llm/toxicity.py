@@ -21,9 +21,11 @@ words) and their weights are log ratios of their rate in toxic and other labelle
 documents, kept if their lower confidence bound is high; the seed stems below
 hold where labels say nothing.  A logistic model over clause features turns
 clause scores into a probability.  Both are fitted on at most ``MAX_TOXIC`` toxic
-and ``MAX_OTHER`` other labelled training rows, taken by smallest hash: two thirds
-give the stems, one third the logistic model (with fewer than ``SPLIT_TOXIC``
-toxic rows, all rows give both).  Labels, language, source and id
+and ``MAX_OTHER`` other labelled training rows, taken by smallest hash.  The stems
+come from all of them; the logistic model from features that each third has under
+the stems of the other two, at any number of rows.  Its rows are weighted to the
+share that toxic rows have among all labelled training rows, so a score means
+the same whether or not the sample is full.  Labels, language, source and id
 are never features.
 
 Defined cases: null and empty texts score like any text without a match; null
@@ -51,7 +53,7 @@ from riskframe.session import cut_lineage
 
 MAX_TOXIC, MAX_OTHER, MAX_STEMS = 3000, 6000, 2000
 SEED_WEIGHT = 2.0
-SPLIT_TOXIC = 600
+FOLDS = 3
 REPEATS = 4
 INSULTS = """idiot moron stupid loser scum trash clown pathetic worthless disgusting dumb fool jerk imbecile
 vermin filth""".split()
@@ -250,25 +252,26 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     return {r.stem: float(min(r.sure, 6.0)) for r in rows}
 
 
-def _featurise(scorer_bc):
+def _featurise(stems_bc):
+    """Features of every row under the stems learned without its fold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(scorer_bc.value)
+        scorers = [Scorer(stems) for stems in stems_bc.value]
         for b in batches:
-            rows = [scorer.features(t) for t in b.column("text").to_pylist()]
+            rows = [scorers[k].features(t) for k, t in zip(b.column("fold").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> np.ndarray:
-    """Ridge-penalised logistic regression by damped Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> np.ndarray:
+    """Ridge-penalised logistic regression of weighted rows by damped Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     pen = np.full(x.shape[1], ridge)
     pen[0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + pen * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pen)
+        g = x.T @ (weight * (p - y)) + pen * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pen)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -285,22 +288,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(stems, model) from the bounded labelled training sample."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    marks = cut_lineage(marks)
+    all_rows = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}     # two classes
     order = [F.md5(F.col("id").cast("string")), F.col("id")]
     chosen = marks.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(
         marks.where("toxic = 0").orderBy(*order).limit(MAX_OTHER))
     chosen = cut_lineage(chosen)          # at most MAX_TOXIC + MAX_OTHER ids: safe to broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = cut_lineage(sample.dropDuplicates(["text"]).withColumn("fold", F.crc32(F.md5(F.col("id").cast("string"))) % 3))
-    stems = {w[:6]: SEED_WEIGHT for w in INSULTS}
-    learn, calibrate = (sample.where("fold > 0"), sample.where("fold = 0")) if sample.where(
-        "toxic = 1").count() >= SPLIT_TOXIC else (sample, sample)
-    for stem, w in learn_stems(learn.select("text", "toxic")).items():
-        stems[stem] = max(w, stems.get(stem, 0.0))
-    bc = docs.sparkSession.sparkContext.broadcast(stems)
-    got = calibrate.select("text", "toxic").mapInArrow(_featurise(bc), "toxic int, x array<double>").collect()
+    sample = cut_lineage(sample.dropDuplicates(["text"]).withColumn("fold", F.crc32(F.md5(F.col("id").cast("string"))) % FOLDS))
+
+    def learn(part: DataFrame) -> dict[str, float]:
+        stems = {w[:6]: SEED_WEIGHT for w in INSULTS}
+        for stem, w in learn_stems(part.select("text", "toxic")).items():
+            stems[stem] = max(w, stems.get(stem, 0.0))
+        return stems
+
+    stems = learn(sample)
+    bc = docs.sparkSession.sparkContext.broadcast([learn(sample.where(F.col("fold") != k)) for k in range(FOLDS)])
+    got = sample.select("fold", "text", "toxic").mapInArrow(_featurise(bc), "toxic int, x array<double>").collect()
     if not got or len({r.toxic for r in got}) < 2:
         return stems, DEFAULT_MODEL
-    return stems, fit_logistic(np.array([r.x for r in got]), np.array([r.toxic for r in got], float)).tolist()
+    y = np.array([r.toxic for r in got])
+    share = all_rows[1] / (all_rows[0] + all_rows[1])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return stems, fit_logistic(np.array([r.x for r in got]), y.astype(float), weight).tolist()
 
 
 def _score(model_bc):

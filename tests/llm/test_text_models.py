@@ -122,6 +122,25 @@ def test_toxicity_messy(spark):
     assert X.toxicity(empty(spark), odd).count() == 0
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample_caps(spark, monkeypatch):
+    """The mean score is the share of toxic rows, caps binding or not."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 10 == 0
+        hit = rng.random() < (0.7 if bad else 0.05)
+        words = [f"w{rng.randrange(400)}" for _ in range(25)] + ["you", "idiot"] * hit
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    mean = lambda: np.mean([r.score for r in X.toxicity(docs, labels).collect()])
+    assert abs(mean() - 0.1) < 0.02
+    monkeypatch.setattr(X, "MAX_TOXIC", 150)
+    monkeypatch.setattr(X, "MAX_OTHER", 300)
+    assert abs(mean() - 0.1) < 0.02
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, sf).collect()}
