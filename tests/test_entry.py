@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as E
+from riskframe.operators import retrieval as RT
 from riskframe.operators import stats as ST
 from riskframe.sources import adapters as A
 from tests.conftest import SF_SMALL
@@ -145,6 +146,17 @@ def test_retrieval(spark):
     assert recall and np.mean(recall) >= 0.5
 
 
+def test_ann_recall_over_many_cells(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 32)) + 0.5 * rng.standard_normal((4, 32))[rng.integers(0, 4, 6000)]
+    e = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = e.where("vec_id % 20 = 0")
+    assigned, cent = RT.ivf_index(e, "vec_id", n_cells=250)
+    hits = RT.ann_search(asked, "vec_id", assigned, cent, k=5, exclude_self=True)
+    exact = RT.knn_topk(asked, e, "vec_id", "vec_id", k=5, exclude_self=True)
+    assert RT.recall_at_k(hits, exact).first().recall_at_k >= 0.9
+
+
 def test_chunkers(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     for r in rows(spark, "chunk_recursive"):
