@@ -3,7 +3,7 @@
 Every stage works on all rows its predecessor kept and all but the last return the
 columns of its input.  Defined cases: rows with a null doc_id pass the filtering
 stages on their own merits (they are never near-duplicates of anything); null texts
-are empty; of repeated rows with one doc_id the near-duplicate stage keeps one; extra
+are empty; of repeated rows with one doc_id and text the near-duplicate stage keeps one; extra
 columns of any name are carried along; an empty table gives an empty result.
 """
 
@@ -51,15 +51,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate class stays, the one of smallest id."""
     gone = near_duplicates(docs, similarity=0.8).where("NOT kept")
     kept = _without(docs, gone)
-    # repeated rows of one id: only they are shuffled
-    again = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(
-        F.col("doc_id").alias("_id")))
+    # repeated rows of one id and text: only they are shuffled
+    text_hash = F.xxhash64("text")
+    again = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id", text_hash.alias("_hash")).count().where(
+        "count > 1").select(F.col("doc_id").alias("_id"), "_hash"))
     many = again.count()
     if many == 0:
         return kept
     pick = F.broadcast(again) if many <= BROADCAST_KEYS else again
-    single = kept.join(pick, F.col("doc_id") == F.col("_id"), "left_anti")
-    return single.union(kept.join(pick, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    same = (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_hash"))
+    single = kept.join(pick, same, "left_anti")
+    return single.union(kept.join(pick, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ unless already connected, and a block pair returns a spanning forest of the comp
 its pairs.  Nothing is capped; large stars are salted.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows
-with a null id are returned with a null class and are kept; texts that share
-their smallest id are one class; repeated rows are repeated in the result.
+with a null id are returned with a null class and are kept; different texts of
+one id are classed each on its own, and of those in one class named by that id the
+one of smallest hash is kept; repeated rows are repeated in the result.
 """
 
 from __future__ import annotations
@@ -335,21 +336,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     signed = cut_lineage(texts.mapInArrow(
         _sign(bands, rows), "id long, tkey long, weight long, c1 long, c2 long, bands array<long>, sig binary"))
 
-    # one representative per distinct multiset, one multiset per representative
+    # one representative per distinct multiset; its number ``rep`` stands for the content, not for
+    # an id, since one id may have several contents
     content = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "tkey")).alias("r"))
-    content = cut_lineage(content.select("c1", "c2", F.col("r.id").alias("rep"), F.col("r.tkey").alias("rep_key")))
-    chosen = content.groupBy("rep").agg(F.min("rep_key").alias("tkey"))
-    reps = cut_lineage(signed.join(chosen.withColumnRenamed("rep", "id"), ["id", "tkey"]).dropDuplicates(["id"])
-                       .select(F.col("id").alias("rep"), "tkey", "weight", "bands", "sig"))
+    content = cut_lineage(content.select("c1", "c2", F.col("r.id").alias("id"), F.col("r.tkey").alias("tkey"),
+                                         F.monotonically_increasing_id().alias("rep")))
+    reps = cut_lineage(signed.join(content.select("rep", "id", "tkey"), ["id", "tkey"]).dropDuplicates(["rep"])
+                       .select("rep", "id", "tkey", "weight", "bands", "sig"))
 
     banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "weight")).alias("h"), F.count("*").alias("n"))
     heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight")))
     met = cut_lineage(banded.join(heads, "bucket"))
 
-    involved = met.select(F.col("rep").alias("id")).distinct().join(reps.select(F.col("rep").alias("id"), "tkey"), "id")
+    involved = met.select("rep").distinct().join(reps.select("rep", "id", "tkey"), "rep")
     packed = cut_lineage(texts.mapInArrow(_pack, "id long, tkey long, packed binary").join(involved, ["id", "tkey"])
-                         .dropDuplicates(["id"]).select("id", "packed"))
+                         .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "packed"))
 
     fits = F.least("weight", "head_weight") >= F.lit(similarity) * F.greatest("weight", "head_weight")
     star = cut_lineage(met.where((F.col("rep") != F.col("head")) & fits)
@@ -374,11 +376,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
         _across(similarity, bands * rows), "a long, b long")
     classes = components(links.union(late))
 
-    named = content.join(classes, F.col("rep") == F.col("node"), "left").select(
-        "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    found = signed.select("id", "tkey", "c1", "c2").distinct().join(named, ["c1", "c2"]).select("id", "tkey", "component_id")
+    # only now the contents' smallest ids name the classes
+    member = content.join(classes, F.col("rep") == F.col("node"), "left").select(
+        "c1", "c2", "id", "tkey", F.coalesce("component", "rep").alias("component"))
+    member = cut_lineage(member)
+    names = member.groupBy("component").agg(F.min(F.struct("id", "tkey")).alias("own"))
+    named = member.join(names, "component").select(
+        "c1", "c2", F.col("own.id").alias("component_id"), F.col("own.tkey").alias("own_key"))
+    found = signed.select("id", "tkey", "c1", "c2").distinct().join(named, ["c1", "c2"]).select(
+        "id", "tkey", "component_id", "own_key")
     keys = base.select("id", "tkey")
     out = keys.join(found, ["id", "tkey"], "left")
     component = F.coalesce("component_id", "id")
+    own = (component == F.col("id")) & (F.coalesce("own_key", "tkey") == F.col("tkey"))
     return out.select("id", F.col("tkey").alias("text_hash"), component.alias("component_id"),
-                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+                      F.coalesce(own, F.lit(True)).alias("kept"))

@@ -152,6 +152,18 @@ def test_near_duplicates_across_components(spark):
     assert got == near_by_hand(rows)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Both texts of id 1 link with their own copies, and no distinct text goes."""
+    from corpus_pipeline import drop_near_duplicates
+    one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, three), (4, three), (4, three + " end"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.near_duplicates(df).collect()
+    assert {(r.id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1)}
+    left = [(r.doc_id, r.text) for r in drop_near_duplicates(spark, df, SF).collect()]
+    assert {(1, one), (1, two)} <= set(left) and [i for i, _ in left].count(4) == 1 and len(left) == 3
+
+
 def test_shared_counts_both_ways():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
