@@ -64,3 +64,102 @@ nodes AS (SELECT vec_id AS id FROM embeddings),
 SELECT c.node AS vec_id, (SELECT COUNT(*) FROM links l WHERE l.a = c.node) AS n_links, c.component_id,
        c.node = c.component_id AS kept
 FROM component c"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  WHERE 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5"""
+
+_NONE = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+
+
+def _edit(state: str, cost: str, initial: str, allowed: str = "true") -> str:
+    """(cost, audit) of a state extended by one edit, or out of reach."""
+    return f"CASE WHEN {allowed} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}'}} ELSE {_NONE} END"
+
+
+def _after_row(state: str, before: str) -> str:
+    """Best (cost, audit) of a state after row r, before any insert, from the states w."""
+    options = [_edit(f"w.{state}", "3", "D")]
+    for b in before:
+        options.append(_edit(f"w.{b}", "r.late", "K", f"NOT r.forced AND r.initial = '{state}'"))
+        if state in "ua":
+            options.append(_edit(f"w.{b}", "2 + r.late", "R", "NOT r.forced"))
+    return f"least({', '.join(options)}) AS {state}"
+
+
+def _inserts(source: str) -> str:
+    """States z (nothing yet), s, u, a with up to two inserts after them."""
+    u = f"least(u, {_edit('z', '2', 'I')}, {_edit('s', '2', 'I')}, {_edit('a', '2', 'I')})"
+    return f"""SELECT key, i, z, s, u, least(a, {_edit('u', '2', 'I')}) AS a
+  FROM (SELECT key, i, z, s, a, {u} AS u FROM ({source}))"""
+
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE hit AS (
+  SELECT *, list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                       lambda x: CAST(ord(x) AS BIGINT)),
+                        lambda crc, b: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, b)),
+                        4294967295) AS crc
+  FROM conversations),
+damaged AS (
+  SELECT coalesce('=' || conv_id, '') AS key, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END))
+        FROM (SELECT *, xor(crc, 4294967295) % 20 AS kind FROM hit))),
+ordered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS i
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(initial) OVER (PARTITION BY key ORDER BY i) || initial AS pair
+  FROM ordered),
+classed AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS forced, CAST(coalesce(fault = 'truncated', false) AS BIGINT) AS late FROM faults),
+conversation AS (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS key FROM conversations),
+walk AS (
+  {_inserts(f"SELECT key, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS z, {_NONE} AS s, {_NONE} AS u, {_NONE} AS a FROM conversation")}
+  UNION ALL
+  {_inserts(f"SELECT w.key, r.i, {_after_row('z', '')}, {_after_row('s', 'z')}, {_after_row('u', 'zsa')}, {_after_row('a', 'u')} FROM walk w JOIN classed r ON r.key = w.key AND r.i = w.i + 1")}),
+best AS (
+  SELECT key, least(z, a) AS goal FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+letters AS (
+  SELECT key, unnest(string_split(goal.a, '')) AS edit, generate_subscripts(string_split(goal.a, ''), 1) AS j FROM best WHERE goal.a <> ''),
+placed AS (
+  SELECT l.key, l.edit, l.j, SUM(CASE WHEN l.edit = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY l.key ORDER BY l.j) AS i FROM letters l),
+outs AS (
+  SELECT p.key, p.j, p.edit, c.role, CASE WHEN p.edit = 'I' THEN '' ELSE c.text END AS text,
+         row_number() OVER (PARTITION BY p.key ORDER BY p.j) AS k,
+         first_value(p.edit = 'K' AND c.initial = 's') OVER (PARTITION BY p.key ORDER BY p.j) AS has_s
+  FROM placed p LEFT JOIN classed c ON c.key = p.key AND c.i = p.i WHERE p.edit <> 'D'),
+repaired AS (
+  SELECT key, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - CAST(has_s AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                         || ':' || text, chr(10) ORDER BY j) AS body
+  FROM outs GROUP BY key),
+counts AS (
+  SELECT key, coalesce(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank,
+         COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM classed GROUP BY key)
+SELECT v.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+       coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, b.goal.c AS cost, b.goal.a AS audit,
+       sha256(coalesce(r.body, '')) AS repaired_sha256
+FROM conversation v JOIN best b ON b.key = v.key LEFT JOIN counts n ON n.key = v.key LEFT JOIN repaired r ON r.key = v.key"""

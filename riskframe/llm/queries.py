@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import oracles as O
 from riskframe.llm.class_lm import score_texts
+from riskframe.llm.conversation_repair import damaged, repair
 from riskframe.llm.decontaminate import contaminated
 from riskframe.llm.embedding_dedup import embedding_near_duplicates
+from riskframe.llm.hard_negatives import hard_negatives
 from riskframe.llm.minhash_dedup import near_duplicates
+from riskframe.llm.packing import packed_sequences
 from riskframe.llm.quality import quality
 from riskframe.llm.sentencepiece_codec import encode_texts
 from riskframe.llm.substring_dedup import substring_dedup
@@ -107,3 +110,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the weakly trained scorer."""
     return quality(table(spark, sf_dir, "documents", ["doc_id", "text"])).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_conversation_repair", O.CONVERSATION_REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after reproducible damage."""
+    rows = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return repair(damaged(rows), dropped=F.col("dropped")).summary
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
+    out = packed_sequences(table(spark, sf_dir, "documents", ["doc_id", "text"]), public_tokenizers.path("word_bpe_49k.json"),
+                           capacity=2048, end_id=0)
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_hard_negatives", O.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as an anchor's best rows of its own."""
+    rows = table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"])
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, low=80, high=100)
