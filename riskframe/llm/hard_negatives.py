@@ -16,8 +16,8 @@ grows with the anchors alone, and no two rows are ever paired outside a task.
 
 Defined cases: rows with a null id or label, a null vector or a null or non-finite component
 take no part; a shorter vector counts as zero-padded, an empty one as zero; repeated rows
-each take part, but a repeated anchor answers once; "other rows" of an anchor are those with
-another id; integers are int64, components beyond it saturate and scores wrap around; extra
+each take part, but a repeated anchor answers once; an anchor's positives have another id, its
+negatives another label; integers are int64, components beyond it saturate and scores wrap around; extra
 columns are not read; an empty table, or one without anchors, gives an empty result.
 """
 

@@ -5,9 +5,9 @@
    and its rank among that partition's pieces of the same length.
 2. The histogram of lengths (at most ``capacity`` rows, whatever the corpus) is all the
    driver sees.  Patterns of two or three lengths that fill a sequence exactly are
-   enumerated, non-negative least squares fits how often each is repeated, the counts
-   are rounded without using a length more often than it occurs, and this repeats on
-   what is left until few sequences come of it.
+   enumerated, non-negative least squares fits how often each is repeated, and the counts
+   are rounded down (so that what is left stays as mixed as the whole), without using a
+   length more often than it occurs.
 3. The residual is packed best-fit: the longest length left, then ever the longest that
    still fits, the same filling repeated while its lengths last.  Full pieces stand alone.
 4. A pattern repeated r times owns r consecutive sequences and, of each of its lengths,
@@ -41,9 +41,7 @@ from riskframe.session import cut_lineage
 #: Patterns kept per largest length: those whose scarcer partner is most frequent.
 PARTNERS = 8
 #: Steps of the accelerated projected gradient.
-STEPS = 600
-#: A round of patterns that packs less than this share of the pieces left is the last.
-LEAST_SHARE = 0.01
+STEPS = 300
 
 #: One filling of a sequence: (length, how often) pairs, and its number of repeats.
 Filling = tuple[list[tuple[int, int]], int]
@@ -93,13 +91,13 @@ def fit_repeats(patterns: np.ndarray, hist: np.ndarray, capacity: int) -> np.nda
 
 
 def round_repeats(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[Filling]:
-    """Whole repeats, the largest first, as far as pieces are ``left`` (which is reduced)."""
+    """Repeats rounded down, the largest first, as far as pieces are ``left`` (which is reduced)."""
     out = []
     for k in np.argsort(-x, kind="stable"):
-        if x[k] < 0.5:
+        if x[k] < 1:
             break
         lengths, often = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
-        times = int(min(round(float(x[k])), (left[lengths] // often).min()))
+        times = int(min(int(x[k]), (left[lengths] // often).min()))
         if times:
             left[lengths] -= times * often
             out.append((list(zip(lengths.tolist(), often.tolist())), times))
@@ -128,11 +126,9 @@ def fillings(hist: np.ndarray, capacity: int) -> list[Filling]:
     left = hist.copy()
     out = [([(capacity, 1)], int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    while len(patterns := length_patterns(left, capacity)):
-        before = left.sum()
+    patterns = length_patterns(left, capacity)
+    if len(patterns):
         out += round_repeats(patterns, fit_repeats(patterns, left, capacity), left)
-        if before - left.sum() <= LEAST_SHARE * before:
-            break
     return out + pack_residual(left, capacity)
 
 
