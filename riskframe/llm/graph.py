@@ -26,10 +26,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round links every node's larger neighbours to its smallest one, then
     its smaller neighbours, until nothing changes: O(log^2 n) rounds, each two
     aggregations with map-side combine and two joins.  Lineage is cut by a
-    reliable checkpoint per round.  Self-links give a component of one; null
-    ends are ignored; an empty table gives an empty result.
+    reliable checkpoint per round, ``links`` evaluated once.  Self-links give a
+    component of one; null ends are ignored; an empty table gives an empty result.
     """
-    e = cut_lineage(links.where("a IS NOT NULL AND b IS NOT NULL").select(
+    e = every = cut_lineage(links.where("a IS NOT NULL AND b IS NOT NULL").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -47,7 +47,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components: no fixed point")
     roots = e.select(F.col("b").alias("node")).distinct()
-    alone = links.where("a = b").select(F.col("a").alias("node")).distinct()
+    alone = every.where("a = b").select(F.col("a").alias("node"))
     lone = roots.unionByName(alone).distinct().join(e.select(F.col("a").alias("node")), "node", "left_anti")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         lone.select("node", F.col("node").alias("component")))
