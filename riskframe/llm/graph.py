@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from riskframe.session import cut_lineage
 
 
+#: Edges that one task handles; smaller tables use fewer tasks than the shuffle has partitions.
+TASK_EDGES = 25_000
+
+
 def _both(e: DataFrame) -> DataFrame:
-    return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return e.select(F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")),
+                                     F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
 def _to_minimum(e: DataFrame, keep) -> DataFrame:
@@ -36,10 +41,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     sign = signature(e)                    # stars come out of a round as they went in
     for _ in range(max_rounds):
-        big = _to_minimum(_both(e), F.col("b") > F.col("a"))
-        big = big.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
-        small = _to_minimum(big, F.lit(True))
-        new = cut_lineage(small.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct())
+        tasks = 1 + sign[0] // TASK_EDGES
+        e = e.coalesce(tasks)
+        big = _to_minimum(_both(e), F.col("b") > F.col("a")).coalesce(tasks)
+        big = big.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
+        small = _to_minimum(big, F.lit(True)).coalesce(tasks)
+        new = cut_lineage(small.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
         now = signature(new)
         if now == sign:
             break

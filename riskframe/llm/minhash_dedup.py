@@ -53,6 +53,8 @@ from riskframe.session import cut_lineage
 
 U64 = np.uint64
 BLOCK = 1024
+#: Members of a star that are checked against one copy of its center.
+STAR = 512
 
 
 def shingle_counts(data: np.ndarray, offs: np.ndarray, size: int = 5):
@@ -187,14 +189,11 @@ def _overlap(similarity: float):
     return run
 
 
-def _verify(pairs: DataFrame, packed: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
-    """Exact similarity of distinct pairs ``(a, b)``; a center with many members
-    is dealt over several groups, each with its own copy of the center."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
-    rows = pairs.join(sizes, "a").select(
-        F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.col("b").alias("id"))
-    centers = sizes.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
-                           F.col("a").alias("id"))
+def _verify(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """Exact similarity of distinct pairs ``(a, b, salt)``; a center with many members
+    is dealt over its salts, each with its own copy of the center."""
+    rows = pairs.select(F.col("a").alias("center"), "salt", F.col("b").alias("id"))
+    centers = rows.select("center", "salt").distinct().select("center", "salt", F.col("center").alias("id"))
     full = rows.union(centers).join(packed, "id")
     full = full.repartition("center", "salt").sortWithinPartitions(
         "center", "salt", F.col("id") != F.col("center"), "id")
@@ -248,10 +247,11 @@ def _bag(z, packed: bytes) -> np.ndarray:
     return np.sort(H.mix(np.repeat(h, n) + nth.astype(U64) * U64(H.BASE)))
 
 
-def _across(similarity: float, m: int):
+def _across(similarity: float, m: int, per_band: int):
     """Links between different components within one block pair of a bucket.
 
-    A pair is looked at in the first band it shares only.  Signatures rule out
+    A pair is looked at in the first band it shares only (by the low bytes of the band's
+    components, all equal by chance with probability 2^-56).  Signatures rule out
     pairs five standard deviations below the threshold.  The rest are checked by
     exact overlap from the best estimate down, skipping pairs that the links found
     here already connect; if many stay open, they are counted at once.  Returned are
@@ -266,7 +266,7 @@ def _across(similarity: float, m: int):
         y = x if part == other else np.flatnonzero(rows["part"].to_numpy() == other)
         rep, comp, weight = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["weight"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), m)
-        keys = np.stack(rows["bands"])
+        before = sig[:, :band * per_band].reshape(len(rows), band, per_band)
         at_x, at_y, agree = [], [], []
         for i in x:
             j = y[comp[y] != comp[i]]
@@ -275,7 +275,7 @@ def _across(similarity: float, m: int):
             j = j[np.minimum(weight[j], weight[i]) >= similarity * np.maximum(weight[j], weight[i])]
             same = (sig[j] == sig[i]).sum(axis=1)
             j, same = j[same >= least], same[same >= least]
-            first = ~(keys[j, :band] == keys[i, :band]).any(axis=1)
+            first = ~(before[j] == before[i]).all(axis=2).any(axis=1)
             at_x.append(np.full(first.sum(), i))
             at_y.append(j[first])
             agree.append(same[first])
@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
 
     banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "weight")).alias("h"), F.count("*").alias("n"))
-    heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight")))
+    heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight"),
+                                                    F.ceil(F.col("n") / F.lit(STAR)).cast("int").alias("salts")))
     met = cut_lineage(banded.join(heads, "bucket"))
 
     involved = met.select("rep").distinct().join(reps.select("rep", "id", "tkey"), "rep")
@@ -355,7 +356,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
 
     fits = F.least("weight", "head_weight") >= F.lit(similarity) * F.greatest("weight", "head_weight")
     star = cut_lineage(met.where((F.col("rep") != F.col("head")) & fits)
-                       .select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+                       .groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("salts").alias("salts"))
+                       .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
     checked = cut_lineage(_verify(star, packed, similarity))
     links = checked.where(F.col("jaccard") >= similarity).select("a", "b")
     first = components(links)
@@ -365,15 +367,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     open_ = open_.where("x <> y").select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     left = labelled.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = cut_lineage(left.join(reps.select("rep", "sig", "bands"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep"))
+    left = cut_lineage(left).join(reps.select("rep", "sig"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep")
     # a row goes to the block pairs (p, q), p <= q, that its part is in
     pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    left = left.select("bucket", "band", F.col("part"), pair, "rep", "weight", "component", "sig", "bands", "packed")
+    left = left.select("bucket", "band", F.col("part"), pair, "rep", "weight", "component", "sig", "packed")
     left = left.select(F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), *[
         c for c in left.columns if c != "other"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     late = left.repartition(n, "bucket", "band", "p", "q").groupBy("bucket", "band", "p", "q").applyInPandas(
-        _across(similarity, bands * rows), "a long, b long")
+        _across(similarity, bands * rows, rows), "a long, b long")
     classes = components(links.union(late))
 
     # only now the contents' smallest ids name the classes
