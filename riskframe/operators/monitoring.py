@@ -305,8 +305,12 @@ def confusion_matrix(pred: DataFrame, keys, classes: list[int], actual: str = "y
 
 def classwise_report(pred: DataFrame, keys, actual: str = "y", predicted: str = "pred") -> DataFrame:
     """Per-class precision, recall, f1, support (zero_division = 0)."""
+    return classwise_of_counts(confusion_counts(pred, keys, actual, predicted), keys, actual, predicted)
+
+
+def classwise_of_counts(cc: DataFrame, keys, actual: str = "y", predicted: str = "pred") -> DataFrame:
+    """``classwise_report`` of confusion counts ``(keys, actual, predicted, n)``."""
     keys = _keys(keys)
-    cc = confusion_counts(pred, keys, actual, predicted)
     per_true = cc.groupBy(*keys, col(actual).alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(col(actual) == col(predicted), col("n"))).alias("tp"))
     per_pred = cc.groupBy(*keys, col(predicted).alias("cls")).agg(F.sum("n").alias("predicted"))
@@ -322,8 +326,13 @@ def classwise_report(pred: DataFrame, keys, actual: str = "y", predicted: str =
 
 def weighted_prf(pred: DataFrame, keys, actual: str = "y", predicted: str = "pred") -> DataFrame:
     """M7: accuracy and support-weighted precision / recall / F1."""
+    return weighted_prf_of_counts(confusion_counts(pred, keys, actual, predicted), keys, actual, predicted)
+
+
+def weighted_prf_of_counts(cc: DataFrame, keys, actual: str = "y", predicted: str = "pred") -> DataFrame:
+    """``weighted_prf`` of confusion counts ``(keys, actual, predicted, n)``."""
     keys = _keys(keys)
-    rep = classwise_report(pred, keys, actual, predicted)
+    rep = classwise_of_counts(cc, keys, actual, predicted)
     return rep.groupBy(*keys).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         (F.sum(col("precision") * col("support")) / F.sum("support")).alias("precision"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 col = F.col
@@ -60,6 +60,16 @@ def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.
             .drop("_u", "cnt_lt", "cnt_tot")
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Deterministic stratified ``fold`` 0..folds-1: every class is dealt out in the order of
+    hash(seed, key), ranked by prefix counts, so a class never sorts in one task."""
+    from riskframe.operators.monitoring import with_prefix
+    x = df.withColumn("_u", F.xxhash64(F.lit(seed), col(key))).withColumn("_s", F.coalesce(col(label).cast("string"), F.lit("\u0000null")))
+    counts = x.groupBy("_s", "_u").agg(F.count("*").alias("cnt"))
+    ranked = with_prefix(counts, ["_s"], "_u", ["cnt"]).select("_s", "_u", F.pmod("cnt_lt", F.lit(folds)).cast("int").alias("fold"))
+    return x.join(ranked, ["_s", "_u"]).drop("_s", "_u")
+
+
 def max_score_row(df: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
     """The row with the largest score (per group), via max_by (partial aggregation)."""
     keys = keys or []
@@ -80,9 +90,3 @@ def first_row_per_key(df: DataFrame, key: str | list[str], order: str | list[str
     g = df.groupBy(*keys).agg(F.min(F.struct(*[col(o).alias(f"_o{i}") for i, o in enumerate(orders)],
                                             F.struct(*cols).alias("_r"))).alias("_m"))
     return g.select(*keys, *[col(f"_m._r.{c}").alias(c) for c in cols])
-
-
-def dedupe_window(df: DataFrame, key: str, order: str) -> DataFrame:
-    """W5 (window form, for comparison in tests)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(col("_rn") == 1).drop("_rn")

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,17 @@ def chi_square_test(df: DataFrame, features: list[str], target: str, alpha: floa
                .withColumn("keep", col("p_value") < alpha)
 
 
+def correlation_matrix(df: DataFrame, cols: list[str], target: str, k: int = 10) -> DataFrame:
+    """M16 matrix: Pearson r between the ``k`` columns that correlate most with the target (by
+    absolute value, then name): ``feature, other, corr``, every ordered pair."""
+    strength = target_correlation(df, cols, target).where(col("corr").isNotNull())
+    top = [r["feature"] for r in strength.orderBy(F.abs(col("corr")).desc(), "feature").limit(k).collect()]    # k names
+    pairs = [(a, b) for a in top for b in top]
+    wide = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    each = F.array(*[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)])
+    return wide.select(F.inline(each))
+
+
 def target_correlation(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Pearson r of every column with the target (pairwise non-null), one pass."""
     wide = df.agg(*[F.corr(col(c).cast("double"), col(target).cast("double")).alias(c) for c in cols])
@@ -232,7 +243,6 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, baseline: float | Colum
     """MAPE (%), MAE, R^2; with ``baseline`` (train mean) the naive MAPE
     and the improvement.  Rows with y = 0 are left out of MAPE."""
     yc, pc = col(y).cast("double"), col(yhat).cast("double")
-    w = Window.partitionBy()
     ape = F.when(yc != 0, F.abs((yc - pc) / yc))
     aggs = [(F.avg(ape) * 100).alias("mape"), F.avg(F.abs(yc - pc)).alias("mae"),
             F.sum((yc - pc) * (yc - pc)).alias("_sse"), F.sum(yc * yc).alias("_syy"),
@@ -245,7 +255,6 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, baseline: float | Colum
     out = g.withColumn("r2", 1 - col("_sse") / sst).drop("_sse", "_syy", "_sy", "_n")
     if baseline is not None:
         out = out.withColumn("improvement", col("baseline_mape") - col("mape"))
-    del w
     return out
 
 
@@ -271,7 +280,8 @@ def _resample(seeds, counts, n_boot: int) -> np.ndarray:
 
 
 def _replicate_aucs(cells: DataFrame, keys: list[str], score: str, label: str, n_boot: int) -> DataFrame:
-    """(keys, aucs): AUC of every replicate, NULL where it has one class only.
+    """(keys, aucs, positives): AUC of every replicate, NULL where it has one class only, and
+    the weight of its positives.
 
     ``cells`` (keys, score, label, c, _seed) are put in score order once, in range
     pieces; a piece sums, for all replicates at once, its positives, negatives and
@@ -309,14 +319,93 @@ def _replicate_aucs(cells: DataFrame, keys: list[str], score: str, label: str, n
             u += np.asarray(v) + p * neg
             pos, neg = pos + p, neg + n
         auc = [a / b if b > 0 else None for a, b in zip(u, pos * neg)]
-        return pd.DataFrame([(*key, auc)])
+        return pd.DataFrame([(*key, auc, pos.tolist())])
 
     summed = pieces.groupBy(*keys, "_b").applyInPandas(
         piece, ", ".join(filter(None, [own, f"_b int, _pos {arr}, _neg {arr}, _u {arr}"])))
     if not keys:
         return summed.groupBy(F.lit(0).alias("_all")).applyInPandas(
-            lambda key, pdf: chain((), pdf), f"aucs {arr}")
-    return summed.groupBy(*keys).applyInPandas(chain, f"{own}, aucs {arr}")
+            lambda key, pdf: chain((), pdf), f"aucs {arr}, positives {arr}")
+    return summed.groupBy(*keys).applyInPandas(chain, f"{own}, aucs {arr}, positives {arr}")
+
+
+def _one_vs_rest(cells: DataFrame, keys: list[str], probs: str, label: str, n_boot: int) -> DataFrame:
+    """(keys, rep, auc): support-weighted one-vs-rest AUC of every replicate.
+
+    ``cells`` (keys, label, probs, c, _seed) weigh the same in every class of a
+    replicate, because a cell's stream depends on its seed alone.  A replicate that lacks a
+    class has no AUC.
+    """
+    long = cells.select(*keys, F.posexplode(probs).alias("_cls", "_p"), label, "c", "_seed")
+    long = long.withColumn("_hit", (col(label) == col("_cls")).cast("int"))
+    per = _replicate_aucs(long, [*keys, "_cls"], "_p", "_hit", n_boot)
+    each = per.select(*keys, F.posexplode(F.arrays_zip("aucs", "positives")).alias("rep", "v"))
+    return each.groupBy(*keys, "rep").agg(
+        F.when(F.count("v.aucs") == F.count("*"), F.sum(col("v.aucs") * col("v.positives")) / F.sum("v.positives")).alias("auc"))
+
+
+def _weighted_f1(confusion: np.ndarray) -> np.ndarray:
+    """Support-weighted F1 (zero division 0) of confusion weights (actual, predicted, replicate)."""
+    support, guessed, hit = confusion.sum(axis=1), confusion.sum(axis=0), np.einsum("iir->ir", confusion)
+    both = support + guessed
+    f1 = np.divide(2 * hit, both, out=np.zeros_like(hit), where=both > 0)
+    total = support.sum(axis=0)
+    return np.divide((f1 * support).sum(axis=0), total, out=np.full_like(total, np.nan), where=total > 0)
+
+
+def bootstrap_f1(counts: DataFrame, model: str, n_boot: int, seed: int) -> DataFrame:
+    """(model, rep, f1) from confusion counts ``(model, y, pred, n)``: a few rows per model."""
+    kind = counts.schema[model].dataType.simpleString()
+    seeded = counts.withColumn("_seed", F.xxhash64(F.lit(seed), model, "y", "pred"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top = int(max(pdf["y"].max(), pdf["pred"].max())) + 1
+        weights = np.zeros((top, top, n_boot))
+        weights[pdf["y"], pdf["pred"]] = _resample(pdf["_seed"], pdf["n"], n_boot)
+        return pd.DataFrame({model: key[0], "rep": np.arange(n_boot, dtype=np.int32), "f1": _weighted_f1(weights)})
+
+    return seeded.groupBy(model).applyInPandas(run, f"{model} {kind}, rep int, f1 double")
+
+
+def bootstrap_weighted(pred: DataFrame, model: str = "model", probs: str = "probs", label: str = "y",
+                       n_boot: int = 300, seed: int = 42) -> DataFrame:
+    """M12 for several classes: mean and 2.5 / 97.5 % of weighted one-vs-rest AUC and of weighted F1
+    (of the arg max) per model.  Equal rows are one cell, whose replicate weights come
+    from its own stream; see ``bootstrap_auc``."""
+    rows = pred.where(col(label).isNotNull() & col(probs).isNotNull())
+    cells = rows.groupBy(model, label, probs).agg(F.count("*").alias("c"))
+    cells = cells.withColumn("_seed", F.xxhash64(F.lit(seed), model, label, probs))
+    auc = _one_vs_rest(cells, [model], probs, label, n_boot)
+    arg = F.array_position(probs, F.array_max(probs)).cast("int") - 1
+    counts = cells.groupBy(model, col(label).cast("int").alias("y"), arg.alias("pred")).agg(F.sum("c").alias("n"))
+    reps = auc.join(bootstrap_f1(counts, model, n_boot, seed), [model, "rep"])
+    spread = lambda m: [F.avg(m).alias(f"{m}_mean"), F.percentile(m, 0.025).alias(f"{m}_lo"),
+                        F.percentile(m, 0.975).alias(f"{m}_hi")]
+    return reps.groupBy(model).agg(*spread("auc"), *spread("f1"), F.count("auc").alias("n_valid"))
+
+
+def paired_deltas(pred: DataFrame, champion: str, model: str = "model", key: str = "row_id", probs: str = "probs",
+                  label: str = "y", n_boot: int = 300, seed: int = 42) -> DataFrame:
+    """(challenger, rep, delta): weighted AUC of the champion less the challenger's, both over the same
+    row weights."""
+    a = pred.where(col(model) == champion).select(key, label, col(probs).alias("_a"))
+    b = pred.where(col(model) != champion).select(key, col(model).alias("challenger"), col(probs).alias("_b"))
+    rows = a.join(b, key).where(col(label).isNotNull() & col("_a").isNotNull() & col("_b").isNotNull())
+    cells = rows.groupBy("challenger", label, "_a", "_b").agg(F.count("*").alias("c"))
+    cells = cells.withColumn("_seed", F.xxhash64(F.lit(seed), "challenger", label, "_a", "_b"))
+    sides = cells.select("challenger", label, "c", "_seed", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("sign"), col("_a").alias("p")), F.struct(F.lit(-1.0).alias("sign"), col("_b").alias("p")))).alias("s"))
+    auc = _one_vs_rest(sides.select("challenger", "s.sign", col("s.p").alias("p"), label, "c", "_seed"), ["challenger", "sign"], "p", label, n_boot)
+    return auc.groupBy("challenger", "rep").agg(F.when(F.count("auc") == 2, F.sum(col("sign") * col("auc"))).alias("delta"))
+
+
+def paired_pvalues(pred: DataFrame, champion: str, **more) -> DataFrame:
+    """M13 for several classes: every challenger against the champion - one-sided p = share of
+    replicates with delta <= 0, mean delta, significant if p < .05 and delta > 0."""
+    d = paired_deltas(pred, champion, **more).where("delta IS NOT NULL")
+    g = d.groupBy("challenger").agg(F.avg(F.when(col("delta") <= 0, 1.0).otherwise(0.0)).alias("p_value"),
+                                    F.avg("delta").alias("auc_delta"), F.count("*").alias("n_valid"))
+    return g.withColumn("significant_at_5pct", (col("p_value") < 0.05) & (col("auc_delta") > 0))
 
 
 def bootstrap_auc(pred: DataFrame, keys, score: str = "p", label: str = "y", n_boot: int = 300,

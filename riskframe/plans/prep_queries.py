@@ -341,9 +341,52 @@ def q_corr(spark, sf):
     return edge(ST.target_correlation(app, [c for c in NUM if c != "credit_score"], "target"))
 
 
-@query("vif")
+_STRONGEST = 10
+_MANY = ["netmonthlyincome", "total_tl", "tot_active_tl", "tot_closed_tl", "secured_tl", "unsecured_tl", "tot_missed_pmnt",
+         "num_times_delinquent", "num_times_30p_dpd", "num_std", "tot_enq", "enq_l12m", "age", "pl_utilization"]
+
+
+@query("correlation_matrix", S.with_(APP + ",\nlong AS (" + "\nUNION ALL\n".join(
+    f"SELECT prospectid, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, CAST({_TARGET} AS DOUBLE) AS t FROM applicants"
+    for c in _MANY) + f"""),
+strongest AS (SELECT feature FROM long GROUP BY feature HAVING corr(v, t) IS NOT NULL
+              ORDER BY ABS(corr(v, t)) DESC, feature LIMIT {_STRONGEST})""", """
+SELECT x.feature, y.feature AS other, ROUND(corr(x.v, y.v), 6) AS corr
+FROM long x JOIN long y ON x.prospectid = y.prospectid
+WHERE x.feature IN (FROM strongest) AND y.feature IN (FROM strongest) GROUP BY ALL"""))
+def q_corr_matrix(spark, sf):
+    """Correlations among the ten features that correlate most with the target."""
+    app = A.applicants(spark, sf).withColumn("target", F.substring("approved_flag", 2, 1).cast("int") - 1)
+    return edge(ST.correlation_matrix(app, _MANY, "target", _STRONGEST))
+
+
+_VIF = ["credit_score", "total_tl", "tot_active_tl", "age"]
+
+
+def _vif_sql() -> str:
+    """1 / (1 - R^2) without intercept, R^2 of each column on the others by Cramer's rule."""
+    cols = _VIF
+
+    def minor(rows: list[int], cs: list[int]) -> str:
+        if len(rows) == 1:
+            return f"g{min(rows[0], cs[0])}{max(rows[0], cs[0])}"
+        return "(" + " ".join(f"{'+' if j % 2 == 0 else '-'} g{min(rows[0], c)}{max(rows[0], c)} * {minor(rows[1:], cs[:j] + cs[j + 1:])}"
+                              for j, c in enumerate(cs)) + ")"
+
+    every = list(range(len(cols)))
+    sums = ", ".join(f"SUM(CAST({cols[i]} AS DOUBLE) * {cols[j]}) AS g{i}{j}" for i in every for j in every if j >= i)
+    some = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    # (X'X)_ii times the i-th diagonal entry of the inverse, a ratio of determinants
+    rows = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, g{i}{i} * {minor([k for k in every if k != i], [k for k in every if k != i])} / {minor(every, every)} AS v FROM g"
+        for i, c in enumerate(cols))
+    return S.with_(APP + f",\ng AS (SELECT {sums} FROM applicants WHERE {some})",
+                   f"SELECT feature, ROUND(v, 6) AS vif, v > 10 AS high FROM ({rows})")
+
+
+@query("vif", _vif_sql())
 def q_vif(spark, sf):
-    return ST.vif(A.applicants(spark, sf), ["credit_score", "total_tl", "tot_active_tl", "age"])
+    return edge(ST.vif(A.applicants(spark, sf), _VIF))
 
 
 @query("iqr_outliers", S.with_(APP, "\nUNION ALL\n".join(
@@ -429,6 +472,18 @@ def q_delta(spark, sf):
     return out
 
 
+@query("bootstrap_ci_weighted")
+def q_bootstrap_weighted(spark, sf):
+    """Intervals of weighted one-vs-rest AUC and weighted F1 per model."""
+    return ST.bootstrap_weighted(A.multiclass_scored(spark, sf), n_boot=300)
+
+
+@query("auc_delta_pvalue_weighted")
+def q_delta_weighted(spark, sf):
+    """The champion (logreg) against every challenger on weighted one-vs-rest AUC."""
+    return ST.paired_pvalues(A.multiclass_scored(spark, sf), "logreg", n_boot=300)
+
+
 _REMOVE = ["credit_score", "netmonthlyincome", "tot_missed_pmnt"]
 
 

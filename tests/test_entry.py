@@ -15,6 +15,9 @@ LLM = {n for n in E.queries() if n == "pipeline" or n.startswith("op")}
 ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()) - LLM)
 
 
+MODELS = {"logistic_regression", "random_forest", "decision_tree", "gradient_boosting", "second_order_boosting"}
+
+
 def rows(spark, name):
     return E.queries()[name](spark, SF_SMALL).collect()
 
@@ -34,9 +37,10 @@ def test_every_query_without_an_oracle_is_checked_below():
 
 def test_train_and_evaluate(spark):
     got = {r.model: r for r in rows(spark, "train_and_evaluate")}
-    assert set(got) == {"logistic_regression", "random_forest", "decision_tree", "gradient_boosting"}
+    assert set(got) == MODELS
     for r in got.values():
         assert 0.4 < r.accuracy <= 1 and 0 < r.f1 <= 1 and 0.5 < r.auc_ovr <= 1
+    assert got["second_order_boosting"].auc_ovr >= got["gradient_boosting"].auc_ovr - 0.02
 
 
 def test_batch_score_all_models(spark):
@@ -47,12 +51,12 @@ def test_batch_score_all_models(spark):
         seen.add((r.row_id, r.model, r.cls))
         total[r.row_id, r.model] = total.get((r.row_id, r.model), 0) + r.p
     assert all(abs(t - 1) < 1e-9 for t in total.values())
-    assert len({m for _, m in total}) == 4 and len(total) == 4 * len({i for i, _ in total})
+    assert {m for _, m in total} == MODELS and len(total) == len(MODELS) * len({i for i, _ in total})
 
 
 def test_evaluate_bundle(spark):
     got = rows(spark, "evaluate_bundle")
-    assert len({r.model for r in got}) == 4
+    assert {r.model for r in got} == MODELS
     for m in {r.model for r in got}:
         mine = [r for r in got if r.model == m]
         assert sum(r.support for r in mine) == sum(r.predicted for r in mine) > 0
@@ -65,14 +69,39 @@ def test_champion_gate(spark):
 
 
 def test_random_search_cv(spark):
+    from riskframe.operators.search import GRIDS
     got = rows(spark, "random_search_cv")
-    assert len(got) == 10 and all(0 < r.mean_weighted_f1 <= 1 for r in got)
-
-
-def test_batch_decide(spark):
-    got = rows(spark, "batch_decide")
-    assert 0 < len(got) <= 5000 and {r.decision_route for r in got} <= {"AUTO_APPROVE", "MANUAL_REVIEW", "AUTO_REJECT"}
-    assert len({r.row_id for r in got}) == len(got)
+    assert {f: sum(r.family == f for r in got) for f in GRIDS} == {f: 8 if f == "k_nearest_neighbours" else 10 for f in GRIDS}
+    n = {r.rows for r in got}
+    assert len(n) == 1 and all(len(r.fold_f1) == 5 and 0 < r.mean_f1 <= 1 for r in got)
+    for f in GRIDS:
+        best = [r for r in got if r.family == f and r.best]
+        assert len(best) == 1 and best[0].mean_f1 >= max(r.mean_f1 for r in got if r.family == f) - 1e-9 and best[0].test_f1 > 0.3
+
+
+def test_seed_stability_models(spark):
+    got = rows(spark, "seed_stability_models")
+    assert len(got) == 4 and all(0 < r.auc_cv_pct < 30 and 0 < r.f1_cv_pct < 60 for r in got)
+
+
+def test_payload_rows_fail_as_values(spark):
+    """Planted bad payloads come back with their reason; all others are scored."""
+    errors = {r.prospectid: r.error for r in rows(spark, "payload_errors")}
+    for k, e in errors.items():
+        want = ([] if k % 43 else ["age: missing"]) + ([] if k % 41 else ["credit_score: not a number"])
+        assert (e or "") == ("malformed payload" if k % 37 == 0 else "; ".join(sorted(want, reverse=True)))
+    assert len(set(errors.values())) >= 4
+    scored = rows(spark, "score_payloads")
+    assert {r.row_id for r in scored} == set(errors) and len(scored) == 2 * len(errors)
+    decided = rows(spark, "batch_decide")
+    assert sorted(r.row_id for r in decided) == sorted(errors)
+    for r in scored:
+        p = [r.p_class_0, r.p_class_1, r.p_class_2, r.p_class_3]
+        assert r.error == errors[r.row_id]
+        assert p == [None] * 4 and r.predicted_class is None if r.error else abs(sum(p) - 1) < 1e-9 and r.confidence == max(p)
+    for r in decided:
+        assert r.error == errors[r.row_id] and (r.decision_route is None) == (r.error is not None)
+    assert {r.decision_route for r in decided} <= {"AUTO_APPROVE", "MANUAL_REVIEW", "AUTO_REJECT", None}
 
 
 def test_income_and_propensity_models(spark):
@@ -83,8 +112,14 @@ def test_income_and_propensity_models(spark):
 
 
 def test_linear_contributions_and_importances(spark):
+    from riskframe.plans.ml_queries import FEATURES
     got = rows(spark, "linear_contributions")
-    assert got and all(math.isfinite(v) for r in got for v in r)
+    assert got and all(math.isfinite(v) for r in got for v in r) and {r.cls for r in got} == {0, 1, 2, 3}
+    mean = {(r.cls, r.feature): r.mean_abs for r in rows(spark, "linear_contributions_global")}
+    assert len(mean) == 4 * len(FEATURES)
+    for c in range(4):
+        for f in FEATURES:
+            assert math.isclose(mean[c, f], np.mean([abs(r[f]) for r in got if r.cls == c]), rel_tol=1e-6, abs_tol=1e-12)
     top = rows(spark, "feature_importance_fallback")
     assert len(top) == 5 and all(0 <= r.importance <= 1 for r in top)
     assert [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
@@ -94,11 +129,6 @@ def test_chi_square_pvalue(spark):
     assert all(0 <= r[c] <= 1 for r in rows(spark, "chi_square_pvalue") for c in r.asDict() if c.startswith("p_value"))
 
 
-def test_vif(spark):
-    got = rows(spark, "vif")
-    assert got and all(r.vif is None or r.vif >= 1 - 1e-9 for r in got)
-
-
 def test_bootstrap(spark):
     ci = {r.model: r for r in rows(spark, "bootstrap_ci")}
     t = A.scored(spark, SF_SMALL).where("split = 'test'")
@@ -127,6 +157,68 @@ def test_bootstrap_replicates_equal_weighted_auc(spark):
         assert math.isclose(got[k], u / (sum(a for _, a in pos) * sum(b for _, b in neg)), rel_tol=1e-9)
 
 
+def _plain_auc(score, hit, w):
+    pos, neg = [(s, v) for s, h, v in zip(score, hit, w) if h], [(s, v) for s, h, v in zip(score, hit, w) if not h]
+    total = sum(v for _, v in pos) * sum(v for _, v in neg)
+    return sum(a * b * ((x > y) + 0.5 * (x == y)) for x, a in pos for y, b in neg) / total if total else None
+
+
+def _multiclass(n=140):
+    rng = np.random.default_rng(5)
+    out = []
+    for i in range(n):
+        y = int(rng.integers(0, 3))
+        for m, lift in (("champ", 3), ("other", 1), ("third", 0)):
+            p = rng.integers(1, 4, 3) + lift * (np.arange(3) == y)
+            out.append((i, m, y, [float(v) for v in p / p.sum()]))
+    return out
+
+
+def test_weighted_bootstrap_equals_brute_force_per_replicate(spark):
+    from pyspark.sql import functions as F
+    data = _multiclass()
+    df = spark.createDataFrame(data, "row_id long, model string, y int, probs array<double>")
+    n = 12
+    cells = df.where("model = 'other'").groupBy("model", "y", "probs").agg(F.count("*").alias("c")).withColumn(
+        "_seed", F.xxhash64(F.lit(42), "model", "y", "probs"))
+    got = {r.rep: r.auc for r in ST._one_vs_rest(cells, ["model"], "probs", "y", n).collect()}
+    local = cells.collect()
+    w = ST._resample([r["_seed"] for r in local], [r.c for r in local], n)
+    for k in range(n):
+        aucs = [_plain_auc([r.probs[c] for r in local], [r.y == c for r in local], w[:, k]) for c in range(3)]
+        support = [sum(w[i, k] for i, r in enumerate(local) if r.y == c) for c in range(3)]
+        assert math.isclose(got[k], sum(a * s for a, s in zip(aucs, support)) / sum(support), rel_tol=1e-9)
+    counts = spark.createDataFrame([("m", y, p, 3 + y + 2 * p) for y in range(3) for p in range(3)], "model string, y int, pred int, n long")
+    seeded = counts.withColumn("_seed", F.xxhash64(F.lit(1), "model", "y", "pred")).collect()
+    w = ST._resample([r["_seed"] for r in seeded], [r.n for r in seeded], n)
+    f1 = {r.rep: r.f1 for r in ST.bootstrap_f1(counts, "model", n, 1).collect()}
+    for k in range(n):
+        at = {(r.y, r.pred): w[i, k] for i, r in enumerate(seeded)}
+        total = score = 0.0
+        for c in range(3):
+            support, guessed = sum(at[c, p] for p in range(3)), sum(at[y, c] for y in range(3))
+            score += support * (2 * at[c, c] / (support + guessed) if support + guessed else 0)
+            total += support
+        assert math.isclose(f1[k], score / total, rel_tol=1e-9)
+
+
+def test_paired_deltas_share_their_weights(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(_multiclass(), "row_id long, model string, y int, probs array<double>")
+    same = df.unionByName(df.where("model = 'champ'").withColumn("model", F.lit("twin")))
+    deltas = ST.paired_deltas(same, "champ", n_boot=20).collect()
+    assert all(r.delta == 0 for r in deltas if r.challenger == "twin") and len(deltas) == 60
+    p = {r.challenger: r for r in ST.paired_pvalues(same, "champ", n_boot=60).collect()}
+    assert p["twin"].p_value == 1 and not p["twin"].significant_at_5pct
+    assert p["third"].significant_at_5pct and p["third"].auc_delta > p["other"].auc_delta > 0
+
+
+def test_weighted_bootstrap_queries(spark):
+    got = rows(spark, "bootstrap_ci_weighted")
+    assert len(got) == 3 and all(r.n_valid == 300 and r.auc_lo <= r.auc_mean <= r.auc_hi and r.f1_lo <= r.f1_mean <= r.f1_hi for r in got)
+    assert {r.challenger for r in rows(spark, "auc_delta_pvalue_weighted")} == {r.model for r in got} - {"logreg"}
+
+
 def test_resampling_is_one_method_at_every_count():
     for c in (1, 50, 500, 2_000_000):
         w = ST._resample(range(400), [c] * 400, 50)
