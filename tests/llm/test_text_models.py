@@ -207,6 +207,71 @@ def test_class_lm_messy(spark):
     assert L.score_texts(lone, X.held_out("doc_id", 1, 0)).count() == 2
 
 
+def test_most_frequent_has_no_cliff(spark):
+    """Words of one count are taken up to the room there is, however many share it."""
+    for n, size in (("5", 1000), ("CAST(id % 3 + 1 AS LONG)", 3000), ("id + 1", 400)):
+        counts = spark.range(size).selectExpr("id * 7919 + 1 AS h", f"{n} AS n", "0 AS shape").selectExpr("h", "CAST(n AS LONG) AS n", "shape")
+        every = sorted((r.n for r in counts.collect()), reverse=True)
+        for limit in (1, 50, 350, 900, 10_000):
+            got = L._most_frequent(counts, limit)
+            assert len(got) <= limit and len(got) >= min(limit, size) - 8 * limit ** 0.5
+            assert got["n"].tolist() == every[:len(got)] and got["h"].is_unique
+
+
+def test_clustered_vocabulary_grows(spark):
+    """All words equally frequent, and a table twice as large: items follow the vocabulary."""
+    seen = []
+    old = L.exchange
+    try:
+        L.exchange = lambda b, n, c, r: (seen.append((n, c)), old(b, n, c, 2))[1]
+        for size in (300, 2400):
+            docs = spark.range(size).selectExpr("id AS doc_id", "concat('w', id, ' v', id) AS text")
+            out = L.score_texts(docs, X.held_out("doc_id", 7, 2)).collect()
+            assert len(out) == size and all(math.isfinite(r.score) for r in out)
+    finally:
+        L.exchange = old
+    assert 3.5 < seen[1][0] / seen[0][0] < 4.5 and seen[1][1] >= seen[0][1]
+
+
+def test_score_by_hand(spark):
+    """The score of every document from the classes and counts, word by word."""
+    rows = [(r.doc_id, r.text) for r in sample(spark).collect()][:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    old = L._score
+    try:
+        L._score = lambda model, *a: (kept.setdefault("m", model.value), old(model, *a))[1]
+        got = {r.id: r.score for r in L.score_texts(df, X.held_out("doc_id", 7, 2), rounds=3).collect()}
+    finally:
+        L._score = old
+    m, v = kept["m"], kept["m"].vocab
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().translate(low).split())
+    from riskframe.llm import hashing as H
+    words = sorted({w for _, t in rows for w in t.encode().translate(low).split()})
+    data = b" ".join(words)
+    h = np.maximum(H.cut_words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hash, 1)
+    shape = {w: (0 if w[-1:] == b"." else 1 if w[-1:] == b"," else 2) + 3 * any(x >= 128 for x in w) for w in words}
+    item = {w: int(v.item[r]) if (r := v.find(np.array([x]))[0]) >= 0 and v.item[r] >= 0 else -1 for w, x in zip(words, h)}
+    cls = {w: int(m.cls[i]) if i >= 0 else int(m.cls[v.n_items + shape[w]]) for w, i in item.items()}
+    members, rare_n, rare_v = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        if item[w] >= 0:
+            members[cls[w]] += n
+        else:
+            rare_n[shape[w]] += n
+            rare_v[shape[w]] += 1
+    end = int(m.cls[v.end_item])
+    for i, t in rows:
+        total, before = 0.0, end
+        for w in t.encode().translate(low).split():
+            total += m.step[before, cls[w]]
+            total += (math.log10(counts[w] / members[cls[w]]) if item[w] >= 0
+                      else math.log10((counts[w] + 1) / (rare_n[shape[w]] + rare_v[shape[w]] + 1)))
+            before = cls[w]
+        assert math.isclose(got[i], total + m.step[before, end], rel_tol=1e-9)
+
+
 def test_class_lm_is_a_distribution():
     """Transitions sum to 1, and so do the words of every class (one unseen word
     included in the shape classes)."""
