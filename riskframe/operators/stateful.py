@@ -49,7 +49,7 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
 
     Adds ``session_no`` (1-based per key), ``running_n`` (events in the
     session so far, this one included) and ``running_<m>`` for every
-    measure.  A new session starts when the gap to the key's previous event
+    measure (a NULL measure adds nothing).  A new session starts when the gap to the key's previous event
     is >= ``ttl_seconds``.  A NULL key is a key like any other.  An event
     without a time stands in no session: it is kept, with NULL in the added
     columns.
@@ -60,7 +60,7 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
     m_names = ["n"] + list(measures)
     timed = events.where(col(ts).isNotNull())
     x = timed.select("*", _micros(ts).alias("_t"), F.lit(1).alias("_m_n"),
-                     *[c.alias(f"_m_{k}") for k, c in measures.items()])
+                     *[F.coalesce(c, F.lit(0)).alias(f"_m_{k}") for k, c in measures.items()])
     x = range_pieces(x, [*keys, "_t", *order], "_c")
     kc = keys + ["_c"]
     ordc = [col("_t")] + [col(o) for o in order]
@@ -161,6 +161,62 @@ LEDGER_SCHEMA = T.StructType([
 ])
 
 
+def ledger_step(kinds, amounts, limit: float, drawn: float) -> tuple[list, list, list]:
+    """Results, limits and drawn totals of one customer's events in order (T5); a NULL amount
+    moves nothing.  Batch and stream use it alike."""
+    res, limits, draws = [], [], []
+    for kind, a in zip(kinds, amounts):
+        a = 0.0 if a != a or a is None else a
+        if kind == "approve":
+            limit += a
+            r = limit
+        elif drawn + a > limit:
+            r = -1.0
+        else:
+            drawn += a
+            r = drawn
+        res.append(r)
+        limits.append(limit)
+        draws.append(drawn)
+    return res, limits, draws
+
+
+def velocity_step(times, amounts, state: tuple, ttl_us: int) -> tuple[list, tuple]:
+    """(session, count, amount) of one key's events in time order, and the state after them
+    (last time, count, amount, session).  An event without a time stands in no session; a
+    NULL amount adds nothing."""
+    last, n, amt, sess = state
+    out = []
+    for t, a in zip(times, amounts):
+        if t != t or t is None:
+            out.append((None, None, None))
+            continue
+        if last is None or t - last >= ttl_us:
+            n, amt, sess = 0, 0.0, sess + 1
+        n, last = n + 1, int(t)
+        amt += 0.0 if a != a or a is None else a
+        out.append((sess, n, amt))
+    return out, (last, n, amt, sess)
+
+
+def member_step(times, customers, last: int | None, members: set, ttl_us: int) -> tuple[list, int | None, set]:
+    """(is_new, set size) of one device's registrations in time order, its last time and its set.
+    A NULL customer is a member like any other; a registration without a time has no result."""
+    out = []
+    for t, c in zip(times, customers):
+        if t != t or t is None:
+            out.append((None, None))
+            continue
+        if last is not None and t - last >= ttl_us:
+            members = set()
+        c = None if c != c or c is None else int(c)
+        new = c not in members
+        members.add(c)
+        last = int(t)
+        out.append((int(new), len(members)))
+    return out, last, members
+
+
 def _ledger_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partition rows arrive sorted by (customer, ts, event_id); the state of
     the current customer is carried across Arrow batches."""
@@ -171,22 +227,16 @@ def _ledger_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a NULL customer is one customer; a NULL amount moves nothing
         cids = pdf["customer_id"].astype(object).where(pdf["customer_id"].notna(), None).tolist()
         kinds = pdf["kind"].to_numpy()
-        amts = pdf["amount"].fillna(0.0).to_numpy(dtype="float64")
+        amts = pdf["amount"].to_numpy(dtype="float64", na_value=float("nan"))
         res, lim_o, drw_o = [], [], []
-        for cid, kind, a in zip(cids, kinds, amts):
-            if cid != cur:
-                cur, limit, drawn = cid, 0.0, 0.0
-            if kind == "approve":
-                limit += a
-                r = limit
-            elif drawn + a > limit:
-                r = -1.0
-            else:
-                drawn += a
-                r = drawn
-            res.append(r)
-            lim_o.append(limit)
-            drw_o.append(drawn)
+        lead = [k for k, c in enumerate(cids) if k == 0 or c != cids[k - 1]]
+        for a, b in zip(lead, [*lead[1:], len(cids)]):
+            if cids[a] != cur:
+                cur, limit, drawn = cids[a], 0.0, 0.0
+            parts = ledger_step(kinds[a:b], amts[a:b], limit, drawn)
+            for whole, part in zip((res, lim_o, drw_o), parts):
+                whole += part
+            limit, drawn = lim_o[-1], drw_o[-1]
         out = pdf.copy()
         out["customer_id"] = pd.array(cids, dtype="Int64")
         out["result"] = res

@@ -13,7 +13,7 @@ from riskframe.operators import loanbook as LB
 from riskframe.operators import stateful as SF
 from riskframe.plans import fixtures_sql as S
 from riskframe.plans import function_queries, monitoring_queries, prep_queries, text_queries
-from riskframe.plans.catalog import edge, query
+from riskframe.plans.catalog import ORACLES, edge, query
 from riskframe.sources import adapters as A
 
 col = F.col
@@ -53,6 +53,21 @@ def q_audit_eight_passed(spark, sf):
                                         F.count("*").alias("n_checks"))
 
 
+@query("facts_payload_values", S.with_(S.MULTICLASS + f",\nscores AS (FROM ({ORACLES['weighted_prf']}))", """
+SELECT 'rows' AS section, '' AS name, CAST(COUNT(*) AS DOUBLE) AS value FROM mc WHERE model = 'logreg'
+UNION ALL SELECT 'class', CAST(y AS VARCHAR), COUNT(*) FROM mc WHERE model = 'logreg' GROUP BY y
+UNION ALL SELECT 'f1', model, ROUND(f1, 4) FROM scores"""))
+def q_facts_values(spark, sf):
+    """The record's counts and scores, read from its JSON."""
+    record = "rows long, class_distribution map<string,long>, model_metrics array<struct<model:string,f1:double>>"
+    p = prep_queries.q_facts(spark, sf).select(F.from_json("json", record).alias("p")).select("p.*")
+    row = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    return p.select(F.inline(F.concat(
+        F.array(row("rows", F.lit(""), col("rows"))),
+        F.transform(F.map_entries("class_distribution"), lambda e: row("class", e["key"], e["value"])),
+        F.transform("model_metrics", lambda m: row("f1", m["model"], m["f1"])))))
+
+
 # ------------------------------------------------------------------ T10, all label sets
 
 _CALLS = S.REQUESTS + """,

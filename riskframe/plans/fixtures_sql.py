@@ -96,11 +96,11 @@ SCORED = "scored AS (\n" + "\n  UNION ALL\n".join(
 
 MONITORING = SCORED + """,
 monitoring AS (
-  SELECT model AS model_name, MAX(scored_at) AS scored_at,
-    CAST((SUM(row_id % 13) * 7 + COUNT(*)) % 100 AS DOUBLE) / 100.0 AS gini,
-    CAST((SUM(row_id % 11) * 3 + COUNT(*) * 7) % 100 AS DOUBLE) / 100.0 AS ks,
+  SELECT model AS model_name, MAX(scored_at) - to_days(ascii(model) % 7) AS scored_at,
+    CAST((SUM(row_id * ascii(model) % 13) * 7 + COUNT(*)) % 100 AS DOUBLE) / 100.0 AS gini,
+    CAST((SUM(row_id * ascii(model) % 11) * 3 + COUNT(*) * 7) % 100 AS DOUBLE) / 100.0 AS ks,
     CASE WHEN month(date_trunc('month', scored_at)) = 2 THEN NULL
-         ELSE CAST((SUM(row_id % 17) + COUNT(*)) % 40 AS DOUBLE) / 100.0 END AS psi,
+         ELSE CAST((SUM(row_id * ascii(model) % 17) + COUNT(*)) % 40 AS DOUBLE) / 100.0 END AS psi,
     0.30::DOUBLE AS gini_min, 0.20::DOUBLE AS ks_min, 0.25::DOUBLE AS psi_max
   FROM scored GROUP BY model, date_trunc('month', scored_at))"""
 

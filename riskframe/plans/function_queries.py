@@ -121,14 +121,11 @@ def q_json_sanitize(spark, sf):
 
 
 @query("parse_vector_text", """
-SELECT vec_id, len(embedding) AS dim, ROUND(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
-       ROUND(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last_value FROM embeddings""")
+SELECT vec_id, list_transform(embedding, lambda x: ROUND(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings""")
 def q_parse_vector(spark, sf):
     v = table(spark, sf, "embeddings", ["vec_id", "embedding"])
     parsed = X.parse_vector_text(F.to_json(col("embedding")))
-    return edge(v.select("vec_id", F.size(parsed).alias("dim"),
-                         F.element_at(parsed, 1).cast("double").alias("first_value"),
-                         F.element_at(parsed, -1).cast("double").alias("last_value")))
+    return v.select("vec_id", F.transform(parsed, lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
 @query("percent_format", S.with_(S.SCORED, """
@@ -228,17 +225,20 @@ gen AS (
     CASE k % 7 WHEN 0 THEN 'allow' WHEN 1 THEN 'step_up_auth' WHEN 2 THEN 'block' WHEN 3 THEN 'report_sar'
                WHEN 4 THEN 'escalate' ELSE NULL END AS action,
     CASE WHEN k % 3 = 0 THEN 'High' END AS band,
-    CASE WHEN k % 4 = 0 THEN false END AS review
+    CASE WHEN k % 4 = 0 THEN false END AS review,
+    CASE WHEN k % 5 = 0 THEN ['velocity', 'new device'] END AS flags,
+    CASE WHEN k % 2 = 0 THEN [event_type, 'amount'] END AS drivers,
+    CASE WHEN k % 3 = 1 THEN ['aml.pdf p' || CAST(k AS VARCHAR)] END AS refs
   FROM raw)"""
 
 
 @query("llm_output_coerce", "WITH " + _RAW_SQL + """
 SELECT event_id, COALESCE(band, 'Medium') AS fraud_band,
   CASE WHEN typology IN ('""" + "', '".join(ALLOWED_TYPOLOGIES) + """') THEN typology ELSE 'unknown' END AS typology,
-  CAST([] AS VARCHAR[]) AS red_flags, CAST([] AS VARCHAR[]) AS key_drivers,
+  COALESCE(flags, []) AS red_flags, COALESCE(drivers, []) AS key_drivers,
   CASE WHEN action IN ('""" + "', '".join(ALLOWED_ACTIONS) + """') THEN action ELSE 'manual_review' END
     AS recommended_action,
-  CAST([] AS VARCHAR[]) AS policy_refs, ROUND(k / 100.0, 6) AS confidence,
+  COALESCE(refs, []) AS policy_refs, ROUND(k / 100.0, 6) AS confidence,
   CASE WHEN action IN ('block', 'report_sar') THEN true ELSE COALESCE(review, true) END AS needs_human_review
 FROM gen""")
 def q_llm_output_coerce(spark, sf):
@@ -251,6 +251,9 @@ def q_llm_output_coerce(spark, sf):
     gen = F.to_json(F.struct(typology.alias("typology"), action.alias("recommended_action"),
                              F.when(k % 3 == 0, F.lit("High")).alias("fraud_band"),
                              F.when(k % 4 == 0, F.lit(False)).alias("needs_human_review"),
+                             F.when(k % 5 == 0, F.array(F.lit("velocity"), F.lit("new device"))).alias("red_flags"),
+                             F.when(k % 2 == 0, F.array(col("event_type"), F.lit("amount"))).alias("key_drivers"),
+                             F.when(k % 3 == 1, F.array(F.concat(F.lit("aml.pdf p"), k.cast("string")))).alias("policy_refs"),
                              (k / 100.0).alias("confidence")))
     return edge(e.select("event_id", *coerce_fraud_output(gen)))
 

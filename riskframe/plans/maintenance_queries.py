@@ -155,6 +155,18 @@ def q_export_stats(spark, sf):
     return st.select(col("rows").cast("long"), col("columns"))
 
 
+_DTYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
+
+@query("export_schema", S.with_(S.APPLICANTS, "SELECT column_name, CASE column_type " + " ".join(
+    f"WHEN '{a}' THEN '{b}'" for a, b in _DTYPES.items()) + " END AS dtype FROM (DESCRIBE SELECT * FROM applicants)"))
+def q_export_schema(spark, sf):
+    """schema.json of the applicant table, written and read back."""
+    path = K.new_location(spark, "schema")
+    K.export_schema(A.applicants(spark, sf)).write.json(path)
+    return spark.read.schema("column_name string, dtype string").json(path)
+
+
 @query("export_class_distribution", S.with_(S.APPLICANTS, """
 SELECT CAST(SUM(n) AS BIGINT) AS rows,
        map_from_entries(list((cls, n) ORDER BY cls) FILTER (WHERE cls IS NOT NULL)) AS class_distribution,
@@ -164,14 +176,19 @@ def q_export_classes(spark, sf):
     return K.export_stats(A.applicants(spark, sf), "approved_flag")
 
 
-@query("monthly_report_tables", S.with_(S.MODEL_METRICS, """
-SELECT model_name, ROUND(f1_score, 6) AS f1_score, '2001-09' AS report_month FROM model_metrics"""))
+@query("monthly_report_tables", S.with_(S.MODEL_METRICS + S.MONITORING.removeprefix(S.SCORED), """
+SELECT 'metrics' AS report, model_name, NULL AS scored_at, ROUND(f1_score, 6) AS value, '2001-09' AS report_month FROM model_metrics
+UNION ALL SELECT 'monitoring', model_name, scored_at, ROUND(gini, 6), '2001-09' FROM monitoring"""))
 def q_monthly_report(spark, sf):
+    """Both tables of the month, read back from their partition."""
     out = K.new_location(spark, "report")
     m = A.model_metrics(spark, sf).select("model_name", "f1_score")
-    mon = A.monitoring(spark, sf)
-    K.monthly_report_tables(m, mon, out, "2001-09")
-    return edge(spark.read.parquet(f"{out}/metrics"))
+    K.monthly_report_tables(m, A.monitoring(spark, sf), out, "2001-09")
+    month = lambda name: spark.read.parquet(f"{out}/{name}").where(col("report_month") == "2001-09")
+    metrics = month("metrics").select(F.lit("metrics").alias("report"), "model_name", F.lit(None).cast("timestamp_ntz").alias("scored_at"),
+                                      col("f1_score").alias("value"), "report_month")
+    return edge(metrics.unionByName(month("monitoring").select(
+        F.lit("monitoring").alias("report"), "model_name", "scored_at", col("gini").alias("value"), "report_month")))
 
 
 @query("sink_holdout", S.with_(APP + """,
@@ -199,6 +216,17 @@ def q_audit_payload(spark, sf):
     return spark.read.parquet(path)
 
 
+_PAYLOAD = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
+
+
+@query("sink_audit_payload_values", S.with_(S.MODEL_METRICS, "SELECT TIMESTAMP '2001-09-01 00:00:00' AS run_at, model_name, " + ", ".join(
+    f"ROUND({c}, 6) AS {c}" for c in _PAYLOAD) + " FROM model_metrics"))
+def q_audit_payload_values(spark, sf):
+    """The appended payloads, parsed again."""
+    schema = "model_name string, " + ", ".join(f"{c} double" for c in _PAYLOAD)
+    return edge(q_audit_payload(spark, sf).select("run_at", F.from_json("payload", schema).alias("p")).select("run_at", "p.*"))
+
+
 @query("sink_profile_upsert", """
 SELECT user_id, json_object('event_type', arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IS NOT NULL),
                             'value', arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL))::VARCHAR AS profile

@@ -163,10 +163,18 @@ def _payload_error_sql() -> str:
     return f"CASE WHEN NOT json_valid(payload) THEN 'malformed payload' ELSE nullif(concat_ws('; ', {tests}), '') END"
 
 
+def sent_payloads(spark, sf):
+    """Payloads of the applicants with a decision, as text."""
+    return A.applicants(spark, sf).where(col("approved_flag").isNotNull()).select("prospectid", F.expr(PAYLOAD).alias("payload"))
+
+
+def read(payloads):
+    """Typed columns and errors of payloads."""
+    return FE.read_payloads(payloads, "payload", NUMERIC, CATEGORICAL, "prospectid")
+
+
 def payloads(spark, sf):
-    """Payloads of the applicants with a decision, read into typed columns and errors."""
-    raw = A.applicants(spark, sf).where(col("approved_flag").isNotNull()).select("prospectid", F.expr(PAYLOAD).alias("payload"))
-    return FE.read_payloads(raw, "payload", NUMERIC, CATEGORICAL, "prospectid")
+    return read(sent_payloads(spark, sf))
 
 
 @query("payload_errors", S.with_(S.APPLICANTS + f""",
@@ -176,7 +184,7 @@ def q_payload_errors(spark, sf):
     return payloads(spark, sf).select("prospectid", "error")
 
 
-def _payload_models(spark, sf, names):
+def payload_models(spark, sf, names):
     train, test, classes = raw_split(spark, sf)
     prepare = preparation(train)
     fitted = ML.train_models(cut_lineage(prepare.transform(train)), FEATURES, models=ML.build_models(names=names))
@@ -186,7 +194,7 @@ def _payload_models(spark, sf, names):
 @query("score_payloads")
 def q_score_payloads(spark, sf):
     """Every applicant's payload by two models; a bad one returns its error."""
-    models = _payload_models(spark, sf, ["logistic_regression", "second_order_boosting"])
+    models = payload_models(spark, sf, ["logistic_regression", "second_order_boosting"])
     out = ML.score_payloads(models, payloads(spark, sf), "prospectid")
     return out.select("row_id", "model", "predicted_class", "confidence",
                       *[F.try_element_at("probs", F.lit(c + 1)).alias(f"p_class_{c}") for c in range(4)], "error")
@@ -195,7 +203,7 @@ def q_score_payloads(spark, sf):
 @query("batch_decide")
 def q_batch_decide(spark, sf):
     """Decision of every applicant's payload; a bad one has an error and no decision."""
-    models = _payload_models(spark, sf, ["logistic_regression"])
+    models = payload_models(spark, sf, ["logistic_regression"])
     sc = ML.score_payloads(models, payloads(spark, sf), "prospectid")
     # primary probability: class code 1 when present (the reference's rule)
     p1 = F.try_element_at("probs", F.lit(2))

@@ -406,11 +406,15 @@ def q_iqr_clip(spark, sf):
     return edge(ST.iqr_clip(A.applicants(spark, sf).select("prospectid", *NUM), NUM))
 
 
+#: A long-tailed column beside the others, so that one is flagged.
+_TAIL = "power(netmonthlyincome / 1000.0D, 6)"
+
+
 @query("skew_report", S.with_(APP, "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, ROUND(skewness(CAST({c} AS DOUBLE)), 6) AS skew, ABS(skewness(CAST({c} AS DOUBLE))) > 1 AS skewed FROM applicants"
-    for c in NUM)))
+    f"SELECT '{n}' AS column_name, ROUND(skewness(CAST({c} AS DOUBLE)), 6) AS skew, ABS(skewness(CAST({c} AS DOUBLE))) > 1 AS skewed FROM applicants"
+    for n, c in [*((c, c) for c in NUM), ("income_tail", _TAIL.replace("D", "")) ])))
 def q_skew(spark, sf):
-    return edge(ST.skew_report(A.applicants(spark, sf), NUM))
+    return edge(ST.skew_report(A.applicants(spark, sf).withColumn("income_tail", F.expr(_TAIL)), [*NUM, "income_tail"]))
 
 
 @query("mean_impute", S.with_(APP, """

@@ -118,6 +118,21 @@ def q_retrieval_eval(spark, sf):
     return edge(RT.label_precision_at_k(hits, e, "vec_id", "label"))
 
 
+#: Characters of a hit's text that the log keeps.
+PREVIEW = 300
+
+
+@query("retrieval_log", "WITH " + _brute_sql(_COS) + f"""
+SELECT nn.q_id, CAST(nn.rank AS INTEGER) AS rank, nn.c_id, ROUND(-nn.d, 6) AS score, substring(t.text, 1, {PREVIEW}) AS preview
+FROM nn LEFT JOIN documents t ON t.doc_id = nn.c_id""")
+def q_retrieval_log(spark, sf):
+    """Every hit with the start of its document's text."""
+    e = _emb(spark, sf)
+    hits = RT.knn_topk(_asked(e), e, "vec_id", "vec_id", k=5, exclude_self=True)
+    texts = TB.table(spark, sf, "documents", ["doc_id", "text"]).select(col("doc_id").alias("c_id"), X.truncate_context("text", PREVIEW).alias("preview"))
+    return edge(hits.join(texts, "c_id", "left").select("q_id", "rank", "c_id", "score", "preview"))
+
+
 _GROUPS = {"trade_lines": ["total_tl", "tot_active_tl", "unsecured_tl"],
            "delinquency": ["num_times_delinquent", "num_times_30p_dpd", "num_times_60p_dpd"],
            "demographics": ["maritalstatus", "education"]}

@@ -8,7 +8,8 @@ SCORE_LEVEL = ([(600, "Very Low"), (650, "Low"), (700, "Medium"), (800, "High")]
 SCORE_RISK = ([(600, "Very High Risk"), (650, "High Risk"), (700, "Medium Risk"), (800, "Low Risk")], "Very Low Risk")
 SCORE_RANGE = ([(600, "0-599"), (650, "600-649"), (700, "650-699"), (750, "700-749"), (800, "750-799")], "800+")
 SCORE_MISLABELLED = ([(600, "<600"), (650, "650-699"), (700, "700-799")], "800+")
-DELINQUENCY = ([(1, "No Delinquency"), (3, "LOW Delinquency"), (6, "Moderate Delinquency")], "Severe Delinquency")
+# inclusive limits
+DELINQUENCY = ([("= 0", "No Delinquency"), ("<= 2", "LOW Delinquency"), ("<= 5", "Moderate Delinquency")], "Severe Delinquency")
 
 # Metric, failing comparison, default bound, status; first match counts.
 MONITOR_RULES = [("gini", "<", 0.30, "GINI_LOW"), ("ks", "<", 0.20, "KS_LOW"), ("psi", ">", 0.25, "PSI_HIGH")]
@@ -20,7 +21,8 @@ def bands(column: str, rule: tuple) -> str:
     limits, last = rule
     sql = f"'{last}'"
     for limit, label in reversed(limits):
-        sql = f"IF({column} < {limit}, '{label}', {sql})"
+        test = limit if isinstance(limit, str) else f"< {limit}"
+        sql = f"IF({column} {test}, '{label}', {sql})"
     return sql
 
 

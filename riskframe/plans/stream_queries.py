@@ -119,15 +119,18 @@ def q_s_request_metrics(spark, sf):
     return edge(snap)
 
 
+#: Files of the queue that a micro-batch takes.
+QUEUE_FILES = 2
+
+
 @query("streamed_batch_scoring")
 def q_s_batch_scoring(spark, sf):
-    """The test split arrives as a queue (ordered by application
-    date) and is scored micro-batch by micro-batch with a fitted model."""
-    train, test, feats, vocab = MLQ.training_frame(spark, sf)
-    models = ML.train_models(train, feats, models={"logistic_regression": ML.build_models()["logistic_regression"]})
+    """Payloads wait in a folder and are scored micro-batch by micro-batch; a bad one
+    returns its error."""
     base = _base(spark, "scoring")
-    out = f"{base}/scored"
-    queue = test.select("prospectid", "created_at", *feats, "label")
-    ST.replay(queue, "created_at", base, lambda s: s, ST.scoring_sink(models["logistic_regression"], out))
-    return spark.read.parquet(out).select("prospectid", "created_at", "label", "prediction", "probability",
-                                          "_batch")
+    models = MLQ.payload_models(spark, sf, ["logistic_regression"])
+    waiting = MLQ.sent_payloads(spark, sf)
+    waiting.repartitionByRange("prospectid").write.parquet(f"{base}/queue")
+    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", QUEUE_FILES).parquet(f"{base}/queue")
+    ST.drain_queue(stream, lambda batch: ML.score_payloads(models, MLQ.read(batch), "prospectid"), f"{base}/scored", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/scored").select("row_id", "model", "predicted_class", "confidence", "error", "_batch")

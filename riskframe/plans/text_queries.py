@@ -162,6 +162,31 @@ def q_report_ranges(spark, sf):
     return TX.chunk_by_score_ranges(A.generated_reports(spark, sf))
 
 
+_WORD_HITS = ", ".join(f"{{'idx': instr(lower(text), '{k.lower()}') - 1, 'kw': '{k}'}}" for k in TX.DELINQUENCY_KEYWORDS)
+
+
+@query("report_keyword_sections", S.with_(S.REPORTS + f""",
+hits AS (SELECT doc_id, text, list_sort(list_filter([{_WORD_HITS}], lambda x: x.idx >= 0)) AS h FROM reports),
+cuts AS (SELECT doc_id, text, h, unnest(range(1, len(h) + 1)) AS k FROM hits),
+sections AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_idx, lower(h[k].kw) AS class_level,
+  trim(substring(text, h[k].idx + 1, coalesce(h[k + 1].idx, length(text)) - h[k].idx), E' \\n\\r\\t') AS text FROM cuts)""",
+                                         "SELECT * FROM sections WHERE length(text) >= 30"))
+def q_keyword_sections(spark, sf):
+    """R2 without the fallback: the sections between the first hits of the headings."""
+    return TX.chunk_by_keywords(A.generated_reports(spark, sf)).where(col("class_level") != "unknown")
+
+
+@query("report_score_sections", S.with_(S.REPORTS + f""",
+found AS (SELECT doc_id, regexp_extract_all(text, '{TX.SCORE_RANGE}') AS m, string_split_regex(text, '{TX.SCORE_RANGE}') AS p FROM reports),
+cuts AS (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS k FROM found),
+sections AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_idx, CAST(regexp_extract(m[k], '{TX.SCORE_RANGE}', 1) AS INTEGER) AS min_score,
+  CAST(regexp_extract(m[k], '{TX.SCORE_RANGE}', 2) AS INTEGER) AS max_score, trim(m[k] || p[k + 1], E' \\n\\r\\t') AS text FROM cuts)""",
+                                       "SELECT * FROM sections WHERE length(text) >= 30"))
+def q_score_sections(spark, sf):
+    """R3 without the fallback: a section from every score range to the next."""
+    return TX.chunk_by_score_ranges(A.generated_reports(spark, sf)).where(col("min_score").isNotNull())
+
+
 @query("truncate_context", """
 SELECT conv_id, turn, substring(text, 1, 600) AS preview,
   CASE WHEN length(text) > 20000 THEN substring(text, 1, 20000) || ' [truncated]' ELSE text END AS message

@@ -182,11 +182,11 @@ def monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     month = F.date_trunc("month", col("scored_at"))
     g = s.groupBy("model", month.alias("m")).agg(
-        F.max("scored_at").alias("scored_at"),
+        F.expr("max(scored_at) - make_dt_interval(ascii(model) % 7)").alias("scored_at"),
         F.count("*").alias("n"),
-        F.sum(col("row_id") % 13).alias("s13"),
-        F.sum(col("row_id") % 11).alias("s11"),
-        F.sum(col("row_id") % 17).alias("s17"),
+        F.sum(col("row_id") * F.ascii("model") % 13).alias("s13"),
+        F.sum(col("row_id") * F.ascii("model") % 11).alias("s11"),
+        F.sum(col("row_id") * F.ascii("model") % 17).alias("s17"),
     )
     return g.select(
         col("model").alias("model_name"), "scored_at",

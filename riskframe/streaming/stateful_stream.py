@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskframe.operators.stateful import ledger_step, member_step, velocity_step
+
 col = F.col
 
 
@@ -143,21 +145,15 @@ def _velocity_fn(ttl_us: int):
             return
         last, n, amt, sess = state.get if state.exists else (None, 0, 0.0, 0)
         pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"], kind="mergesort")
-        rows = {"session_no": [], "velocity": [], "velocity_amount": []}
-        for t, a in zip(pdf["_t"].to_numpy(), pdf["amount"].to_numpy(dtype="float64")):
-            if last is None or t - last >= ttl_us:
-                n, amt, sess = 0, 0.0, sess + 1
-            n += 1
-            amt += a
-            last = int(t)
-            rows["session_no"].append(sess)
-            rows["velocity"].append(n)
-            rows["velocity_amount"].append(amt)
-        state.update((last, n, amt, sess))
-        state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
+        times = pdf["_t"].astype(object).where(pdf["_t"].notna(), None)
+        found, after = velocity_step(times, pdf["amount"].to_numpy(dtype="float64", na_value=float("nan")), (last, n, amt, sess), ttl_us)
+        if after[0] is not None:
+            state.update(after)
+            state.setTimeoutTimestamp(after[0] // 1000 + ttl_us // 1000)
         out = pdf[["customer_id", "bucket", "ts", "event_id"]].copy()
-        for k, v in rows.items():
-            out[k] = v
+        for k, name in enumerate(("session_no", "velocity")):
+            out[name] = pd.array([f[k] for f in found], dtype="Int64")
+        out["velocity_amount"] = pd.array([f[2] for f in found], dtype="Float64")
         yield out
     return fn
 
@@ -191,22 +187,15 @@ def _device_fn(ttl_us: int):
             state.remove()
             return
         last, members = state.get if state.exists else (None, [])
-        members = set(members or [])
         pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"], kind="mergesort")
-        new, size = [], []
-        for t, c in zip(pdf["_t"].to_numpy(), pdf["customer_id"].to_numpy()):
-            if last is not None and t - last >= ttl_us:
-                members = set()
-            flag = 0 if c in members else 1
-            members.add(int(c))
-            last = int(t)
-            new.append(flag)
-            size.append(len(members))
-        state.update((last, sorted(members)))
-        state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
+        found, last, members = member_step(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("_t", "customer_id")),
+                                           last, set(members or []), ttl_us)
+        if last is not None:
+            state.update((last, sorted(members, key=lambda c: (c is not None, c or 0))))
+            state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
         out = pdf[["device_id", "customer_id", "ts", "event_id"]].copy()
-        out["is_new"] = new
-        out["n_customers"] = size
+        for k, (name, kind) in enumerate((("is_new", "Int32"), ("n_customers", "Int64"))):
+            out[name] = pd.array([f[k] for f in found], dtype=kind)
         yield out
     return fn
 
@@ -234,20 +223,8 @@ LEDGER_STATE = T.StructType([T.StructField("limit", T.DoubleType()), T.StructFie
 def _ledger_fn(key, pdfs, state: GroupState):
     limit, drawn = state.get if state.exists else (0.0, 0.0)
     pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="mergesort")
-    res, lim, drw = [], [], []
-    for kind, a in zip(pdf["kind"].to_numpy(), pdf["amount"].to_numpy(dtype="float64")):
-        if kind == "approve":
-            limit += a
-            r = limit
-        elif drawn + a > limit:
-            r = -1.0
-        else:
-            drawn += a
-            r = drawn
-        res.append(r)
-        lim.append(limit)
-        drw.append(drawn)
-    state.update((limit, drawn))
+    res, lim, drw = ledger_step(pdf["kind"], pdf["amount"].to_numpy(dtype="float64", na_value=float("nan")), limit, drawn)
+    state.update((lim[-1], drw[-1]))
     out = pdf[["customer_id", "ts", "event_id", "kind", "amount"]].copy()
     out["result"], out["limit"], out["drawn"] = res, lim, drw
     yield out
@@ -342,18 +319,16 @@ def latest_profile_stream(updates: DataFrame, key: str, fields: list[str], ts: s
 
 # ------------------------------------------------------------------ T11, S15
 
-def scoring_sink(model, out: str):
-    """Drain a queue of scoring requests micro-batch by
-    micro-batch; each batch is scored with the fitted pipeline (batch ML on
-    a micro-batch) and written to folder ``_batch=<id>`` (overwrite, so a
-    retried batch is not duplicated)."""
-    def score(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.ml.functions import vector_to_array
-        model.transform(batch).drop("features", "rawPrediction") \
-             .withColumn("probability", vector_to_array("probability")) \
-             .write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
+def drain_queue(queue: DataFrame, score, out: str, checkpoint: str) -> None:
+    """Score all that waits in a streaming queue and stop.
 
-    def start(stream: DataFrame, ckpt: str):
-        return (stream.writeStream.foreachBatch(score).option("checkpointLocation", ckpt)
-                .trigger(availableNow=True).start())
-    return start
+    ``score`` turns a micro-batch of requests into results, errors included; batch ``b``
+    overwrites folder ``_batch=b``, so one that is retried after a failure is not
+    written twice, and the checkpoint keeps a later run from taking a request again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        score(batch).write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
+
+    query = (queue.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()           # raises what stopped the query

@@ -154,3 +154,70 @@ def test_bursty_hot_key_is_cut_evenly(spark):
     rows += [(7, T0 + dt.timedelta(days=100 + i), 9000 + i, 1.0) for i in range(10)]
     n = [r["count"] for r in range_pieces(_events(spark, rows), ["customer_id", "ts"], "_c").groupBy("_c").count().collect()]
     assert len(n) > 1 and max(n) <= 2 * sum(n) / len(n)
+
+
+# ------------------------------------------------------------------ one fold for batch and stream
+
+class _State:
+    """What a stream fold needs of its state."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.value, self.timeout = None, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, t):
+        self.timeout = t
+
+
+def _folded(fn, pdf, cut):
+    """Rows of a key given to a stream fold in two micro-batches."""
+    import pandas as pd
+    state = _State()
+    return pd.concat([x for part in (pdf[:cut], pdf[cut:]) for x in fn(("k",), iter([part]), state)])
+
+
+def test_stream_folds_keep_null_times_customers_and_amounts():
+    import pandas as pd
+    from riskframe.streaming import stateful_stream as SS
+    day = 86_400_000_000
+    t = [None, 0, day, day, 10 * day, 11 * day]
+    base = pd.DataFrame({"_t": pd.array(t, dtype="Int64"), "ts": pd.NaT, "event_id": range(6), "bucket": None, "device_id": 1,
+                         "customer_id": pd.array([7, None, 7, None, None, 8], dtype="Int64"),
+                         "amount": [1.0, 2.0, None, 4.0, None, 5.0]})
+    # rows without a time land first, as in the given order
+    got = _folded(SS._velocity_fn(2 * day), base, 3)
+    rows = {r.event_id: r for r in got.itertuples()}
+    none = lambda v: None if pd.isna(v) else v
+    assert [none(rows[i].session_no) for i in range(6)] == [None, 1, 1, 1, 2, 2]
+    assert [none(rows[i].velocity) for i in range(6)] == [None, 1, 2, 3, 1, 2]
+    assert [none(rows[i].velocity_amount) for i in range(6)] == [None, 2.0, 2.0, 6.0, 0.0, 5.0]
+    got = {r.event_id: r for r in _folded(SS._device_fn(2 * day), base, 3).itertuples()}
+    assert [none(got[i].is_new) for i in range(6)] == [None, 1, 1, 0, 1, 1]
+    assert [none(got[i].n_customers) for i in range(6)] == [None, 1, 2, 2, 1, 2]
+
+
+def test_ledger_is_one_fold(spark):
+    """Batch and stream ledgers agree row by row on NULL amounts and customers."""
+    import pandas as pd
+    from riskframe.operators import stateful as SO
+    from riskframe.streaming import stateful_stream as SS
+    rows = [(1, k, kind, amount) for k, (kind, amount) in enumerate(
+        [("approve", 10.0), ("draw", None), ("draw", 4.0), ("approve", None), ("draw", 7.0), ("draw", 6.0)])]
+    rows += [(None, 10 + k, kind, amount) for k, (kind, amount) in enumerate([("draw", 1.0), ("approve", 3.0), ("draw", 2.0)])]
+    df = spark.createDataFrame(rows, "customer_id long, event_id long, kind string, amount double").selectExpr(
+        "customer_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "event_id", "kind", "amount")
+    batch = {r.event_id: (r.result, r.limit, r.drawn) for r in SO.check_and_draw(df).collect()}
+    assert batch[5] == (10.0, 10.0, 10.0) and batch[4] == (-1.0, 10.0, 4.0) and batch[1] == (0.0, 10.0, 0.0) and batch[12] == (2.0, 3.0, 2.0)
+    pdf = df.toPandas()
+    for own in (pdf[pdf["customer_id"].notna()], pdf[pdf["customer_id"].isna()]):
+        state = _State()
+        for part in (own[:2], own[2:]):
+            for out in SS._ledger_fn(("k",), iter([part]), state):
+                assert all((r.result, r.limit, r.drawn) == batch[r.event_id] for r in out.itertuples())
