@@ -195,6 +195,7 @@ def test_class_lm_on_data(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     # words beyond the look-up table are joined: same result
     monkeypatch.setattr(L, "LOOKUP", 300)
+    monkeypatch.setattr(L, "HELD", 1000)         # tasks send their counts early
     small = L.score_texts(sample(spark), X.held_out("doc_id", 7, 2), items=200, classes=16, rounds=3).collect()
     check_lm(small, lm_by_hand(rows))
 
