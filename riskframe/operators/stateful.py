@@ -17,6 +17,10 @@ event-time operators over an event table:
   (small: one row per key and piece) carries the session state across
   pieces; a join puts the carry back on the events.
 
+* The score cache (T9) is not re-armed by hits, so a payload's scorings follow
+  from its first.  Pieces of the same cut are composed: each tabulates the stamp
+  it leaves for every stamp it may be entered with, the tables are chained.
+
 * The credit ledger (T5) rejects draws that would exceed the limit; a
   rejected draw leaves the state unchanged, so the result is a fold that is
   sequential per customer by definition.  It runs over hash-partitioned,
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,12 +54,13 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
 
     Adds ``session_no`` (1-based per key), ``running_n`` (events in the
     session so far, this one included) and ``running_<m>`` for every
-    measure (a NULL measure adds nothing).  A new session starts when the gap to the key's previous event
+    measure (NULL adds nothing; NULL while the session has nothing else).  A new session starts when the gap to the key's previous event
     is >= ``ttl_seconds``.  A NULL key is a key like any other.  An event
     without a time stands in no session: it is kept, with NULL in the added
     columns.
     """
-    measures = dict(measures or {})
+    named = list(measures or {})
+    measures = {**(measures or {}), **{f"_has_{k}": c.isNotNull().cast("int") for k, c in (measures or {}).items()}}
     order = order or []
     ttl = int(round(ttl_seconds * 1_000_000))
     m_names = ["n"] + list(measures)
@@ -101,7 +107,8 @@ def session_running(events: DataFrame, keys: list[str], ts: str, ttl_seconds: fl
     for m in m_names:
         out = out.withColumn(f"running_{m}", F.when(col("_seg") == 0, col(f"_carry_{m}") + col(f"_l_{m}"))
                              .otherwise(col(f"_l_{m}")))
-    out = out.select(*events.columns, "session_no", *[f"running_{m}" for m in m_names])
+    out = out.select(*events.columns, "session_no", "running_n",
+                     *[F.when(col(f"running__has_{m}") > 0, col(f"running_{m}")).alias(f"running_{m}") for m in named])
     blank = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[len(events.columns):]]
     return out.union(events.where(col(ts).isNull()).select("*", *blank))
 
@@ -184,7 +191,7 @@ def ledger_step(kinds, amounts, limit: float, drawn: float) -> tuple[list, list,
 def velocity_step(times, amounts, state: tuple, ttl_us: int) -> tuple[list, tuple]:
     """(session, count, amount) of one key's events in time order, and the state after them
     (last time, count, amount, session).  An event without a time stands in no session; a
-    NULL amount adds nothing."""
+    NULL amount adds nothing, and the amount is NULL while the session has nothing else."""
     last, n, amt, sess = state
     out = []
     for t, a in zip(times, amounts):
@@ -192,9 +199,10 @@ def velocity_step(times, amounts, state: tuple, ttl_us: int) -> tuple[list, tupl
             out.append((None, None, None))
             continue
         if last is None or t - last >= ttl_us:
-            n, amt, sess = 0, 0.0, sess + 1
+            n, amt, sess = 0, None, sess + 1
         n, last = n + 1, int(t)
-        amt += 0.0 if a != a or a is None else a
+        if a is not None and a == a:
+            amt = a + (amt or 0.0)
         out.append((sess, n, amt))
     return out, (last, n, amt, sess)
 
@@ -307,27 +315,126 @@ CACHE_SCHEMA = T.StructType([
     T.StructField("fingerprint", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("event_id", T.LongType()), T.StructField("computed", T.BooleanType()),
 ])
+STEP_SCHEMA = T.StructType([
+    T.StructField("fingerprint", T.StringType()), T.StructField("_c", T.IntegerType()),
+    T.StructField("lo", T.LongType()), T.StructField("exit", T.LongType()),
+])
+ENTRY_SCHEMA = T.StructType([
+    T.StructField("fingerprint", T.StringType()), T.StructField("_c", T.IntegerType()),
+    T.StructField("_entry", T.LongType()),
+])
+#: The stamp of a payload that was never scored: before any time.
+NEVER = -(1 << 62)
+
+
+def cache_step(times: np.ndarray, stamp: int, ttl_us: int) -> tuple[np.ndarray, int]:
+    """Which of one payload's requests (times in order) run the scorer, and the stamp after
+    them; ``stamp`` is the time of the last scoring or ``NEVER``."""
+    computed = np.zeros(len(times), dtype=bool)
+    if ttl_us <= 0:
+        computed[:] = True
+        return computed, int(times[-1]) if len(times) else stamp
+    k = int(np.searchsorted(times, stamp + ttl_us))
+    while k < len(times):
+        computed[k] = True
+        stamp = int(times[k])
+        k = int(np.searchsorted(times, stamp + ttl_us))
+    return computed, stamp
+
+
+def cache_steps(times: np.ndarray, ttl_us: int) -> list[tuple[int, int | None]]:
+    """The exit stamp of a piece (times in order) as a step function of its entry stamp.
+
+    A step (lo, exit) holds for entries from ``lo`` to the next step's; exit None means that
+    the entry itself leaves the piece.  An entry is never later than the first time, so only
+    requests within one TTL of that time can be the first to be scored, and every later
+    stamp follows from the first.  Chains of different starts run into each other, so
+    neighbouring starts mostly share a step.
+    """
+    t = np.unique(times)
+    later = np.searchsorted(t, t + ttl_us)
+    jump = np.where(later == len(t), np.arange(len(t)), np.minimum(later, len(t) - 1))
+    while True:                                      # pointer doubling: the last scoring of each start
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        jump = further
+    n = int(np.searchsorted(t, t[0] + ttl_us))       # the last start an entry can lead to
+    steps: list[tuple[int, int | None]] = []
+    for k in range(min(n + 1, len(t))):
+        if k == 0 or jump[k] != jump[k - 1]:
+            steps.append((NEVER if k == 0 else int(t[k - 1]) - ttl_us + 1, int(t[jump[k]])))
+    if n == len(t):
+        steps.append((int(t[-1]) - ttl_us + 1, None))
+    return steps
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]))
+
+
+def _piece_steps(ttl_us: int):
+    """Steps of the first and the last payload of a piece; payloads between lie wholly in it."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, piece, held = [], None, []
+
+        def steps() -> pd.DataFrame:
+            rows = [(names[-1], piece, lo, out) for lo, out in cache_steps(np.concatenate(held), ttl_us)]
+            found = pd.DataFrame(rows, columns=STEP_SCHEMA.names)
+            return found.astype({"lo": "Int64", "exit": "Int64"})
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            piece = int(pdf["_c"].iloc[0])
+            t = pdf["_t"].to_numpy()
+            fp = pdf["fingerprint"].astype(object).to_numpy()
+            for a, b in _runs(fp):
+                if not names or fp[a] != names[-1]:
+                    if len(names) == 1:
+                        yield steps()
+                    names, held = [*names[-1:], fp[a]], []
+                held.append(t[a:b])
+        if names:
+            yield steps()
+    return fold
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entry stamp of every (payload, piece): steps arrive sorted by payload, piece and ``lo``."""
+    at, entry, leave = None, NEVER, NEVER
+    for pdf in batches:
+        out = []
+        fps = pdf["fingerprint"].astype(object).tolist()
+        exits = pdf["exit"].astype("Int64").astype(object).tolist()
+        for fp, piece, lo, ex in zip(fps, pdf["_c"].tolist(), pdf["lo"].tolist(), exits):
+            if at != (fp, piece):
+                entry = leave if at is not None and at[0] == fp else NEVER
+                at = (fp, piece)
+                out.append((fp, piece, entry))
+            if lo <= entry:
+                leave = entry if ex is pd.NA or ex is None else int(ex)
+        yield pd.DataFrame(out, columns=ENTRY_SCHEMA.names).astype({"_c": "int32", "_entry": "int64"})
 
 
 def _cache_fold(ttl_us: int):
+    """Flags of a piece whose payloads start at ``_entry``."""
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, stamp = None, None
+        cur, stamp = object(), NEVER
         for pdf in batches:
             if pdf.empty:
                 continue
-            t = pdf["_t"].to_numpy()
-            fp = pdf["fingerprint"].to_numpy()
-            out = []
-            for f, ti in zip(fp, t):
-                if f != cur:
-                    cur, stamp = f, None
-                if stamp is None or ti >= stamp + ttl_us:
-                    stamp = ti
-                    out.append(True)
-                else:
-                    out.append(False)
+            t, entry = pdf["_t"].to_numpy(), pdf["_entry"].to_numpy()
+            fp = pdf["fingerprint"].astype(object).to_numpy()
+            computed = np.zeros(len(t), dtype=bool)
+            for a, b in _runs(fp):
+                if fp[a] != cur:
+                    cur, stamp = fp[a], int(entry[a])
+                computed[a:b], stamp = cache_step(t[a:b], stamp, ttl_us)
             yield pd.DataFrame({"fingerprint": fp, "ts": pdf["ts"], "event_id": pdf["event_id"],
-                                "computed": out})
+                                "computed": computed})
     return fold
 
 
@@ -335,12 +442,34 @@ def score_once_cache(requests: DataFrame, fingerprint: Column, ts: str = "ts", i
                      ttl_seconds: float = 600) -> DataFrame:
     """The same payload is scored once per ``ttl`` from its first
     computation (SETEX: not re-armed by hits).  ``computed`` marks the
-    requests that run the scorer; the rest are cache hits."""
-    r = requests.select(fingerprint.alias("fingerprint"), col(ts).alias("ts"),
+    requests that run the scorer; the rest are cache hits.
+
+    A hot payload is shared by many tasks: requests are cut into range pieces by
+    (payload, time); each piece gives the stamp it leaves for every stamp it
+    may be entered with (``cache_steps``), these small tables are chained per
+    payload, and a second pass flags every piece from its true entry.  Only the
+    first and last payload of a piece can reach over its ends, so the entries are at
+    most two rows per piece, which is what is broadcast.
+
+    A NULL payload is a payload like any other.  A request without a time is scored and
+    leaves nothing in the cache.  A ``ttl`` of 0 or less scores every request.
+    """
+    ttl = int(ttl_seconds * 1_000_000)
+    r = requests.select(fingerprint.cast("string").alias("fingerprint"), col(ts).alias("ts"),
                         col(id_col).cast("long").alias("event_id"), _micros(ts).alias("_t"))
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = r.repartition(n, "fingerprint").sortWithinPartitions("fingerprint", "_t", "event_id")
-    return srt.mapInPandas(_cache_fold(int(ttl_seconds * 1_000_000)), CACHE_SCHEMA)
+    untimed = r.where(col("_t").isNull()).select("fingerprint", "ts", "event_id", F.lit(True).alias("computed"))
+    order = ["fingerprint", "_t", "event_id"]
+    x = range_pieces(r.where(col("_t").isNotNull()), order, "_c")
+    entries = x.limit(0).select("fingerprint", "_c", F.lit(NEVER).alias("_entry"))
+    if ttl > 0:
+        steps = x.select("fingerprint", "_t", "event_id", "_c").sortWithinPartitions(*order) \
+                 .mapInPandas(_piece_steps(ttl), STEP_SCHEMA)
+        entries = steps.repartition("fingerprint").sortWithinPartitions("fingerprint", "_c", "lo") \
+                       .mapInPandas(_chain, ENTRY_SCHEMA)
+    j = join_on(x, F.broadcast(entries), ["fingerprint", "_c"], "left") \
+        .withColumn("_entry", F.coalesce("_entry", F.lit(NEVER)))
+    out = j.sortWithinPartitions(*order).mapInPandas(_cache_fold(ttl), CACHE_SCHEMA)
+    return out.union(untimed)
 
 
 def request_metrics(requests: DataFrame, labels: list[str], latency: str, ts: str = "ts",

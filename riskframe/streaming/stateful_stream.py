@@ -21,13 +21,14 @@ import math
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskframe.operators.stateful import ledger_step, member_step, velocity_step
+from riskframe.operators.stateful import NEVER, cache_step, ledger_step, member_step, velocity_step
 
 col = F.col
 
@@ -141,9 +142,9 @@ def _velocity_fn(ttl_us: int):
         if state.hasTimedOut:
             # the counter expired: keep only the session ordinal (a one-number
             # tombstone), so session numbering continues when the key returns
-            state.update((None, 0, 0.0, state.get[3]))
+            state.update((None, 0, None, state.get[3]))
             return
-        last, n, amt, sess = state.get if state.exists else (None, 0, 0.0, 0)
+        last, n, amt, sess = state.get if state.exists else (None, 0, None, 0)
         pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"], kind="mergesort")
         times = pdf["_t"].astype(object).where(pdf["_t"].notna(), None)
         found, after = velocity_step(times, pdf["amount"].to_numpy(dtype="float64", na_value=float("nan")), (last, n, amt, sess), ttl_us)
@@ -279,19 +280,16 @@ def _cache_fn(ttl_us: int):
         if state.hasTimedOut:
             state.remove()
             return
-        stamp = state.get[0] if state.exists else None
+        stamp = state.get[0] if state.exists else NEVER
         pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"], kind="mergesort")
-        flags = []
-        for t in pdf["_t"].to_numpy():
-            if stamp is None or t >= stamp + ttl_us:
-                stamp = int(t)
-                flags.append(True)
-            else:
-                flags.append(False)
-        state.update((stamp,))
-        state.setTimeoutTimestamp(stamp // 1000 + ttl_us // 1000)
+        timed = pdf["_t"].notna().to_numpy()
+        computed = np.ones(len(pdf), dtype=bool)
+        computed[timed], stamp = cache_step(pdf["_t"][timed].to_numpy(dtype="int64"), stamp, ttl_us)
+        if stamp != NEVER:
+            state.update((stamp,))
+            state.setTimeoutTimestamp(stamp // 1000 + ttl_us // 1000)
         out = pdf[["payload", "ts", "event_id"]].copy()
-        out["computed"] = flags
+        out["computed"] = computed
         yield out
     return fn
 

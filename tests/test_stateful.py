@@ -197,7 +197,7 @@ def test_stream_folds_keep_null_times_customers_and_amounts():
     none = lambda v: None if pd.isna(v) else v
     assert [none(rows[i].session_no) for i in range(6)] == [None, 1, 1, 1, 2, 2]
     assert [none(rows[i].velocity) for i in range(6)] == [None, 1, 2, 3, 1, 2]
-    assert [none(rows[i].velocity_amount) for i in range(6)] == [None, 2.0, 2.0, 6.0, 0.0, 5.0]
+    assert [none(rows[i].velocity_amount) for i in range(6)] == [None, 2.0, 2.0, 6.0, None, 5.0]
     got = {r.event_id: r for r in _folded(SS._device_fn(2 * day), base, 3).itertuples()}
     assert [none(got[i].is_new) for i in range(6)] == [None, 1, 1, 0, 1, 1]
     assert [none(got[i].n_customers) for i in range(6)] == [None, 1, 2, 2, 1, 2]
@@ -221,3 +221,74 @@ def test_ledger_is_one_fold(spark):
         for part in (own[:2], own[2:]):
             for out in SS._ledger_fn(("k",), iter([part]), state):
                 assert all((r.result, r.limit, r.drawn) == batch[r.event_id] for r in out.itertuples())
+
+
+# ------------------------------------------------------------------ score cache in pieces
+
+def _py_cache(rows, ttl):
+    """Plain fold: (payload, time in micros or None, id) -> ids that are scored."""
+    stamp, scored = {}, set()
+    for p, t, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        if t is None:
+            scored.add(i)
+        elif p not in stamp or t >= stamp[p] + ttl:
+            stamp[p] = t
+            scored.add(i)
+    return scored
+
+
+def _requests(spark, rows):
+    df = spark.createDataFrame([(p, None if t is None else t, i) for p, t, i in rows], "p string, t long, event_id long")
+    return df.selectExpr("p", "CAST(timestamp_micros(t) AS timestamp_ntz) AS ts", "event_id")
+
+
+def test_cache_steps_equal_the_fold_for_every_entry():
+    import numpy as np
+    rnd = random.Random(5)
+    for _ in range(400):
+        ttl = rnd.choice([1, 2, 5, 9, 40])
+        times = np.array(sorted(rnd.choices(range(50, 50 + rnd.choice([3, 20, 100])), k=rnd.randint(1, 25))), dtype=np.int64)
+        steps = SF.cache_steps(times, ttl)
+        assert [lo for lo, _ in steps] == sorted({lo for lo, _ in steps}) and steps[0][0] == SF.NEVER
+        for entry in [SF.NEVER, *range(0, int(times[0]) + 1)]:
+            exit_ = [ex for lo, ex in steps if lo <= entry][-1]
+            assert (entry if exit_ is None else exit_) == SF.cache_step(times, entry, ttl)[1]
+
+
+def test_hot_payload_is_scored_by_many_tasks(spark):
+    """Half of all requests are one payload: its pieces lie on many tasks, bursts, pauses and equal
+    times cross their ends, and the flags equal a plain fold."""
+    rnd = random.Random(11)
+    ttl, rows, t = 600_000_000, [], 1_704_067_200_000_000
+    for i in range(6000):
+        t += rnd.choice([0, 0, 1, 1_000_000, 37_000_000, 599_999_999, 600_000_000] if i % 2000 < 60 else [0, 1, 7_000_000])
+        rows.append(("hot", t, i))
+    rows += [(None if k % 50 == 0 else f"p{k % 900}", 1_704_067_200_000_000 + rnd.randrange(4000) * 1_000_000, 6000 + k) for k in range(6000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        out = SF.score_once_cache(_requests(spark, rows), F.col("p")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(out) == len(rows)
+    assert {r.event_id for r in out if r.computed} == _py_cache(rows, ttl)
+    assert len({r.task for r in out if r.fingerprint == "hot"}) >= 8
+
+
+def test_score_cache_awkward_rows(spark):
+    t = 1_704_067_200_000_000
+    rows = [("a", None, 1), ("a", t, 2), ("a", t, 3), ("a", t + 599_999_999, 4), ("a", t + 600_000_000, 5), ("a", None, 6),
+            (None, t, 7), (None, t + 1, 8), ("", t, 9)]
+    got = {r.event_id: r.computed for r in SF.score_once_cache(_requests(spark, rows), F.col("p")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True, 8: False, 9: True}
+    assert SF.score_once_cache(_requests(spark, []), F.col("p")).collect() == []
+    always = SF.score_once_cache(_requests(spark, rows), F.col("p"), ttl_seconds=0).collect()
+    assert len(always) == len(rows) and all(r.computed for r in always)
+
+
+def test_score_cache_is_one_fold():
+    import pandas as pd
+    from riskframe.streaming import stateful_stream as SS
+    pdf = pd.DataFrame({"_t": pd.array([None, 0, 5, 10, 14, 20], dtype="Int64"), "payload": "a", "ts": pd.NaT, "event_id": range(6)})
+    got = {r.event_id: r.computed for r in _folded(SS._cache_fn(10), pdf, 3).itertuples()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: True}
