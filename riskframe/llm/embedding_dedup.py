@@ -17,11 +17,14 @@
    replaces the first bound by that many deviations of a partner in a uniformly
    random direction, 1 / sqrt(dim) each: less work, but links are lost, many of
    them where the vectors have few intrinsic dimensions.
-4. **Blocks.**  A cell's rows are cut into blocks of ``BLOCK`` and compared block by
-   block in double precision, so a hot cell is split over tasks and no group is
-   held whole.  A block pair returns per vector only its number of links and one
-   edge to the smallest vector of its linked group inside the block pair: the
-   links' components survive, their number stays linear.
+4. **Blocks.**  Cells are numbered along the main axis of their centroids, and
+   consecutive ones are packed into blocks of about ``BLOCK`` rows (fewer for long
+   vectors), so a vector is sent once to all the cells of a block that it visits.
+   A block of more rows is split and compared part by part in double precision, so
+   a hot cell is shared by tasks and no group is held whole.  Two parts
+   return per vector only its number of links and one edge to the smallest vector of
+   its linked group inside them: the links' components survive, their number
+   stays linear.
 5. Components of those edges; the smallest ``vec_id`` of each is kept.
 
 Defined cases: rows that share a vec_id count as one vector (the smallest of
@@ -47,7 +50,12 @@ from riskframe.session import cut_lineage
 CELL_ROWS = 1024
 MAX_CELLS = 4096
 FIT_ROWS = 40_000
-BLOCK = 1024
+#: Rows of a block, and components that its vectors hold at most; rows compared at a time.
+BLOCK, BLOCK_VALUES, SLICE = 8192, 1 << 21, 256
+
+
+def block_rows(dim: int) -> int:
+    return max(SLICE, min(BLOCK, BLOCK_VALUES // dim))
 
 
 def _unit(col) -> np.ndarray:
@@ -72,7 +80,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
             total[bad] = x[np.argsort(fit, kind="stable")[:len(bad)]]
             norm = np.linalg.norm(total, axis=1)
         c = total / norm[:, None]
-    return c
+    # neighbours get neighbouring numbers: the main axis of the centroids
+    axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
+    return c[np.argsort(c @ axis, kind="stable")]
 
 
 def _homes(cells: dict[int, np.ndarray], vec: list) -> Iterator[tuple]:
@@ -101,7 +111,8 @@ def _radii(cells_bc):
     return run
 
 
-def _assign(cells_bc, radii_bc, similarity: float, reach: float | None):
+def _assign(cells_bc, radii_bc, packed: dict[int, int], similarity: float, reach: float | None):
+    """Home cell, its block and the blocks that a vector visits; ``packed`` cells make a block."""
     bend = math.sqrt(max(0.0, 1 - similarity ** 2))
     angle = math.acos(max(-1.0, min(1.0, similarity)))
 
@@ -120,20 +131,24 @@ def _assign(cells_bc, radii_bc, similarity: float, reach: float | None):
                     # of two cells the larger number visits the smaller
                     near &= np.arange(len(c))[None, :] < home[:, None]
                     near[at, home] = True
-                    take = pa.array(rows)
+                    take, wide = pa.array(rows), packed[dim]
+                    first = np.arange(0, near.shape[1], wide)
+                    visits = np.logical_or.reduceat(near, first, axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").take(take), part.column("n").take(take), part.column("vec").take(take),
                          pa.array(np.full(len(rows), dim, np.int32)), pa.array(home.astype(np.int32)),
-                         pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))],
-                        ["id", "n", "vec", "dim", "home", "probes"])
+                         pa.array((home // wide).astype(np.int32)),
+                         pa.array([np.flatnonzero(r).astype(np.int32) for r in visits], pa.list_(pa.int32()))],
+                        ["id", "n", "vec", "dim", "home", "own", "probes"])
     return run
 
 
 def _compare(similarity: float):
-    """Links between the visitors of one block and the residents of another.
+    """Links between the visitors and the residents of a block, in parts.
 
     A pair of one cell stands here in both orders and credits its first side; any
-    other pair is met once, in the smaller of its two cells, and credits both sides.
+    other pair is met once, where the vector of the larger cell visits, and
+    credits both sides.
     """
     names = ["id", "links", "root"]
 
@@ -141,24 +156,32 @@ def _compare(similarity: float):
         none = pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
         if not len(left) or not len(right):
             return none
-        cell = int(key[1])
-        x, y = _unit(left["vec"]), _unit(right["vec_r"])
-        a, b = left["id"].to_numpy(), right["id_r"].to_numpy()
-        cos = x @ y.T
-        near = cos >= similarity
-        for i, j in np.argwhere(np.abs(cos - similarity) < 1e-12):   # one value for either order
-            u, v = (x[i], y[j]) if a[i] < b[j] else (y[j], x[i])
-            near[i, j] = math.fsum(u * v) >= similarity
-        near &= a[:, None] != b[None, :]
-        i, j = np.nonzero(near)
-        if not len(i):
+        y, b, home_b, n_b = _unit(right["vec_r"]), *(right[c].to_numpy() for c in ("id_r", "home_r", "n_r"))
+        x, a, home_a, n_a = _unit(left["vec"]), *(left[c].to_numpy() for c in ("id", "home", "n"))
+        credit_a, credit_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        forests = []
+        for lo in range(0, len(a), SLICE):
+            part = slice(lo, lo + SLICE)
+            cos = x[part] @ y.T
+            near = cos >= similarity
+            for i, j in np.argwhere(np.abs(cos - similarity) < 1e-12):   # one value for either order
+                u, v = (x[lo + i], y[j]) if a[lo + i] < b[j] else (y[j], x[lo + i])
+                near[i, j] = math.fsum(u * v) >= similarity
+            near &= (a[part, None] != b) & (home_b <= home_a[part, None])
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            i += lo
+            np.add.at(credit_a, i, n_b[j])
+            cross = home_b[j] < home_a[i]
+            np.add.at(credit_b, j[cross], n_a[i[cross]])
+            forests.append(local_components(a[i], b[j]))
+        if not forests:
             return none
-        same = left["home"].to_numpy()[i] == cell
-        nodes, root = local_components(a[i], b[j])
+        nodes, root = local_components(*(np.concatenate(ends) for ends in zip(*forests)))
         links = np.zeros(len(nodes), np.int64)
-        np.add.at(links, np.searchsorted(nodes, a[i]), right["n_r"].to_numpy()[j])
-        cross = ~same
-        np.add.at(links, np.searchsorted(nodes, b[j[cross]]), left["n"].to_numpy()[i[cross]])
+        for ids, credit in ((a, credit_a), (b, credit_b)):
+            np.add.at(links, np.searchsorted(nodes, ids[credit > 0]), credit[credit > 0])
         return pd.DataFrame({"id": nodes, "links": links, "root": root})
     return run
 
@@ -191,22 +214,26 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = 0.95, reac
         radii[r.dim][r.cell] = math.acos(max(-1.0, min(1.0, r.low)))
     radii_bc = spark.sparkContext.broadcast(radii)
 
+    # cells of a block, so that it holds about its number of rows
+    packed = {dim: max(1, round(block_rows(dim) * len(radii[dim]) / n)) for dim, n in sizes.items()}
     vec_type = kinds.schema["vec"].dataType.simpleString()
     placed = cut_lineage(kinds.select("id", "n", "vec").mapInArrow(
-        _assign(cell_bc, radii_bc, similarity, reach), f"id long, n long, vec {vec_type}, dim int, home int, probes array<int>"))
-
-    visits = placed.withColumn("cell", F.explode("probes"))
-    parts = lambda c: F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(c)
-    homes = placed.groupBy("dim", F.col("home").alias("cell")).agg(parts("rparts"))
-    blocks = cut_lineage(placed.select("dim", F.explode("probes").alias("cell")).groupBy("dim", "cell").agg(
-        parts("vparts")).join(homes, ["dim", "cell"]))
+        _assign(cell_bc, radii_bc, packed, similarity, reach),
+        f"id long, n long, vec {vec_type}, dim int, home int, own int, probes array<int>"))
+
+    visits = placed.withColumn("block", F.explode("probes"))
+    full = F.greatest(F.lit(SLICE), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.col("dim"))))
+    parts = lambda c: F.ceil(F.count("*") / full).cast("int").alias(c)
+    homes = placed.groupBy("dim", F.col("own").alias("block")).agg(parts("rparts"))
+    blocks = cut_lineage(placed.select("dim", F.explode("probes").alias("block")).groupBy("dim", "block").agg(
+        parts("vparts")).join(homes, ["dim", "block"]))
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(blocks, ["dim", "cell"]).select(
-        "dim", "cell", pick("vparts").alias("v"), every("rparts").alias("r"), "id", "n", "vec", "home")
-    right = placed.withColumn("cell", F.col("home")).join(blocks, ["dim", "cell"]).select(
-        "dim", "cell", every("vparts").alias("v"), pick("rparts").alias("r"), "id", "n", "vec")
-    key = ["dim", "cell", "v", "r"]
+    left = visits.join(blocks, ["dim", "block"]).select(
+        "dim", "block", pick("vparts").alias("v"), every("rparts").alias("r"), "id", "n", "vec", "home")
+    right = placed.withColumn("block", F.col("own")).join(blocks, ["dim", "block"]).select(
+        "dim", "block", every("vparts").alias("v"), pick("rparts").alias("r"), "id", "n", "vec", "home")
+    key = ["dim", "block", "v", "r"]
     right = right.toDF(*[f"{c}_r" for c in right.columns])
     met = cut_lineage(left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_r" for c in key])).applyInPandas(
         _compare(similarity), "id long, links long, root long"))

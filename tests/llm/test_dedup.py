@@ -208,7 +208,8 @@ def test_embeddings_on_data(spark):
 
 def test_embeddings_messy(spark, monkeypatch):
     from riskframe.llm import embedding_dedup as D
-    monkeypatch.setattr(D, "CELL_ROWS", 40)
+    for name, value in (("CELL_ROWS", 40), ("SLICE", 20), ("BLOCK", 70)):
+        monkeypatch.setattr(D, name, value)
     rng = np.random.default_rng(5)
     rows = []
     for i in range(60):
@@ -230,7 +231,8 @@ def test_embeddings_messy(spark, monkeypatch):
 
 def test_embeddings_of_low_rank_over_many_cells(spark, monkeypatch):
     """Pairs near the threshold across cells, in few intrinsic dimensions: links as by brute force."""
-    monkeypatch.setattr(E, "CELL_ROWS", 100)
+    for name, value in (("CELL_ROWS", 100), ("SLICE", 64), ("BLOCK", 300)):      # blocks of three cells
+        monkeypatch.setattr(E, name, value)
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1000, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -243,3 +245,18 @@ def test_embeddings_of_low_rank_over_many_cells(spark, monkeypatch):
     got = {r.id: r.n_links for r in embedding_near_duplicates(df).collect()}
     want = (v @ v.T >= 0.95).sum(axis=1) - 1
     assert [got[i] for i in range(len(v))] == want.tolist() and want.min() >= 1
+
+
+def test_embedding_group_larger_than_a_block(spark, monkeypatch):
+    """A group of different near copies that fills several blocks: every link counted once, one kept."""
+    for name, value in (("CELL_ROWS", 50), ("SLICE", 30), ("BLOCK", 60)):
+        monkeypatch.setattr(E, name, value)
+    rng = np.random.default_rng(8)
+    hot, rest = rng.standard_normal(16), rng.standard_normal((200, 16))
+    v = np.vstack([hot + 0.01 * rng.standard_normal((300, 16)), rest])
+    ids = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_near_duplicates(df).collect()}
+    n, comp = embeddings_by_hand([(int(i), r.tolist()) for i, r in zip(ids, v)], 0.95)
+    assert got == {i: (n[i], comp[i], comp[i] == i) for i in got} and len(got) == len(v)
+    assert max(k for k, _, _ in got.values()) >= 299
