@@ -207,22 +207,22 @@ def velocity_step(times, amounts, state: tuple, ttl_us: int) -> tuple[list, tupl
     return out, (last, n, amt, sess)
 
 
-def member_step(times, customers, last: int | None, members: set, ttl_us: int) -> tuple[list, int | None, set]:
-    """(is_new, set size) of one device's registrations in time order, its last time and its set.
-    A NULL customer is a member like any other; a registration without a time has no result."""
+def member_step(times, customers, last: int | None, members, ttl_us: int) -> tuple[list, int | None]:
+    """(is_new, set size) of one device's registrations in time order, and its last time.
+    ``members`` is a set, or what behaves like one, and is kept up to date.  A NULL customer is a member like any other; a registration without a time has no result."""
     out = []
     for t, c in zip(times, customers):
         if t != t or t is None:
             out.append((None, None))
             continue
         if last is not None and t - last >= ttl_us:
-            members = set()
+            members.clear()
         c = None if c != c or c is None else int(c)
         new = c not in members
         members.add(c)
         last = int(t)
         out.append((int(new), len(members)))
-    return out, last, members
+    return out, last
 
 
 def _ledger_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

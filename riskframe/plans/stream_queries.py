@@ -70,7 +70,8 @@ def q_s_rate_limit(spark, sf):
 @query("streamed_device_sharing", ORACLES["device_sharing_stream"])
 def q_s_device_sharing(spark, sf):
     r = A.requests(spark, sf).select("device_id", "customer_id", "ts", "event_id")
-    return _appended(spark, "device_sharing", r, lambda s: ST.device_sharing_stream(s, ttl_seconds=7 * DAY))
+    with ST.rocksdb_state(spark):
+        return _appended(spark, "device_sharing", r, lambda s: ST.device_sharing_stream(s, ttl_seconds=7 * DAY))
 
 
 @query("streamed_check_and_draw", ORACLES["check_and_draw"])

@@ -20,18 +20,23 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskframe.operators.stateful import NEVER, cache_step, ledger_step, member_step, velocity_step
 
 col = F.col
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 # ------------------------------------------------------------------ sources / sinks
 
@@ -178,37 +183,109 @@ DEVICE_OUT = T.StructType([
     T.StructField("device_id", T.LongType()), T.StructField("customer_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()),
     T.StructField("is_new", T.IntegerType()), T.StructField("n_customers", T.LongType())])
-DEVICE_STATE = T.StructType([T.StructField("last", T.LongType()),
-                             T.StructField("members", T.ArrayType(T.LongType()))])
+DEVICE_STATE = T.StructType([T.StructField("last", T.LongType()), T.StructField("n", T.LongType())])
+MEMBER_KEY = T.StructType([T.StructField("known", T.BooleanType()), T.StructField("customer", T.LongType())])
+MEMBER_VALUE = T.StructType([T.StructField("member", T.BooleanType())])
 
 
-def _device_fn(ttl_us: int):
-    def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, members = state.get if state.exists else (None, [])
-        pdf = pd.concat(list(pdfs)).sort_values(["_t", "event_id"], kind="mergesort")
-        found, last, members = member_step(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("_t", "customer_id")),
-                                           last, set(members or []), ttl_us)
+class StoredMembers:
+    """A device's customers in a map state, used like a set: a customer is one entry of the
+    store, and only those that a micro-batch names come to the worker."""
+
+    def __init__(self, store, n: int):
+        self.store, self.n, self.asked = store, n, {}
+
+    @staticmethod
+    def _key(customer: int | None) -> tuple:
+        return customer is not None, customer or 0
+
+    def __contains__(self, customer: int | None) -> bool:
+        if customer not in self.asked:
+            self.asked[customer] = self.store.containsKey(self._key(customer))
+        return self.asked[customer]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, customer: int | None) -> None:
+        if customer not in self:
+            self.store.updateValue(self._key(customer), (True,))
+            self.asked[customer] = True
+            self.n += 1
+
+    def clear(self) -> None:
+        self.store.clear()
+        self.asked, self.n = {}, 0
+
+
+class DeviceSets(StatefulProcessor):
+    """T4: registrations of a device against its stored set; a timer clears the set once the
+    watermark passes ``ttl`` after the last registration."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.device = handle.getValueState("device", DEVICE_STATE)
+        self.members = handle.getMapState("members", MEMBER_KEY, MEMBER_VALUE)
+
+    def _expiry(self, last: int) -> int:
+        return last // 1000 + self.ttl_us // 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, n = self.device.get() if self.device.exists() else (None, 0)
+        members = StoredMembers(self.members, n)
+        pdf = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="mergesort")
+        times, customers = (pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("micros", "customer"))
+        found, last = member_step(times, [None if c is None else int(c) for c in customers], before, members, self.ttl_us)
         if last is not None:
-            state.update((last, sorted(members, key=lambda c: (c is not None, c or 0))))
-            state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
-        out = pdf[["device_id", "customer_id", "ts", "event_id"]].copy()
-        for k, (name, kind) in enumerate((("is_new", "Int32"), ("n_customers", "Int64"))):
-            out[name] = pd.array([f[k] for f in found], dtype=kind)
-        yield out
-    return fn
+            self.device.update((last, len(members)))
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(last))
+        yield pd.DataFrame({
+            "device_id": pd.array([int(d) if d else None for d in pdf["device"]], dtype="Int64"),
+            "customer_id": pd.array([None if c is None else int(c) for c in customers], dtype="Int64"),
+            "ts": pdf["ts"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
+            "is_new": pd.array([f[0] for f in found], dtype="Int32"),
+            "n_customers": pd.array([f[1] for f in found], dtype="Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.members.clear()
+        self.device.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which map states and timers need; a
+    query copies the setting when it starts, and the session gets its own back."""
+    own = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, own)
 
 
 def device_sharing_stream(requests: DataFrame, ttl_seconds: float = 7 * 86400, ts: str = "ts") -> DataFrame:
-    """T4: set of customers per device (a member set in the state store),
-    cleared when the device is idle for ``ttl``."""
-    r = _with_event_time(requests.withColumn("_t", F.unix_micros(col(ts).cast("timestamp"))), ts,
-                         f"{int(ttl_seconds)} seconds")
-    return r.groupBy("device_id").applyInPandasWithState(
-        _device_fn(int(ttl_seconds * 1_000_000)), DEVICE_OUT, DEVICE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    """T4: set of customers per device (a map in the state store, an entry per customer),
+    cleared when the device is idle for ``ttl``.  Start the query inside ``rocksdb_state``.
+    Ids travel as text, since a NULL would make doubles of them; the NULL device is the empty text."""
+    r = requests.select(F.coalesce(col("device_id").cast("string"), F.lit("")).alias("device"),
+                        col("customer_id").cast("string").alias("customer"), col(ts).alias("ts"), "event_id",
+                        F.unix_micros(col(ts).cast("timestamp")).alias("micros"))
+    r = _with_event_time(r, "ts", f"{int(ttl_seconds)} seconds")
+    return r.groupBy("device").transformWithStateInPandas(
+        DeviceSets(int(ttl_seconds * 1_000_000)), DEVICE_OUT, "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ T5, S14

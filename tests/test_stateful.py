@@ -183,6 +183,71 @@ def _folded(fn, pdf, cut):
     return pd.concat([x for part in (pdf[:cut], pdf[cut:]) for x in fn(("k",), iter([part]), state)])
 
 
+class _Handle:
+    """The handle and the state variables that ``DeviceSets`` needs, in memory."""
+
+    def __init__(self):
+        self.timers, self.value, self.entries, self.asked = set(), None, {}, 0
+
+    getValueState = getMapState = lambda self, *_: _Handle()
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value, self.entries = None, {}
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.entries
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+
+def _device_sets(ttl_us):
+    from riskframe.streaming.stateful_stream import DeviceSets
+    sets = DeviceSets(ttl_us)
+    sets.init(_Handle())
+    return sets
+
+
+def test_device_sets_read_only_the_customers_named():
+    """A device of many customers: a later micro-batch asks the store for its own customers, once each."""
+    import pandas as pd
+    sets = _device_sets(10**9)
+    first = pd.DataFrame({"micros": range(20000), "ts": pd.NaT, "event_id": range(20000), "device": "1",
+                          "customer": [str(c) for c in range(20000)]})
+    list(sets.handleInputRows((1,), iter([first[:9000], first[9000:]]), None))
+    assert len(sets.members.entries) == 20000
+    sets.members.asked = 0
+    later = pd.DataFrame({"micros": range(30000, 30006), "ts": pd.NaT, "event_id": range(6), "device": "1",
+                          "customer": ["5", "5", "20001", "5", "20001", "19999"]})
+    out = pd.concat(sets.handleInputRows((1,), iter([later]), None))
+    assert out["is_new"].tolist() == [0, 0, 1, 0, 0, 0] and out["n_customers"].tolist() == [20000] * 2 + [20001] * 4
+    assert sets.members.asked == 3
+
+
+def test_device_stream_with_nulls_equals_batch(spark):
+    """Through Spark's state store, over several micro-batches and past the TTL."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, *range(12)]), T0 + dt.timedelta(minutes=rnd.randrange(6000)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "device_id long, customer_id long, ts timestamp_ntz, event_id long")
+    ttl = 3 * 3600
+    want = {r.event_id: (r.is_new, r.n_customers) for r in SF.device_sharing(df, ttl_seconds=ttl, order=["event_id"]).collect()}
+    base = scratch_path(spark, f"devices-{uuid.uuid4().hex}")
+    before = spark.conf.get(ST.STATE_STORE, None)
+    with ST.rocksdb_state(spark):
+        ST.replay(df, "ts", base, lambda s: ST.device_sharing_stream(s, ttl_seconds=ttl), ST.file_sink(f"{base}/out"))
+    assert spark.conf.get(ST.STATE_STORE, None) == before
+    out = spark.read.parquet(f"{base}/out").collect()
+    assert {r.event_id: (r.is_new, r.n_customers) for r in out} == want and len(out) == len(rows)
+
+
 def test_stream_folds_keep_null_times_customers_and_amounts():
     import pandas as pd
     from riskframe.streaming import stateful_stream as SS
@@ -198,7 +263,13 @@ def test_stream_folds_keep_null_times_customers_and_amounts():
     assert [none(rows[i].session_no) for i in range(6)] == [None, 1, 1, 1, 2, 2]
     assert [none(rows[i].velocity) for i in range(6)] == [None, 1, 2, 3, 1, 2]
     assert [none(rows[i].velocity_amount) for i in range(6)] == [None, 2.0, 2.0, 6.0, None, 5.0]
-    got = {r.event_id: r for r in _folded(SS._device_fn(2 * day), base, 3).itertuples()}
+    sets = _device_sets(2 * day)
+    base = base.assign(micros=base["_t"], device="1", customer=["7", None, "7", None, None, "8"])
+    got = pd.concat([x for part in (base[:3], base[3:]) for x in sets.handleInputRows((1,), iter([part]), None)])
+    got = {r.event_id: r for r in got.itertuples()}
+    assert sets.handle.timers == {11 * day // 1000 + 2 * day // 1000} and sets.device.value == (11 * day, 2)
+    sets.handleExpiredTimer((1,), None, None)
+    assert not sets.device.exists() and not sets.members.entries
     assert [none(got[i].is_new) for i in range(6)] == [None, 1, 1, 0, 1, 1]
     assert [none(got[i].n_customers) for i in range(6)] == [None, 1, 2, 2, 1, 2]
 
