@@ -9,6 +9,7 @@ oracle of its batch twin.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -48,22 +49,25 @@ def _snapshot(spark, name: str, src, build, keys: list[str], ts: str = "ts"):
 @query("streamed_velocity_count", ORACLES["velocity_count"])
 def q_s_velocity_count(spark, sf):
     r = A.requests(spark, sf).select("customer_id", "bucket", "ts", "event_id", "amount")
+    groups = ST.key_groups(r)
     out = _appended(spark, "velocity_count", r,
-                    lambda s: ST.velocity_stream(s, ["customer_id", "bucket"], ttl_seconds=2 * DAY))
+                    lambda s: ST.velocity_stream(s, ["customer_id", "bucket"], ttl_seconds=2 * DAY, groups=groups))
     return out.select("customer_id", "bucket", "ts", "event_id", "session_no", "velocity")
 
 
 @query("streamed_velocity_amount", ORACLES["velocity_amount"])
 def q_s_velocity_amount(spark, sf):
     r = A.requests(spark, sf).select("customer_id", "ts", "event_id", "amount")
-    out = _appended(spark, "velocity_amount", r, lambda s: ST.velocity_stream(s, ["customer_id"], ttl_seconds=DAY))
+    groups = ST.key_groups(r)
+    out = _appended(spark, "velocity_amount", r, lambda s: ST.velocity_stream(s, ["customer_id"], ttl_seconds=DAY, groups=groups))
     return edge(out.select("customer_id", "ts", "event_id", "session_no", "velocity_amount"))
 
 
 @query("streamed_rate_limit_flag", ORACLES["rate_limit_flag"])
 def q_s_rate_limit(spark, sf):
     r = A.requests(spark, sf).select("customer_id", "ts", "event_id", "amount")
-    out = _appended(spark, "rate_limit", r, lambda s: ST.velocity_stream(s, ["customer_id"], ttl_seconds=60))
+    groups = ST.key_groups(r)
+    out = _appended(spark, "rate_limit", r, lambda s: ST.velocity_stream(s, ["customer_id"], ttl_seconds=60, groups=groups))
     return out.select("customer_id", "ts", "event_id", "velocity", (col("velocity") > 100).alias("rejected"))
 
 
@@ -76,12 +80,16 @@ def q_s_device_sharing(spark, sf):
 
 @query("streamed_check_and_draw", ORACLES["check_and_draw"])
 def q_s_check_and_draw(spark, sf):
-    return edge(_appended(spark, "ledger", A.exposure_events(spark, sf), ST.ledger_stream))
+    events = A.exposure_events(spark, sf)
+    groups = ST.key_groups(events)
+    return edge(_appended(spark, "ledger", events, lambda s: ST.ledger_stream(s, groups)))
 
 
 @query("streamed_wal_append", ORACLES["wal_append_rows"])
 def q_s_wal(spark, sf):
-    out = _appended(spark, "wal", A.exposure_events(spark, sf), lambda s: ST.wal_stream(ST.ledger_stream(s)))
+    events = A.exposure_events(spark, sf)
+    groups = ST.key_groups(events)
+    out = _appended(spark, "wal", events, lambda s: ST.wal_stream(ST.ledger_stream(s, groups)))
     return edge(out)
 
 
@@ -109,7 +117,8 @@ def q_s_latest_profile(spark, sf):
 @query("streamed_score_once_cache", ORACLES["score_once_cache"])
 def q_s_score_cache(spark, sf):
     r = A.requests(spark, sf).select(stateful_queries.payload().alias("payload"), "ts", "event_id")
-    return _appended(spark, "score_cache", r, lambda s: ST.score_cache_stream(s, "payload", ttl_seconds=600))
+    groups = ST.key_groups(r)
+    return _appended(spark, "score_cache", r, lambda s: ST.score_cache_stream(s, "payload", ttl_seconds=600, groups=groups))
 
 
 @query("streamed_request_metrics", ORACLES["request_metrics"])
@@ -120,8 +129,8 @@ def q_s_request_metrics(spark, sf):
     return edge(snap)
 
 
-#: Files of the queue that a micro-batch takes.
-QUEUE_FILES = 2
+#: Micro-batches that drain the queue, so that their fixed cost does not grow with it.
+QUEUE_BATCHES = 8
 
 
 @query("streamed_batch_scoring")
@@ -131,7 +140,8 @@ def q_s_batch_scoring(spark, sf):
     base = _base(spark, "scoring")
     models = MLQ.payload_models(spark, sf, ["logistic_regression"])
     waiting = MLQ.sent_payloads(spark, sf)
-    waiting.repartitionByRange("prospectid").write.parquet(f"{base}/queue")
-    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", QUEUE_FILES).parquet(f"{base}/queue")
+    files = max(QUEUE_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    waiting.repartitionByRange(files, "prospectid").write.parquet(f"{base}/queue")
+    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", math.ceil(files / QUEUE_BATCHES)).parquet(f"{base}/queue")
     ST.drain_queue(stream, lambda batch: ML.score_payloads(models, MLQ.read(batch), "prospectid"), f"{base}/scored", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/scored").select("row_id", "model", "predicted_class", "confidence", "error", "_batch")

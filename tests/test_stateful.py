@@ -363,3 +363,76 @@ def test_score_cache_is_one_fold():
     pdf = pd.DataFrame({"_t": pd.array([None, 0, 5, 10, 14, 20], dtype="Int64"), "payload": "a", "ts": pd.NaT, "event_id": range(6)})
     got = {r.event_id: r.computed for r in _folded(SS._cache_fn(10), pdf, 3).itertuples()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+# ------------------------------------------------------------------ streams by groups of keys
+
+def _keyed(rows, cut):
+    """Rows (key, time, id, amount) of many keys as a stream fold gets a group, in two micro-batches."""
+    import pandas as pd
+    pdf = pd.DataFrame({"_k": [str(k) for k, *_ in rows], "_t": pd.array([t for _, t, *_ in rows], dtype="Int64"), "ts": pd.NaT,
+                        "event_id": [str(i) for _, _, i, _ in rows], "customer_id": [None if k is None else str(k) for k, *_ in rows],
+                        "bucket": None, "payload": [k for k, *_ in rows], "kind": ["approve" if i % 3 else "draw" for _, _, i, _ in rows],
+                        "amount": [a for *_, a in rows]})
+    return pdf[:cut], pdf[cut:]
+
+
+def test_a_call_folds_all_keys_of_a_group():
+    """One call serves many keys, each from its own state, and whole ids stay exact beside a NULL."""
+    import pandas as pd
+    from riskframe.streaming import stateful_stream as SS
+    rnd = random.Random(6)
+    t, rows = 0, []
+    for i in range(600):
+        t += rnd.choice([0, 1, 4])
+        rows.append((rnd.choice([None, (1 << 60) + 1, *range(30)]), t, (1 << 60) + i, rnd.choice([None, 1.0, 2.0])))
+    rows = [(None, None, 1, 1.0), (5, None, 2, 1.0), *rows]
+    want_n, want_cache, state, stamp = {}, set(), {}, {}
+    for k, when, i, _ in rows:
+        if when is None:
+            want_n[i] = (None, None)
+            want_cache.add(i)
+            continue
+        last, n, sess = state.get(k, (None, 0, 0))
+        n, sess = (1, sess + 1) if last is None or when - last >= 40 else (n + 1, sess)
+        state[k] = (when, n, sess)
+        want_n[i] = (sess, n)
+        if k not in stamp or when >= stamp[k] + 40:
+            stamp[k] = when
+            want_cache.add(i)
+    none = lambda v: None if pd.isna(v) else int(v)
+    kept = _State()
+    got = pd.concat([x for part in _keyed(rows, 301) for x in SS._velocity_fn(40)(("g",), iter([part]), kept)])
+    assert {int(i): (none(s), none(n)) for i, s, n in zip(got["event_id"], got["session_no"], got["velocity"])} == want_n
+    assert {int(i): none(c) for i, c in zip(got["event_id"], got["customer_id"])} == {i: k for k, _, i, _ in rows}
+    kept = _State()
+    got = pd.concat([x for part in _keyed(rows, 301) for x in SS._cache_fn(40)(("g",), iter([part]), kept)])
+    assert {int(i) for i, c in zip(got["event_id"], got["computed"]) if c} == want_cache
+    assert kept.timeout is not None and len(SS._known(kept)) <= 32
+
+
+def test_grouped_streams_equal_batch_in_spark(spark):
+    """Many keys to a group, NULL keys, ids beyond doubles, several micro-batches; the table is staged by one write."""
+    import os
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, (1 << 60) + 1, *range(40)]), T0 + dt.timedelta(seconds=rnd.randrange(90_000)), (1 << 60) + i,
+             rnd.choice(["approve", "draw"]), rnd.choice([None, 1.0, 2.0, 3.0])) for i in range(800)]
+    df = spark.createDataFrame(rows, "customer_id long, ts timestamp_ntz, event_id long, kind string, amount double")
+    df = df.withColumn("bucket", F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 4).cast("string")))
+
+    def stream(name, build):
+        base = scratch_path(spark, f"groups-{name}-{uuid.uuid4().hex}")
+        ST.replay(df, "ts", base, build, ST.file_sink(f"{base}/out"))
+        assert os.path.exists(f"{base}/staging/_SUCCESS")
+        return spark.read.parquet(f"{base}/out")
+
+    pick = lambda out, *cols: sorted(map(repr, out.select("customer_id", "event_id", *cols).collect()))
+    got = stream("velocity", lambda s: ST.velocity_stream(s, ["customer_id", "bucket"], ttl_seconds=3600, groups=3))
+    want = SF.velocity_amount(df, ["customer_id", "bucket"], ttl_seconds=3600, order=["event_id"])
+    assert pick(got, "bucket", "session_no", "velocity_amount") == pick(want, "bucket", "session_no", "velocity_amount")
+    got = stream("ledger", lambda s: ST.ledger_stream(s, 3))
+    assert pick(got, "amount", "result", "limit", "drawn") == pick(SF.check_and_draw(df), "amount", "result", "limit", "drawn")
+    payload = df.withColumn("payload", F.col("customer_id").cast("string"))
+    got = stream("cache", lambda s: ST.score_cache_stream(s.withColumn("payload", F.col("customer_id").cast("string")), "payload", 600, groups=3))
+    want = SF.score_once_cache(payload, F.col("payload"))
+    assert {r.event_id: r.computed for r in got.collect()} == {r.event_id: r.computed for r in want.collect()}
