@@ -317,3 +317,22 @@ def test_audit_of_eight_checks(spark):
     assert table["determinism"] == (max(r.auc_cv_pct for r in rows(spark, "seed_stability_cv")) < 5)
     assert table["ab_test"] == any(r.significant_at_5pct for r in rows(spark, "auc_delta_pvalue"))
     assert rows(spark, "audit_eight_passed")[0].n_passed == sum(table.values())
+
+
+def test_cells_are_fitted_without_all_pairs_of_centres(spark):
+    """No iteration of the fit sends the distances between all cells to the driver."""
+    import numpy as np
+    from riskframe.operators import retrieval as RT
+    r = np.random.default_rng(2)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 64)))], "vec_id long, embedding array<double>")
+    sc = spark.sparkContext
+    sc.setJobGroup("cells", "cells")
+    try:
+        assigned, centroids = RT.ivf_index(e, "vec_id", n_cells=130)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("cells") for s in tracker.getJobInfo(j).stageIds]
+    names = [s.name for s in stages if s is not None]
+    assert any("KMeans" in n for n in names) and not any("DistanceMeasure" in n for n in names)
+    assert assigned.count() == 400 and centroids.count() == 130
