@@ -27,9 +27,12 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,8 @@ from riskframe.llm.batches import text_batches
 from riskframe.llm.recent import Recent, kept
 from riskframe.session import scratch_path
 
-CACHE_CHUNKS = 600_000
+#: Two generations of about 200 bytes an entry stay beside the executor's heap, per worker.
+CACHE_CHUNKS = 300_000
 #: Distinct int32 values that fit the writer's dictionary page below.
 MAX_DICTIONARY = 1 << 18
 FORMAT = {
@@ -55,106 +59,154 @@ FORMAT = {
     "parquet.page.row.count.limit": "2000",
 }
 
+
+@lru_cache(4096)
+def _ends_word(end: bytes) -> bool:
+    """Whether UTF-8 bytes end in a letter or digit that stays one when normalised."""
+    last = end.decode("utf-8", "ignore")[-1:]
+    return last != "" and all(x.isalnum() for x in unicodedata.normalize("NFC", last).lower())
+
+
 class ChunkEncoder:
     """Encode texts chunk by chunk with a bounded table of recent chunks.
 
     Chunks are bytes with A-Z folded (the tokenizer folds them too).  A run of
-    dots and commas after a letter or digit is a pre-token of its own, so it is
-    solved apart from the word before it.  New chunks are encoded together: chunks
-    of letters alone are one pre-token each and end at an end-of-word id; others are
-    kept apart by a special token that none of them holds.  A text that holds the
-    start of a special token is encoded whole.
+    ASCII marks after a letter or digit is a pre-token of its own, so it is
+    solved apart from the word before it.  The chunks of many texts are reduced to the
+    distinct ones by Arrow, so the table is asked once per distinct chunk.  New chunks are
+    encoded together: those of a-z alone by the tokenizer's model without normaliser and
+    pattern (neither changes or cuts them), those of other letters are one pre-token each;
+    both end at an end-of-word id.  The rest is kept apart by a special token that none
+    of them holds.  A text that holds the start of a special token is encoded whole.
     """
 
     FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    #: ASCII marks as '.', bytes of other characters as 'h', the rest as itself.
-    KINDS = bytes(46 if 32 < b < 128 and not chr(b).isalnum() else 104 if b > 127 else 97 if b > 32 else b for b in range(256))
-    BEFORE = re.compile(rb"h\.")
-    ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+    ALNUM, MARKS = b"abcdefghijklmnopqrstuvwxyz0123456789", string.punctuation.encode()
+    #: By byte: part of a chunk, a mark that may end a word, a letter or digit.
+    SOLID = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
+    STOP, BEFORE = np.isin(np.arange(256), list(MARKS)), np.isin(np.arange(256), list(ALNUM))
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.mark = separator, separator[:2].encode()
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.separator, self.mark = separator, re.compile(re.escape(separator[:2].encode()))
         self.separator_id = self.tokenizer.token_to_id(separator)
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends_word = np.array([x.endswith("</w>") for x in names])
         self.kind = np.dtype(np.uint16 if len(self.ends_word) <= 1 << 16 else np.int32)
         self.seen = Recent(CACHE_CHUNKS)         # chunk -> bytes of its ids
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+    def whole(self, text: str, plain: bool = False) -> np.ndarray:
+        tokenizer = self.plain if plain else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _store(self, chunks: list[bytes], ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         raw, now, size = ids.tobytes(), self.seen.now, self.kind.itemsize
         for c, s, e in zip(chunks, (size * start).tolist(), (size * stop).tolist()):
             now[c] = raw[s:e]
 
-    def _solve(self, chunks: list[bytes]) -> None:
+    def _solve(self, plain: list[bytes], chunks: list[bytes]) -> None:
         words, others = [], []
         for c in chunks:
             (words if c.decode().isalpha() else others).append(c)
-        for i in range(0, len(words), 1024):
-            some = words[i:i + 1024]
-            ids = self.whole(b" ".join(some).decode())
-            stop = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(stop) != len(some):           # a letter that normalises to another class
-                others += some
-                continue
-            self._store(some, ids, np.concatenate([[0], stop[:-1]]), stop)
+        for kind in (plain, words):
+            for i in range(0, len(kind), 1024):
+                some = kind[i:i + 1024]
+                ids = self.whole(b" ".join(some).decode(), plain=kind is plain)
+                stop = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(stop) != len(some):       # a letter that normalises to another class
+                    others += some
+                    continue
+                self._store(some, ids, np.concatenate([[0], stop[:-1]]), stop)
         for i in range(0, len(others), 1024):
             some = others[i:i + 1024]
             ids = self.whole(f" {self.separator} ".join(c.decode() for c in some))
             stop = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
             self._store(some, ids, np.concatenate([[0], stop[:-1] + 1]), stop)
 
-    def _learn(self, fresh: set[bytes]) -> None:
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Bring distinct chunks that ``now`` lacks into it."""
         now, old, split, todo = self.seen.now, self.seen.old, [], set()
-        for c in fresh:
-            if (got := old.get(c)) is not None:
-                now[c] = got
-                continue
-            core = c.rstrip(b".,")
-            if len(core) < len(c) and core and core[-1] in self.ALNUM:
+        back = list(map(old.get, fresh))
+        now.update((c, got) for c, got in zip(fresh, back) if got is not None)
+        plain = [c for c, got in zip(fresh, back) if got is None and c.isalpha()]
+        for c in (c for c, got in zip(fresh, back) if got is None and not c.isalpha()):
+            core = c.rstrip(self.MARKS)
+            if len(core) < len(c) and core and _ends_word(core[-4:]):
                 split.append((c, core, c[len(core):]))
                 todo.add(core)
                 todo.add(c[len(core):])
             else:
                 todo.add(c)
-        self._solve([c for c in todo.difference(now) if self.seen.recall(c) is None])
+        self._solve(plain, [c for c in todo.difference(now) if self.seen.recall(c) is None])
         for c, core, tail in split:
             now[c] = now[core] + now[tail]
 
-    def _letters_before(self, data: bytes, kinds: bytes) -> bool:
-        """Whether every mark after a multi-byte character follows a letter or digit."""
-        ends = {data[max(0, m.start() - 3):m.start() + 1] for m in self.BEFORE.finditer(kinds)}
-        return all(e.decode("utf-8", "ignore")[-1:].isalnum() for e in ends)
-
-    def chunks(self, text: bytes) -> list[bytes]:
-        """Chunks of a UTF-8 text; dots and commas that end a word stand alone if every one
-        of the text's follows a letter or digit (else they may be part of a longer run
-        of marks, which is one pre-token)."""
-        data = text.translate(self.FOLD)
-        kinds = data.translate(self.KINDS)
-        if b".." not in kinds and (b"h." not in kinds or self._letters_before(data, kinds)):
-            for mark in (b".", b","):
-                data = data.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b" ")
-        return data.split()
+    def _chunks(self, data: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Chunks of the folded texts in order, and how many come before each text; one
+        mark that ends a word is a chunk of its own."""
+        solid = self.SOLID[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offs] = True
+        start, end = solid.copy(), solid.copy()
+        start[1:] &= ~solid[:-1] | edge[1:-1]
+        end[:-1] &= ~solid[1:] | edge[1:-1]
+        start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        size = end - start
+        tail = (size > 1) & self.STOP[data[end - 1]] & self.BEFORE[data[end - 2]]
+        upto = np.cumsum(1 + tail)
+        sizes = np.repeat(size, 1 + tail)
+        sizes[upto[tail] - 1] = 1
+        sizes[upto[tail] - 2] -= 1
+        places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(data[solid])])
+        return chunks.dictionary_encode(), np.concatenate([[0], upto])[np.searchsorted(start, offs)]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the UTF-8 texts that lie end to end at ``offs``, and the number of each text's."""
+        raw = data.tobytes()
+        folded = np.frombuffer(raw.translate(self.FOLD), np.uint8)
+        whole = np.unique(np.searchsorted(offs, [m.start() for m in self.mark.finditer(raw)], side="right") - 1)
+        if len(whole):
+            folded = folded.copy()
+            for i in whole:
+                folded[offs[i]:offs[i + 1]] = 32
+        chunks, before = self._chunks(folded, offs)
+        self.seen.turn()
+        get, distinct = self.seen.now.get, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(get, distinct))
+        if None in found:
+            holes = [i for i, v in enumerate(found) if v is None]
+            self._learn([distinct[i] for i in holes])
+            for i in holes:
+                found[i] = get(distinct[i])
+        pool = np.frombuffer(b"".join(found), self.kind)
+        long = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        which = chunks.indices.to_numpy()
+        n = long[which]
+        stop = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        place = (np.cumsum(long, dtype=np.int64) - long)[which] - stop[:-1]
+        ids = pool[np.repeat(place.astype(np.int32), n) + np.arange(stop[-1], dtype=np.int32)]
+        n = np.diff(stop[before])
+        if len(whole):
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in whole:
+                parts[i] = self.whole(raw[offs[i]:offs[i + 1]].decode())
+            ids, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, n
+
+    def ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text column, ``end_id`` after each text, and the number of each text's with it."""
+        ids, n = self.encode(*H.text_buffer(texts))
+        return np.insert(ids.astype("<i4"), np.cumsum(n), end_id), n + 1
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
-        odd = [self.mark in t for t in texts]
-        parts = [[] if o else self.chunks(t) for t, o in zip(texts, odd)]
-        self.seen.turn()
-        get = self.seen.now.get
-        found = [list(map(get, p)) for p in parts]
-        holes = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
-        self._learn({p[i] for p, h in zip(parts, holes) for i in h})
-        for p, f, h in zip(parts, found, holes):
-            for i in h:
-                f[i] = get(p[i])
-        return [self.whole(t.decode()) if o else np.frombuffer(b"".join(f), self.kind)
-                for t, f, o in zip(texts, found, odd)]
+        offs = np.cumsum([0, *map(len, texts)])
+        ids, n = self.encode(np.frombuffer(b"".join(texts), np.uint8), offs)
+        return np.split(ids, np.cumsum(n)[:-1])[:len(texts)]
 
 
 def _encode(path: str, end_id: int):
@@ -164,13 +216,8 @@ def _encode(path: str, end_id: int):
         encode = kept(f"chunks {path}", lambda: ChunkEncoder(path))
         before = 0
         for b in H.slices(batches, limit=4 * H.SLICE_BYTES):
-            ids = encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
-            n = np.array([len(x) + 1 for x in ids], np.int64)
+            flat, n = encode.ended(b.column("text"), end_id)
             stop = np.cumsum(n)
-            flat = np.empty(int(stop[-1]), np.int32)
-            for x, e in zip(ids, stop):
-                flat[e - len(x) - 1:e - 1] = x
-            flat[stop - 1] = end_id
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(before + stop - n), lists],
                                              ["id", "n_tokens", "local_start", "ids"])

@@ -104,6 +104,20 @@ def test_chunks_equal_library(spark):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_marks_and_words_are_kept_apart():
+    """The table holds words and marks, not their pairs; odd runs of marks still equal the library's."""
+    from tokenizers import Tokenizer
+    tok, mine = Tokenizer.from_file(WORDS), ChunkEncoder(WORDS)
+    words = [f"{a}{b}ing" for a in "abcdefgh" for b in "lmnopqrs"] + ["né", "über", "한"]
+    every = [f"{w}{m} {w} x{m}{m}" for m in "!?;:,.)-%" for w in words]
+    for t, ids in zip(every, mine([t.encode() for t in every])):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert len(mine.seen.now) < 2 * len(words) + 50
+    odd = ["a\u0301. é., İ, \u0958. ﬁ! x\u0307, '., a' b's! ²) ⅷ; _x_ --- a-b- \x1c. .\x85, ٣%", "", " ", "<|x, y", "한. ᄒ\u1161, क़!"]
+    for t, ids in zip(odd, mine([t.encode() for t in odd])):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def by_hand(rows):
     from tokenizers import Tokenizer
     tok, start, out = Tokenizer.from_file(WORDS), 0, []
