@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
+from riskframe.llm.batches import text_batches
 from riskframe.llm.recent import kept
 from riskframe.llm.token_files import FORMAT, ChunkEncoder, fresh_folder
 from riskframe.session import cut_lineage
@@ -166,13 +167,8 @@ def _cut(path: str, end_id: int, capacity: int):
         gc.disable()                             # millions of chunks, no reference cycles
         try:
             for b in H.slices(batches, limit=4 * H.SLICE_BYTES):
-                ids = encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
-                n = np.array([len(x) + 1 for x in ids], np.int64)
+                flat, n = encode.ended(b.column("text"), end_id)
                 stop = np.cumsum(n)
-                flat = np.empty(int(stop[-1]), "<i4")
-                for x, e in zip(ids, stop):
-                    flat[e - len(x) - 1:e - 1] = x
-                flat[stop - 1] = end_id
                 pieces = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -199,6 +195,7 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids_crc32, ids, sequence_id, offset`` per piece; ids
     are read only where selected."""
+    text_batches(docs)
     spark = docs.sparkSession
     folder = fresh_folder(spark, "pieces")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))

@@ -97,3 +97,15 @@ def test_awkward_rows(spark, capacity):
 
 def test_empty_table(spark):
     assert P.packed_sequences(empty(spark), PATH).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Packing lowers the session's batch rows, as the other operators on whole texts do."""
+    from riskframe.llm.batches import KEY, TEXT_ROWS
+    before = spark.conf.get(KEY, None)
+    spark.conf.unset(KEY)
+    try:
+        P.packed_sequences(empty(spark), PATH)
+        assert spark.conf.get(KEY) == TEXT_ROWS
+    finally:
+        spark.conf.set(KEY, before) if before else spark.conf.unset(KEY)
