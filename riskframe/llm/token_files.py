@@ -14,8 +14,8 @@ sampling for the ranges never runs the tokenizer, and each task writes one
 contiguous range.
 
 **Speed.**  The tokenizer's pre-tokeniser never joins across white space, so each
-white-space-separated chunk encodes alone; a worker encodes distinct chunks once and
-looks the rest up in a table of the last ``CACHE_CHUNKS`` or so.
+white-space-separated chunk encodes alone; a worker looks each distinct chunk of a slice
+up in a table of the last ``CACHE_CHUNKS`` or so and encodes those it lacks.
 
 Defined cases: null and empty texts hold only the end id; null ids sort first and
 are kept; rows that share an id follow each other in the order of their texts;
