@@ -25,7 +25,7 @@ def _to_minimum(e: DataFrame, keep) -> DataFrame:
     return e.join(low, "a").where(keep).select(F.col("b").alias("u"), "m").union(low.select(F.col("a").alias("u"), "m"))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, tasks: int | None = None) -> DataFrame:
     """``links(a, b)`` -> ``(node, component)``, the smallest reachable node.
 
     Each round links every node's larger neighbours to its smallest one, then
@@ -33,9 +33,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregations with map-side combine and two joins.  Lineage is cut by a
     reliable checkpoint per round, ``links`` evaluated once.  Self-links give a
     component of one; null ends are ignored; an empty table gives an empty result.
+    ``tasks`` bounds the files that ``links`` are first written to.
     """
     e = every = cut_lineage(links.where("a IS NOT NULL AND b IS NOT NULL").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tasks)
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

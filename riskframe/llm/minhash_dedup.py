@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import hashing as H
 from riskframe.llm.batches import text_batches
 from riskframe.llm.graph import components
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, tasks_for
 
 U64 = np.uint64
 BLOCK = 1024
@@ -335,39 +335,40 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     texts = base.where("id IS NOT NULL")
     signed = cut_lineage(texts.mapInArrow(
         _sign(bands, rows), "id long, tkey long, weight long, c1 long, c2 long, bands array<long>, sig binary"))
+    tasks = tasks_for(signed.count())
 
     # one representative per distinct multiset; its number ``rep`` stands for the content, not for
     # an id, since one id may have several contents
     content = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "tkey")).alias("r"))
     content = cut_lineage(content.select("c1", "c2", F.col("r.id").alias("id"), F.col("r.tkey").alias("tkey"),
-                                         F.monotonically_increasing_id().alias("rep")))
+                                         F.monotonically_increasing_id().alias("rep")), tasks)
     reps = cut_lineage(signed.join(content.select("rep", "id", "tkey"), ["id", "tkey"]).dropDuplicates(["rep"])
-                       .select("rep", "id", "tkey", "weight", "bands", "sig"))
+                       .select("rep", "id", "tkey", "weight", "bands", "sig"), tasks)
 
     banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "weight")).alias("h"), F.count("*").alias("n"))
     heads = cut_lineage(heads.where("n > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.weight").alias("head_weight"),
-                                                    F.ceil(F.col("n") / F.lit(STAR)).cast("int").alias("salts")))
-    met = cut_lineage(banded.join(heads, "bucket"))
+                                                    F.ceil(F.col("n") / F.lit(STAR)).cast("int").alias("salts")), tasks)
+    met = cut_lineage(banded.join(heads, "bucket"), tasks)
 
     involved = met.select("rep").distinct().join(reps.select("rep", "id", "tkey"), "rep")
     packed = cut_lineage(texts.mapInArrow(_pack, "id long, tkey long, packed binary").join(involved, ["id", "tkey"])
-                         .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "packed"))
+                         .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "packed"), tasks)
 
     fits = F.least("weight", "head_weight") >= F.lit(similarity) * F.greatest("weight", "head_weight")
     star = cut_lineage(met.where((F.col("rep") != F.col("head")) & fits)
                        .groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("salts").alias("salts"))
-                       .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
-    checked = cut_lineage(_verify(star, packed, similarity))
+                       .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), tasks)
+    checked = cut_lineage(_verify(star, packed, similarity), tasks)
     links = checked.where(F.col("jaccard") >= similarity).select("a", "b")
-    first = components(links)
+    first = components(links, tasks=tasks)
 
     labelled = met.select("bucket", "band", "rep", "weight").join(first, F.col("rep") == F.col("node"), "left").select(
         "bucket", "band", "rep", "weight", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
     open_ = open_.where("x <> y").select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     left = labelled.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = cut_lineage(left).join(reps.select("rep", "sig"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep")
+    left = cut_lineage(left, tasks).join(reps.select("rep", "sig"), "rep").join(packed.withColumnRenamed("id", "rep"), "rep")
     # a row goes to the block pairs (p, q), p <= q, that its part is in
     pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     left = left.select("bucket", "band", F.col("part"), pair, "rep", "weight", "component", "sig", "packed")
@@ -376,12 +377,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 36, r
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     late = left.repartition(n, "bucket", "band", "p", "q").groupBy("bucket", "band", "p", "q").applyInPandas(
         _across(similarity, bands * rows, rows), "a long, b long")
-    classes = components(links.union(late))
+    classes = components(links.union(late), tasks=tasks)
 
     # only now the contents' smallest ids name the classes
     member = content.join(classes, F.col("rep") == F.col("node"), "left").select(
         "c1", "c2", "id", "tkey", F.coalesce("component", "rep").alias("component"))
-    member = cut_lineage(member)
+    member = cut_lineage(member, tasks)
     names = member.groupBy("component").agg(F.min(F.struct("id", "tkey")).alias("own"))
     named = member.join(names, "component").select(
         "c1", "c2", F.col("own.id").alias("component_id"), F.col("own.tkey").alias("own_key"))

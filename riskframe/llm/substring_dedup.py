@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import hashing as H
 from riskframe.llm.batches import text_batches
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, tasks_for
+
+#: Blocks that one task handles at least: those of some 4,000 documents.
+TASK_BLOCKS = 50_000
 
 BLOCKS = "id long, tkey long, anchor long, body long, start int, n int"
 
@@ -165,15 +168,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                        F.xxhash64(F.col(text_col)).alias("tkey"), row.alias("row"))
     texts = base.where("id IS NOT NULL").select("id", "tkey", "text")
     blocks = cut_lineage(texts.mapInArrow(_find_blocks(window), BLOCKS))
+    tasks = tasks_for(blocks.count(), TASK_BLOCKS)
 
     per_anchor = blocks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"),
                                               F.min("body").alias("b0"), F.max("body").alias("b1"))
-    shared = cut_lineage(per_anchor.where("lo < hi").select("anchor", "lo", (F.col("b0") != F.col("b1")).alias("varied")))
-    met = cut_lineage(blocks.join(shared, "anchor"))
+    shared = cut_lineage(per_anchor.where("lo < hi").select("anchor", "lo", (F.col("b0") != F.col("b1")).alias("varied")), tasks)
+    met = cut_lineage(blocks.join(shared, "anchor"), tasks)
 
     plain = met.where("NOT varied AND id > lo")
     varied = met.where("varied")
-    first = cut_lineage(varied.groupBy("anchor", "body").agg(F.min("id").alias("body_lo")))
+    first = cut_lineage(varied.groupBy("anchor", "body").agg(F.min("id").alias("body_lo")), tasks)
     varied = varied.join(first, ["anchor", "body"])
     copied = varied.where("id > body_lo")
     spans = plain.select("id", "tkey", "start", "n").union(copied.select("id", "tkey", "start", "n")).select(
@@ -183,9 +187,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         F.collect_list(F.struct("anchor", "start", "n")).alias("blocks"))
     packed = texts.mapInArrow(_pack, "id long, tkey long, packed binary").dropDuplicates(["id", "tkey"])
     single = cut_lineage(packed.join(lead, ["id", "tkey"]).mapInArrow(
-        _extend(window), "id long, tkey long, anchor long, body long, start int"))
+        _extend(window), "id long, tkey long, anchor long, body long, start int"), tasks)
     seen = single.groupBy("anchor", "body").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    seen = cut_lineage(seen.where("lo < hi").select("anchor", "body", "lo"))
+    seen = cut_lineage(seen.where("lo < hi").select("anchor", "body", "lo"), tasks)
     later = single.join(seen, ["anchor", "body"]).where("id > lo")
     spans = spans.union(later.select("id", "tkey", F.col("start").alias("s"), (F.col("start") + F.lit(window)).alias("e")))
 

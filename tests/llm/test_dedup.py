@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from riskframe.llm import embedding_dedup as E
 from riskframe.llm import hashing as H
 from riskframe.llm import minhash_dedup as M
@@ -14,6 +15,8 @@ from riskframe.llm.embedding_dedup import embedding_near_duplicates
 from riskframe.llm.graph import components
 from riskframe.llm.queries import QUERIES
 from riskframe.llm.substring_dedup import substring_dedup
+from riskframe.llm.toxicity import SAMPLE_TASKS
+from riskframe.session import tasks_for
 from tests.llm.helpers import PARK, SF, classes, empty, messy, messy_rows, overlap, sample, shingles
 
 
@@ -260,3 +263,35 @@ def test_embedding_group_larger_than_a_block(spark, monkeypatch):
     n, comp = embeddings_by_hand([(int(i), r.tolist()) for i, r in zip(ids, v)], 0.95)
     assert got == {i: (n[i], comp[i], comp[i] == i) for i in got} and len(got) == len(v)
     assert max(k for k, _, _ in got.values()) >= 299
+
+
+def test_small_tables_go_to_few_files(spark, monkeypatch, tmp_path):
+    """However many files and shuffle partitions a small corpus is spread over, a stage
+    writes and checkpoints few."""
+    had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    docs = messy(spark).repartition(40)
+    checkpoint, files = type(docs).checkpoint, []
+
+    def counted(df, *args, **kw):
+        out = checkpoint(df, *args, **kw)
+        files.append(out._jdf.rdd().getNumPartitions())
+        return out
+
+    monkeypatch.setattr(type(docs), "checkpoint", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "sentencepiece":
+                stage(spark, docs, SF).write.parquet(path := str(tmp_path / name))
+                assert 0 < len(list((tmp_path / name).glob("part-*"))) <= SAMPLE_TASKS, name
+                got = spark.read.parquet(path)
+                assert got.columns == docs.columns and got.count() > 0, name
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert files and max(files) <= SAMPLE_TASKS, files
+
+
+def test_tasks_grow_with_the_rows():
+    assert [tasks_for(n) for n in (0, 3_999, 4_000, 40_000_000)] == [1, 1, 2, 10_001]
