@@ -3,8 +3,11 @@ tests (rows-only for the oracle); the encoders have SQL oracles."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import expressions as X
@@ -97,8 +100,12 @@ def q_train_eval(spark, sf):
 
 @query("batch_score_all_models")
 def q_batch_score(spark, sf):
-    models, train, test, feats = _trained(spark, sf)
-    return ML.long_probabilities(ML.score_long(models, test, "prospectid"))
+    """Every applicant by every model; ``y`` is NULL where there is no decision."""
+    train, test, feats, classes, prepare = training_frame(spark, sf)
+    models = ML.train_models(train, feats)
+    undecided = A.applicants(spark, sf).where(col("approved_flag").isNull()).withColumn("label", F.lit(None).cast("double"))
+    every = [df.select("prospectid", "label", *feats) for df in (train, test, cut_lineage(prepare.transform(undecided)))]
+    return ML.long_probabilities(ML.score_long(models, reduce(DataFrame.unionByName, every), "prospectid"))
 
 
 @query("evaluate_bundle")

@@ -54,6 +54,20 @@ def test_batch_score_all_models(spark):
     assert {m for _, m in total} == MODELS and len(total) == len(MODELS) * len({i for i, _ in total})
 
 
+def test_batch_score_covers_every_applicant(spark, monkeypatch):
+    """Rows learned from, held back and without a decision are all scored, by every model."""
+    from riskframe.operators import mlops as ML
+    build = ML.build_models
+    monkeypatch.setattr(ML, "build_models", lambda **kw: build(names=["logistic_regression", "decision_tree"]))
+    want = {r.prospectid: r.approved_flag for r in A.applicants(spark, SF_SMALL).select("prospectid", "approved_flag").collect()}
+    got = {}
+    for r in rows(spark, "batch_score_all_models"):
+        got.setdefault((r.row_id, r.model), set()).add(r.cls)
+        assert (r.y is None) == (want[r.row_id] is None) and math.isfinite(r.p)
+    assert set(got) == {(i, m) for i in want for m in ("logistic_regression", "decision_tree")}
+    assert None in want.values() and all(len(c) == len(set(want.values()) - {None}) for c in got.values())
+
+
 def test_evaluate_bundle(spark):
     got = rows(spark, "evaluate_bundle")
     assert {r.model for r in got} == MODELS
