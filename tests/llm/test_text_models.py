@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from riskframe.llm import class_lm as L
 from riskframe.llm import decontaminate as D
@@ -273,6 +274,30 @@ def test_score_by_hand(spark):
         assert math.isclose(got[i], total + m.step[before, end], rel_tol=1e-9)
 
 
+def test_every_word_is_in_a_class(spark, monkeypatch):
+    """Words outside the exchange, those that occur once among them, are placed in its classes; words
+    beyond the look-up table are scored as if they were in it."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(45) for _ in range(95 - 2 * i)] + [f"r{i}." for i in range(150)]
+    texts = [" ".join(x) for x in np.array_split(rng.permutation(words), 40)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, "w1 new r3. w2"), (1001, "r1. r2. other, new")], "doc_id long, text string")
+    models, got = [], []
+    old = L._score
+    monkeypatch.setattr(L, "_score", lambda model, *a: (models.append(model.value), old(model, *a))[1])
+    for lookup in (1 << 18, 60):
+        monkeypatch.setattr(L, "LOOKUP", lookup)
+        out = L.score_texts(docs, F.col("doc_id") >= 1000, items=40, classes=5, rounds=3).collect()
+        got.append({r.id: (r.n_known, r.base_score, r.score) for r in out})
+    assert len(models[1].vocab.h) < len(models[0].vocab.h) == 195
+    for m in models:
+        assert (m.vocab.item >= 0).all() and m.total.sum() == len(words)
+        assert np.allclose((10 ** m.step).sum(axis=1), 1)
+        assert (m.cls[:len(m.vocab.h)] < 5).all()
+    assert got[0].keys() == got[1].keys()
+    for i, a in got[0].items():
+        assert a[0] == got[1][i][0] and np.allclose(a, got[1][i], rtol=1e-9)
+
+
 def test_class_lm_is_a_distribution():
     """Transitions sum to 1, and so do the words of every class (one unseen word
     included in the shape classes)."""
